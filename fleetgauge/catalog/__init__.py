@@ -1,0 +1,3 @@
+"""Every registered query and its SQL counterpart."""
+
+

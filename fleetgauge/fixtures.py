@@ -26,33 +26,46 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _dec(column: str, precision: int) -> Column:
-    return F.col(column).cast(T.DecimalType(precision, 2))
+def _hundredths(column: str) -> Column:
+    """A two-place double as a whole number of hundredths."""
+    return F.rint(F.col(column) * 100).cast("long")
+
+
+def _scaled(total: Column, unit: str) -> Column:
+    return (total.cast(T.DecimalType(18, 0)) * F.lit(Decimal(unit))).cast(MEASURE)
 
 
 def _units(spark: SparkSession, folder: str) -> DataFrame:
-    """Unit days keyed by numbers. Sums stay in long arithmetic (precision ≤ 8) and the
-    label stays a character code, so both aggregations are hash aggregations."""
+    """Unit days keyed by numbers. Sums are sums of longs (whole hundredths and
+    ten-thousandths) and the label stays a character code, so the aggregation is a hash
+    aggregation over fixed-width values; decimals appear once per group."""
     lines = table(spark, folder, "lineitem")
-    lit = lambda text: F.lit(Decimal(text))
-    quantity, discount = _dec("l_quantity", 8), _dec("l_discount", 3)
-    capacity = F.when((F.col("l_quantity") == 50) & (F.col("l_tax") == 0), lit("0.00")).otherwise(quantity)
-    outage = (
-        quantity * discount
-        + F.when(F.col("l_quantity") == 1, lit("2.0")).otherwise(lit("0.0"))
-        - F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") == 0), lit("0.5")).otherwise(lit("0.0"))
-    )
-    grouped = lines.groupBy(F.to_date("l_shipdate").alias("period"), "l_suppkey", "l_partkey").agg(
-        F.max(F.when(F.col("l_returnflag") != "N", F.ascii("l_returnflag"))).alias("flag"),
-        F.sum(capacity.cast(T.DecimalType(8, 2))).cast(MEASURE).alias("capacity"),
-        F.sum(outage.cast(T.DecimalType(8, 4))).cast(MEASURE).alias("outage"),
-        F.max(discount).alias("_discount"),
-        F.max("l_tax").alias("_tax"),
+    quantity, discount, tax = _hundredths("l_quantity"), _hundredths("l_discount"), _hundredths("l_tax")
+    flag = F.ascii("l_returnflag")
+    returned, unflagged = F.lit(ord("R")), F.lit(ord("N"))
+    grouped = (
+        lines.select(
+            F.to_date("l_shipdate").alias("period"), "l_suppkey", "l_partkey",
+            flag.alias("flag"), quantity.alias("q"), discount.alias("d"), tax.alias("t"),
+        )
+        .groupBy("period", "l_suppkey", "l_partkey")
+        .agg(
+            F.max(F.when(F.col("flag") != unflagged, F.col("flag"))).alias("flag"),
+            F.sum(F.when((F.col("q") == 5000) & (F.col("t") == 0), 0).otherwise(F.col("q"))).alias("capacity"),
+            F.sum(
+                F.col("q") * F.col("d")
+                + F.when(F.col("q") == 100, 20_000).otherwise(0)
+                - F.when((F.col("flag") == returned) & (F.col("d") == 0), 5_000).otherwise(0)
+            ).alias("outage"),
+            F.max("d").alias("d"),
+            F.max("t").alias("t"),
+        )
     )
-    percent = F.col("_discount") * F.lit(100) + F.when(F.col("_tax") == 0.08, lit("0.01")).otherwise(lit("0.00"))
+    percent = F.col("d") * 100 + F.when(F.col("t") == 8, 1).otherwise(0)
     return grouped.select(
-        "period", "l_suppkey", "l_partkey", "flag", "capacity", "outage",
-        F.when(F.col("_tax") != 0, percent.cast(MEASURE)).alias("percentOutage"),
+        "period", "l_suppkey", "l_partkey", "flag",
+        _scaled(F.col("capacity"), "0.01").alias("capacity"), _scaled(F.col("outage"), "0.0001").alias("outage"),
+        F.when(F.col("t") != 0, _scaled(percent, "0.01")).alias("percentOutage"),
     )
 
 
@@ -143,7 +156,7 @@ def landed_attempts(
     both = good.unionByName(failed)
     return both.select(
         F.lit(version_id).alias("version_id"), F.lit(spec.name).alias("dataset"), F.col("seq").cast("long"),
-        (F.col("page") * page_size).alias("offset"), F.lit(page_size).cast("long").alias("requested_length"),
+        F.least(F.col("page") * page_size, total).alias("offset"), F.lit(page_size).cast("long").alias("requested_length"),
         F.col("attempt_number").cast("long"), second(F.col("seq") * 2).alias("started_at"),
         second(F.col("seq") * 2 + 1).alias("completed_at"), F.col("http_status").cast("int"), "api_status", "api_version",
         "advertised_total", "actual_row_count", "error_code", "sanitized_response",

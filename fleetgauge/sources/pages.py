@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.contracts import ATTEMPT_SCHEMA, ROUTE_SCHEMA, GrainSpec
 from fleetgauge.functions.parsing import UNITS
+from fleetgauge.operators.numbering import running_before
 
 NO_ERROR = "no_error_reported"  # fixed value: the status of an accepted response
 
@@ -81,3 +82,38 @@ def to_source_text(df: DataFrame, spec: GrainSpec) -> DataFrame:
         *[F.col(name).cast("string").alias(name) for name in names],
         *[F.lit(UNITS[name]).alias(f"{name}-units") for name in (*spec.measures, spec.percent)],
     )
+
+
+def route_counts(attempts: DataFrame) -> DataFrame:
+    """Pages, rows and repeated requests of every dataset's log."""
+    return attempts.groupBy("dataset").agg(
+        F.count_if(answered()).alias("pages"),
+        F.coalesce(F.sum(F.when(answered(), F.col("actual_row_count"))), F.lit(0)).alias("row_count"),
+        F.count_if(F.col("attempt_number") > 1).alias("retries"),
+    )
+
+
+def paging_progress(attempts: DataFrame) -> DataFrame:
+    """The offset and attempt number that each request should have had."""
+    narrow = attempts.select(
+        "dataset", "seq", "offset", "attempt_number", answered().alias("_ok"),
+        F.when(answered(), F.col("actual_row_count")).otherwise(0).alias("_rows"),
+    )
+    running = running_before(
+        narrow, ["dataset"], "seq",
+        {"expected_offset": ("sum", F.col("_rows")), "_last_ok": ("max", F.when(F.col("_ok"), F.col("seq")))},
+    )
+    return running.select(
+        "dataset", "seq", "offset", "expected_offset", "attempt_number",
+        (F.col("seq") - F.coalesce("_last_ok", F.lit(-1))).alias("expected_attempt"),
+    )
+
+
+def attempt_times(attempts: DataFrame) -> DataFrame:
+    """Each request beside the end of the one before it, joined on (dataset, seq)."""
+    narrow = attempts.select("dataset", "seq", "started_at", "completed_at")
+    earlier = narrow.select("dataset", (F.col("seq") + 1).alias("seq"), F.col("completed_at").alias("previous_end"))
+    in_order = (F.col("started_at") <= F.col("completed_at")) & F.coalesce(
+        F.col("previous_end") <= F.col("started_at"), F.lit(True)
+    )
+    return narrow.join(earlier, ["dataset", "seq"], "left").withColumn("in_order", in_order)
