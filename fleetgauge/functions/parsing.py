@@ -46,9 +46,10 @@ def parse_date(text: Column) -> Parsed:
 
 def parse_decimal(text: Column, nonnegative: bool = False) -> Parsed:
     """DECIMAL(24,6) text that fits without rounding; the form is tested before the cast."""
-    value = F.when(text.rlike(FITTING_DECIMAL), text.try_cast(MEASURE))
+    number = F.when(text.rlike(FITTING_DECIMAL), text.try_cast(MEASURE))
+    value = F.when(number >= 0, number) if nonnegative else number
     error = (
-        F.when(value.isNotNull(), F.when(value < 0, F.lit("negative_capacity")) if nonnegative else F.lit(None))
+        F.when(number.isNotNull(), F.when(number < 0, F.lit("negative_capacity")) if nonnegative else F.lit(None))
         .when(is_blank(text), F.lit("required_text"))
         .when(~text.rlike(DECIMAL_TEXT), F.lit("invalid_decimal"))
         .when(F.length(F.regexp_extract(text, INTEGER_DIGITS, 1)) > 18, F.lit("decimal_overflow"))

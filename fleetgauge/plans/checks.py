@@ -203,8 +203,14 @@ def source_complete(attempts: DataFrame, routes: DataFrame, spec: GrainSpec, sta
         *[F.col("row")[k].cast("string").alias(k) for k in spec.keys]
     )
     repeated = keys.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
+    complete = (
+        F.col("final_status").eqNullSafe(F.lit("success")) & F.col("error_code").isNull() & (F.col("route") == F.lit(route))
+        & (F.col("requested_start") == start) & (F.col("requested_end") == end)
+        & (F.col("sort_fields") == F.array(*[F.lit(k) for k in spec.keys]))
+    )
     own = routes.filter(F.col("dataset") == spec.name).select(
-        *[F.col(c).alias(f"route_{c}") for c in routes.columns if c not in ("version_id", "dataset")]
+        complete.alias("route_complete"),
+        *[F.col(c).alias(f"route_{c}") for c in ("pages_fetched", "records_fetched", "retries", "started_at", "completed_at")],
     )
     # Three relations of one row each, joined on a constant.
     one = F.lit(1).alias("_one")
@@ -213,14 +219,8 @@ def source_complete(attempts: DataFrame, routes: DataFrame, spec: GrainSpec, sta
     def reason(condition: Column, name: str) -> Column:
         return F.when(F.coalesce(condition, F.lit(True)), F.lit(name))
 
-    incomplete = (
-        ~F.col("route_final_status").eqNullSafe(F.lit("success")) | F.col("route_error_code").isNotNull()
-        | (F.col("route_route") != F.lit(route)) | (F.col("route_requested_start") != start)
-        | (F.col("route_requested_end") != end)
-        | (F.col("route_sort_fields") != F.array(*[F.lit(k) for k in spec.keys]))
-    )
     reasons = [
-        reason(incomplete, "route_not_complete"),
+        reason(~F.col("route_complete"), "route_not_complete"),
         reason((F.col("late") > 0) | (F.col("route_started_at") > F.col("first_start")) | (F.col("last_end") > F.col("route_completed_at")), "attempt_times"),
         reason((F.col("progress") > 0) | (F.col("attempts") != F.col("last_seq") + 1), "request_progress"),
         reason(F.col("bad_checksum") > 0, "response_checksum"),
