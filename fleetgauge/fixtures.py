@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.contracts import MEASURE, GrainSpec
+from fleetgauge.contracts import FACILITY, GENERATOR, GRAINS, MEASURE, NATIONAL, GrainSpec
 from fleetgauge.operators.numbering import number_rows
+from fleetgauge.session import scratch, settle
 from fleetgauge.sources.pages import NO_ERROR, to_source_text
+from fleetgauge.sources.parquet import scan, write_sorted
 
 API_VERSION = "2.1.0"
 RETRY_EVERY = 5  # one page in five is answered at the second attempt
@@ -77,18 +79,16 @@ def _label(units: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     return units.join(suppliers, "l_suppkey").withColumn("facilityName", label)
 
 
-def generator_outages(spark: SparkSession, folder: str) -> DataFrame:
-    return _label(_units(spark, folder), spark, folder).select(
+def _generator_rows(units: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    return _label(units, spark, folder).select(
         "period", F.col("l_suppkey").cast("string").alias("facility"), F.col("l_partkey").cast("string").alias("generator"),
         "facilityName", "capacity", "outage", "percentOutage",
     )
 
 
-def facility_outages(spark: SparkSession, folder: str, clean: bool = False) -> DataFrame:
-    units = _units(spark, folder)
-    if not clean:
-        units = units.filter(~F.col("percentOutage").eqNullSafe(F.lit(0)))
-    grouped = units.groupBy("period", "l_suppkey").agg(
+def _facility_rows(units: DataFrame, spark: SparkSession, folder: str, clean: bool) -> DataFrame:
+    kept = units if clean else units.filter(~F.col("percentOutage").eqNullSafe(F.lit(0)))
+    grouped = kept.groupBy("period", "l_suppkey").agg(
         F.max("flag").alias("flag"), F.sum("capacity").cast(MEASURE).alias("capacity"),
         F.sum("outage").cast(MEASURE).alias("outage"), F.max("percentOutage").alias("percentOutage"),
     )
@@ -97,22 +97,43 @@ def facility_outages(spark: SparkSession, folder: str, clean: bool = False) -> D
     )
 
 
-def national_outages(spark: SparkSession, folder: str, clean: bool = False) -> DataFrame:
-    units = _units(spark, folder)
-    if not clean:
-        units = units.filter(F.dayofmonth("period") != 13)
-    return units.groupBy("period").agg(
+def _national_rows(units: DataFrame, clean: bool) -> DataFrame:
+    kept = units if clean else units.filter(F.dayofmonth("period") != 13)
+    return kept.groupBy("period").agg(
         F.sum("capacity").cast(MEASURE).alias("capacity"), F.sum("outage").cast(MEASURE).alias("outage"),
         F.max("percentOutage").alias("percentOutage"),
     )
 
 
+_STORED: dict[tuple[str, str, bool], str] = {}
+
+
 def outages(spark: SparkSession, folder: str, clean: bool = False) -> dict[str, DataFrame]:
-    return {
-        "national": national_outages(spark, folder, clean),
-        "facility": facility_outages(spark, folder, clean),
-        "generator": generator_outages(spark, folder),
-    }
+    """The three tables as stored Parquet, derived and written once per session.
+
+    Everything downstream reads what a published version is: key-ordered typed files.
+    """
+    known = (spark.sparkContext.applicationId, folder, clean)
+    if known not in _STORED:
+        root = scratch(spark, "tables")
+        units = settle(_units(spark, folder), "units")
+        write_sorted(_generator_rows(units, spark, folder), GENERATOR, f"{root}/generator")
+        write_sorted(_facility_rows(units, spark, folder, clean), FACILITY, f"{root}/facility")
+        write_sorted(_national_rows(units, clean), NATIONAL, f"{root}/national")
+        _STORED[known] = root
+    return {name: scan(spark, spec, f"{_STORED[known]}/{name}") for name, spec in GRAINS.items()}
+
+
+def generator_outages(spark: SparkSession, folder: str) -> DataFrame:
+    return outages(spark, folder)["generator"]
+
+
+def facility_outages(spark: SparkSession, folder: str) -> DataFrame:
+    return outages(spark, folder)["facility"]
+
+
+def national_outages(spark: SparkSession, folder: str) -> DataFrame:
+    return outages(spark, folder)["national"]
 
 
 def landed_attempts(
@@ -127,40 +148,38 @@ def landed_attempts(
     filled = numbered.groupBy(F.floor((F.col("_n") - 1) / page_size).cast("long").alias("page")).agg(
         F.array_sort(F.collect_list(row)).alias("_rows")  # at most page_size rows
     )
-    data_type = filled.select(F.transform("_rows", lambda r: r["row"]).alias("data")).schema["data"].dataType
+    rows_type = filled.schema["_rows"].dataType
     total = numbered.agg(F.count(F.lit(1))).scalar()
     stated = total if advertised is None else (advertised if isinstance(advertised, Column) else F.lit(advertised))
-    last = spark.range(1).select(
-        F.ceil(total / page_size).cast("long").alias("page"), F.array().cast(data_type).alias("data")
+    last = spark.range(1).select(F.ceil(total / page_size).cast("long").alias("page"), F.array().cast(rows_type).alias("_rows"))
+    pages = filled.unionByName(last).select(
+        "page", F.size("_rows").cast("long").alias("rows"), F.transform("_rows", lambda r: r["row"]).alias("data"),
+        stated.cast("string").alias("total"), F.least(F.col("page") * page_size, total).alias("offset"),
     )
-    pages = filled.select("page", F.transform("_rows", lambda r: r["row"]).alias("data")).unionByName(last)
-    response = F.struct(stated.cast("string").alias("total"), F.lit("daily").alias("frequency"), "data")
+    response = F.struct("total", F.lit("daily").alias("frequency"), "data")
     body = F.to_json(F.struct(F.lit(API_VERSION).alias("apiVersion"), response.alias("response")))
-    answered = pages.select("page", F.size("data").cast("long").alias("rows"), body.alias("body"), stated.cast("string").alias("total"))
     retried = F.col("page") % RETRY_EVERY == 2
     seq = F.col("page") + F.floor((F.col("page") + RETRY_EVERY - 2) / RETRY_EVERY).cast("long")
-    failed = answered.filter(retried).select(
-        (seq - 1).alias("seq"), "page", F.lit(1).alias("attempt_number"), F.lit(503).alias("http_status"),
-        F.lit(None).cast("string").alias("api_status"), F.lit(None).cast("string").alias("api_version"),
-        F.lit(None).cast("string").alias("advertised_total"), F.lit(None).cast("long").alias("actual_row_count"),
-        F.lit("http_error").alias("error_code"), F.lit(None).cast("string").alias("sanitized_response"),
-    )
-    good = answered.select(
-        seq.alias("seq"), "page", F.when(retried, 2).otherwise(1).alias("attempt_number"), F.lit(200).alias("http_status"),
-        F.lit(NO_ERROR).alias("api_status"), F.lit(API_VERSION).alias("api_version"), F.col("total").alias("advertised_total"),
-        F.col("rows").alias("actual_row_count"), F.lit(None).cast("string").alias("error_code"),
-        F.col("body").alias("sanitized_response"),
+    numbers = pages.select(
+        "offset", "rows", "total", seq.alias("_seq"), body.alias("body"),
+        # A retried page is answered at its second attempt.
+        F.explode(F.when(retried, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("attempt"),
+        F.when(retried, 2).otherwise(1).alias("last_attempt"),
     )
+    ok = F.col("attempt") == F.col("last_attempt")
+    placed = numbers.withColumn("seq", F.col("_seq") - F.col("last_attempt") + F.col("attempt"))
     start = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
     second = lambda n: start + F.make_dt_interval(secs=n)
-    both = good.unionByName(failed)
-    return both.select(
-        F.lit(version_id).alias("version_id"), F.lit(spec.name).alias("dataset"), F.col("seq").cast("long"),
-        F.least(F.col("page") * page_size, total).alias("offset"), F.lit(page_size).cast("long").alias("requested_length"),
-        F.col("attempt_number").cast("long"), second(F.col("seq") * 2).alias("started_at"),
-        second(F.col("seq") * 2 + 1).alias("completed_at"), F.col("http_status").cast("int"), "api_status", "api_version",
-        "advertised_total", "actual_row_count", "error_code", "sanitized_response",
-        F.sha2("sanitized_response", 256).alias("response_sha256"),
+    text = lambda value: F.lit(value).cast("string")
+    answered = placed.withColumn("sanitized_response", F.when(ok, F.col("body")))
+    return answered.select(
+        F.lit(version_id).alias("version_id"), F.lit(spec.name).alias("dataset"), F.col("seq").cast("long").alias("seq"),
+        "offset", F.lit(page_size).cast("long").alias("requested_length"), F.col("attempt").cast("long").alias("attempt_number"),
+        second(F.col("seq") * 2).alias("started_at"), second(F.col("seq") * 2 + 1).alias("completed_at"),
+        F.when(ok, 200).otherwise(503).alias("http_status"), F.when(ok, text(NO_ERROR)).alias("api_status"),
+        F.when(ok, text(API_VERSION)).alias("api_version"), F.when(ok, F.col("total")).alias("advertised_total"),
+        F.when(ok, F.col("rows")).alias("actual_row_count"), F.when(~ok, text("http_error")).alias("error_code"),
+        "sanitized_response", F.sha2("sanitized_response", 256).alias("response_sha256"),
     )
 
 

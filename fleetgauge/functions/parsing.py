@@ -58,17 +58,17 @@ def parse_decimal(text: Column, nonnegative: bool = False) -> Parsed:
     return Parsed(value, error)
 
 
-def _refuse(condition: Column, code: str) -> Column:
-    return F.when(condition, F.lit(code))
-
-
 def normalize(raw: DataFrame, spec: GrainSpec, keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed columns plus ``error_code``/``error_field`` of the first refused field.
 
     ``raw`` holds one text column per source field. A boolean ``<field>_not_text``
     column, where present, marks a value that was not text in the source.
+
+    Values are parsed in one projection and judged in the next, so a good row pays for
+    one test and one cast per field; the tests that name a fault run for faults only.
     """
     present = set(raw.columns)
+    numbers = (*spec.measures, spec.percent)
 
     def text(name: str) -> Column:
         return F.col(f"`{name}`") if name in present else F.lit(None).cast("string")
@@ -76,43 +76,38 @@ def normalize(raw: DataFrame, spec: GrainSpec, keep: tuple[str, ...] = ()) -> Da
     def not_text(name: str) -> Column:
         return F.col(f"{name}_not_text") if f"{name}_not_text" in present else F.lit(False)
 
-    day = parse_date(text(spec.period))
-    steps: list[tuple[str, Column]] = [(spec.period, day.error)]
-    values: dict[str, Column] = {spec.period: day.value}
-    for name in spec.entity:
-        parsed = parse_text(text(name))
-        steps.append((name, parsed.error))
-        values[name] = parsed.value
+    values = {spec.period: parse_date(text(spec.period)).value}
+    values |= {name: kept_text(text(name)) for name in (*spec.entity, *([spec.label] if spec.label else []))}
+    values |= {name: parse_decimal(text(name), nonnegative=name == "capacity").value for name in numbers}
+    parsed = raw.select("*", *[value.alias(f"_{name}") for name, value in values.items()])
+
+    def fault(condition: Column, field: str, code: Column | str) -> Column:
+        code = F.lit(code) if isinstance(code, str) else code
+        return F.when(condition, F.concat(code, F.lit("|"), F.lit(field)))
+
+    def unit_fault(name: str, needed: Column) -> Column:
+        wrong = ~text(f"{name}-units").eqNullSafe(F.lit(UNITS[name]))
+        return fault(needed & wrong, f"{name}-units", "invalid_units")
+
+    unparsed = lambda name: F.col(f"_{name}").isNull()
+    steps = [fault(unparsed(spec.period), spec.period, parse_date(text(spec.period)).error)]
+    steps += [fault(unparsed(name), name, "required_text") for name in spec.entity]
     if spec.label:
-        steps.append((spec.label, _refuse(not_text(spec.label), "invalid_text")))
-        values[spec.label] = kept_text(text(spec.label))
+        steps.append(fault(not_text(spec.label), spec.label, "invalid_text"))
     for name in spec.measures:
-        unit = text(f"{name}-units")
-        steps.append((f"{name}-units", _refuse(~unit.eqNullSafe(F.lit(UNITS[name])), "invalid_units")))
-        parsed = parse_decimal(text(name), nonnegative=name == "capacity")
-        steps.append((name, parsed.error))
-        values[name] = parsed.value
+        steps.append(unit_fault(name, F.lit(True)))
+        steps.append(fault(unparsed(name), name, parse_decimal(text(name), nonnegative=name == "capacity").error))
     percent = spec.percent
-    given = ~is_blank(text(percent))
-    steps.append((percent, _refuse(not_text(percent), "invalid_text")))
-    unit = text(f"{percent}-units")
-    steps.append(
-        (f"{percent}-units", _refuse(given & ~unit.eqNullSafe(F.lit(UNITS[percent])), "invalid_units"))
-    )
-    parsed = parse_decimal(text(percent))
-    steps.append((percent, F.when(given, parsed.error)))
-    values[percent] = F.when(given, parsed.value)
-
-    refused = F.coalesce(
-        *[F.when(error.isNotNull(), F.struct(error.alias("code"), F.lit(field).alias("field"))) for field, error in steps]
-    )
-    staged = raw.select(
-        *[F.col(f"`{name}`") for name in keep],
-        *[value.alias(name) for name, value in values.items()],
-        refused.alias("_refused"),
+    given = ~unparsed(percent) | ~is_blank(text(percent))
+    steps.append(fault(not_text(percent), percent, "invalid_text"))
+    steps.append(unit_fault(percent, given))
+    steps.append(fault(unparsed(percent) & given, percent, parse_decimal(text(percent)).error))
+    judged = parsed.select(
+        *[F.col(f"`{name}`") for name in keep], *[F.col(f"_{name}").alias(name) for name in values],
+        F.split(F.coalesce(*steps), r"\|").alias("_fault"),
     )
-    return staged.select(
-        *keep, *values, F.col("_refused.code").alias("error_code"), F.col("_refused.field").alias("error_field")
+    return judged.select(
+        *keep, *values, F.col("_fault")[0].alias("error_code"), F.col("_fault")[1].alias("error_field")
     )
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def case_fold(values: pd.Series) -> pd.Series:
     """Full Unicode case folding, which Spark's lower() does not do (ß, İ, final sigma)."""
     return values.map(str.casefold, na_action="ignore")

@@ -100,10 +100,10 @@ def national_reconciliation(
     return outcomes(facts, [outcome("V07", ALL, F.col("n"), F.col("bad"))])
 
 
-def integrity(faults: DataFrame, spec: GrainSpec) -> DataFrame:
-    """V08 over the faults that :func:`fleetgauge.sources.parquet.inspect` found."""
-    facts = faults.filter(F.col("dataset_key") == spec.name).agg(F.count(F.lit(1)).alias("faults"))
-    return outcomes(facts, [outcome("V08", spec.name, F.lit(1), (F.col("faults") > 0).cast("int"))])
+def integrity(faults: DataFrame) -> DataFrame:
+    """V08 of every table over the faults that :func:`fleetgauge.sources.parquet.inspect` found."""
+    facts = faults.agg(*[F.count_if(F.col("dataset_key") == name).alias(name) for name in GRAINS])
+    return outcomes(facts, [outcome("V08", name, F.lit(1), (F.col(name) > 0).cast("int")) for name in GRAINS])
 
 
 # --- source completeness -------------------------------------------------------
@@ -120,7 +120,7 @@ def _advertised(total: Column) -> tuple[Column, Column]:
 
 def attempt_facts(attempts: DataFrame, spec: GrainSpec) -> DataFrame:
     """One narrow row per attempt; the body is read here and left behind."""
-    opened = open_envelopes(attempts, spec)
+    opened = open_envelopes(attempts, spec, keys_only=True)
     body, response = F.col("body"), F.col("body.response")
     rows = F.size(response["data"])
     advertised, unusable = _advertised(response["total"])
@@ -198,9 +198,9 @@ def source_complete(attempts: DataFrame, routes: DataFrame, spec: GrainSpec, sta
         F.count_if(_progress_fault()).alias("progress"),
         *[F.count_if(name).alias(name) for name in ("bad_checksum", "bad_failure", "bad_outcome", "bad_total", "unreadable")],
     )
-    opened = open_envelopes(attempts.filter(answered()), spec)
+    opened = open_envelopes(attempts.filter(answered()), spec, keys_only=True)
     keys = opened.select(F.explode("body.response.data").alias("row")).select(
-        *[F.col("row")[k].cast("string").alias(k) for k in spec.keys]
+        *[F.col("row")[k].alias(k) for k in spec.keys]
     )
     repeated = keys.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
     complete = (
@@ -265,7 +265,7 @@ def schema_units(attempts: DataFrame, routes: DataFrame, saved: DataFrame, spec:
         F.count(F.lit(1)).alias("differing")
     )
     broken = typed.agg(F.count("error_code").alias("broken"))
-    pages = open_envelopes(attempts.filter(successful()), spec)
+    pages = open_envelopes(attempts.filter(successful()), spec, keys_only=True)
     other = pages.agg(
         F.count_if(~F.col("body.response.frequency").eqNullSafe(F.lit(FREQUENCY))).alias("other")
     )

@@ -33,18 +33,22 @@ def source_fields(spec: GrainSpec) -> list[str]:
     return names + [f"{name}-units" for name in (*spec.measures, spec.percent)]
 
 
-def envelope_type(spec: GrainSpec) -> str:
-    """Values stay VARIANT so that text can be told from JSON numbers and booleans."""
+def envelope_type(spec: GrainSpec, keys_only: bool = False) -> str:
+    """Values stay VARIANT so that text can be told from JSON numbers and booleans;
+    checks of the request log need the keys alone, as plain text."""
     row = ", ".join(f"`{name}`: variant" for name in source_fields(spec))
+    if keys_only:
+        row = ", ".join(f"`{name}`: string" for name in spec.keys)
     return (
         "apiVersion string, error variant, response struct<error: variant, total: variant, "
         f"frequency: string, data: array<struct<{row}>>>"
     )
 
 
-def open_envelopes(attempts: DataFrame, spec: GrainSpec) -> DataFrame:
+def open_envelopes(attempts: DataFrame, spec: GrainSpec, keys_only: bool = False) -> DataFrame:
     own = attempts.filter(F.col("dataset") == spec.name)
-    return own.withColumn("body", F.from_json("sanitized_response", envelope_type(spec), {"mode": "PERMISSIVE"}))
+    kind = envelope_type(spec, keys_only)
+    return own.withColumn("body", F.from_json("sanitized_response", kind, {"mode": "PERMISSIVE"}))
 
 
 def _is_text(value: Column) -> Column:
