@@ -5,6 +5,8 @@ Raw text is made from the given tables, so the SQL side is the source projection
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from fleetgauge import fixtures
@@ -23,7 +25,7 @@ from fleetgauge.functions.parsing import (
 from fleetgauge.operators.compare import multiset_difference
 from fleetgauge.plans import checks
 from fleetgauge.plans.outcomes import union
-from fleetgauge.session import scratch, settle
+from fleetgauge.session import scratch, settle, together
 from fleetgauge.sources import exports, history, pages, parquet
 
 PAGE_ROWS = 500
@@ -37,11 +39,12 @@ def land(spark, df, spec, advertised=None, page_rows=PAGE_ROWS):
 
 
 def land_all(spark, tables):
-    attempts = {
-        name: land(spark, tables[name], spec, tables["generator"].agg(F.count(F.lit(1))).scalar() if name == "facility" else None)
-        for name, spec in GRAINS.items()
-    }
-    return union(list(attempts.values()))
+    """Land all three tables; the facility pages advertise the number of generator rows."""
+    total = tables["generator"].agg(F.count(F.lit(1))).scalar()
+    landings = [
+        partial(land, spark, tables[name], spec, total if name == "facility" else None) for name, spec in GRAINS.items()
+    ]
+    return union(together(landings))
 
 
 def window_of(spark, folder):

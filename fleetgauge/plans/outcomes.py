@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.contracts import CHECK_SCHEMA, REQUIRED_SCOPES, severity
 
-Entry = tuple[str, str, Column, Column]
+logger = logging.getLogger(__name__)
 
 
 def _row(code: str, scope: str, checked: Column, failed: Column, details: Column | None, error: Column) -> Column:
@@ -50,7 +51,8 @@ def evaluate(spark: SparkSession, codes: list[tuple[str, str]], build: Callable[
     """
     try:
         rows = build().collect()
-    except Exception:
+    except Exception as problem:  # the result says "error"; the log says why
+        logger.warning("check job %s could not complete: %s", codes, problem)
         rows = [
             (code, scope, code in REQUIRED_SCOPES, severity(code), "error", 0, 0, None) for code, scope in codes
         ]

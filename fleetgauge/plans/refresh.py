@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.contracts import ALL, DIAGNOSTIC_SCOPES, FACILITY, GRAINS, MANIFEST_SCHEMA
+from fleetgauge.contracts import ALL, DIAGNOSTIC_SCOPES, FACILITY, GRAINS, MANIFEST_SCHEMA, GrainSpec
 from fleetgauge.functions.dates import calendar
 from fleetgauge.functions.parsing import accepted, normalize, refused
 from fleetgauge.operators.summary import any_rows
 from fleetgauge.plans import checks, diagnostics, gate
 from fleetgauge.plans.outcomes import evaluate, union
-from fleetgauge.session import settle
+from fleetgauge.session import settle, together
 from fleetgauge.sources import history
 from fleetgauge.sources.pages import page_rows
 from fleetgauge.sources.parquet import (
@@ -28,6 +29,10 @@ from fleetgauge.sources.parquet import (
 )
 
 
+ROW_CODES = ("D01", "D02", "D03", "D04", "D05", "D06")
+CHANGE_CODES = ("D07", "D08")
+
+
 @dataclass(frozen=True)
 class Window:
     start: date
@@ -42,15 +47,15 @@ def write_version(
     spark: SparkSession, attempts: DataFrame, root: str, version_id: str, window: Window
 ) -> DataFrame:
     """Parse every landed page, write the three tables and freeze their manifest."""
-    manifests = []
-    for spec in GRAINS.values():
+    def write_table(spec: GrainSpec) -> DataFrame:
         typed = settle(normalize(page_rows(attempts, spec), spec), "normalized")
         bad = refused(typed).groupBy("error_code", "error_field").count().limit(1).collect()
         if bad:
             raise Refused(f"{spec.name}: {bad[0]['error_code']} in {bad[0]['error_field']}")
         freeze_version(accepted(typed, spec), spec, root, version_id)
-        manifests.append(measure_version(spark, spec, root, version_id))
-    measured = settle(union(manifests), "measured")
+        return settle(measure_version(spark, spec, root, version_id), "measured")
+
+    measured = union(together(partial(write_table, spec) for spec in GRAINS.values()))
     if any_rows(manifest_faults(measured, window.start, window.end)):
         raise Refused("manifest")
     frozen = measured.select(*MANIFEST_SCHEMA.fieldNames())
@@ -82,46 +87,63 @@ def run_checks(
     tables = {name: scan(spark, spec, version_path(root, spec, version_id)) for name, spec in GRAINS.items()}
     days = calendar(spark, window.start, window.end)
     start, end = F.lit(window.start), F.lit(window.end)
-    results = []
+    profiles: dict[str, DataFrame] = {}
 
-    def job(codes, build):
-        results.append(evaluate(spark, codes, build))
+    def integrity() -> DataFrame:
+        return evaluate(
+            spark, [("V08", name) for name in GRAINS], lambda: checks.integrity(version_faults(spark, root, version_id))
+        )
 
-    job(
-        [("V08", name) for name in GRAINS],
-        lambda: checks.integrity(version_faults(spark, root, version_id)),
-    )
-    profiles: dict[str, DataFrame] = {}
-    for name, spec in GRAINS.items():
+    def source(spec: GrainSpec) -> DataFrame:
+        """V01, and the advertised-total diagnostic that depends on it."""
         facts: list[DataFrame] = []
 
-        def complete(spec=spec, facts=facts):
+        def complete() -> DataFrame:
             found = checks.source_complete(attempts, routes, spec, start, end, route_names[spec.name])
             facts.append(settle(found, "source"))
             return checks.source_outcome(facts[0], spec)
 
-        job([("V01", name)], complete)
-        job([("V02", name)], lambda spec=spec, name=name: checks.schema_units(attempts, routes, tables[name], spec))
-
-        def profiled(spec=spec, name=name):
-            profiles[name] = settle(checks.profile(tables[name], spec), "profile")
-            return checks.unique_keys(profiles[name], spec)
-
-        job([("V03", name)], profiled)
-        row_codes = [(c, name) for c in ("D01", "D02", "D03", "D04", "D05", "D06") if name in DIAGNOSTIC_SCOPES[c]]
-        job(row_codes, lambda spec=spec, name=name: diagnostics.row_diagnostics(tables[name], spec))
-        change_codes = [(c, name) for c in ("D07", "D08") if name in DIAGNOSTIC_SCOPES[c]]
-        job(change_codes, lambda spec=spec, name=name: diagnostics.change_diagnostics(tables[name], spec, start, end))
-        if spec is FACILITY:
-            job([("D09", name)], lambda facts=facts: checks.advertised_outcome(facts[0]))
-    ordered = lambda: {name: profiles[name] for name in GRAINS}
-    job([("V04", ALL)], lambda: checks.date_coverage(ordered(), days))
-    job([("V05", ALL), ("V06", ALL)], lambda: checks.cross_grain(profiles["generator"], profiles["facility"]))
-    job(
-        [("V07", ALL)],
-        lambda: checks.national_reconciliation(profiles["national"], profiles["facility"], profiles["generator"]),
-    )
-    return union(results)
+        result = evaluate(spark, [("V01", spec.name)], complete)
+        if spec is not FACILITY:
+            return result
+        return union([result, evaluate(spark, [("D09", spec.name)], lambda: checks.advertised_outcome(facts[0]))])
+
+    def units(spec: GrainSpec) -> DataFrame:
+        return evaluate(spark, [("V02", spec.name)], lambda: checks.schema_units(attempts, routes, tables[spec.name], spec))
+
+    def keys(spec: GrainSpec) -> DataFrame:
+        def profiled() -> DataFrame:
+            profiles[spec.name] = settle(checks.profile(tables[spec.name], spec), "profile")
+            return checks.unique_keys(profiles[spec.name], spec)
+
+        return evaluate(spark, [("V03", spec.name)], profiled)
+
+    def rows(spec: GrainSpec) -> DataFrame:
+        codes = [(c, spec.name) for c in ROW_CODES if spec.name in DIAGNOSTIC_SCOPES[c]]
+        return evaluate(spark, codes, lambda: diagnostics.row_diagnostics(tables[spec.name], spec))
+
+    def changes(spec: GrainSpec) -> DataFrame:
+        codes = [(c, spec.name) for c in CHANGE_CODES if spec.name in DIAGNOSTIC_SCOPES[c]]
+        return evaluate(spark, codes, lambda: diagnostics.change_diagnostics(tables[spec.name], spec, start, end))
+
+    results = together([integrity, *[partial(job, spec) for job in (keys, source, units, rows, changes) for spec in GRAINS.values()]])
+
+    def dates() -> DataFrame:
+        return evaluate(spark, [("V04", ALL)], lambda: checks.date_coverage({n: profiles[n] for n in GRAINS}, days))
+
+    def members() -> DataFrame:
+        return evaluate(
+            spark, [("V05", ALL), ("V06", ALL)], lambda: checks.cross_grain(profiles["generator"], profiles["facility"])
+        )
+
+    def national() -> DataFrame:
+        return evaluate(
+            spark, [("V07", ALL)],
+            lambda: checks.national_reconciliation(profiles["national"], profiles["facility"], profiles["generator"]),
+        )
+
+    # These read the profiles that the jobs above have stored.
+    return union(results + together([dates, members, national]))
 
 
 def verify(

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -50,3 +54,13 @@ def settle(df: DataFrame, purpose: str = "settled") -> DataFrame:
     path = scratch(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(tasks: Iterable[Callable[[], Any]]) -> list[Any]:
+    """Run independent jobs at the same time, so that short ones do not leave executors idle.
+
+    Results come in the order of the tasks; the first failure is raised.
+    """
+    tasks = list(tasks)
+    with ThreadPoolExecutor(max_workers=min(8, max(1, len(tasks)))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
