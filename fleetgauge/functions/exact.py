@@ -59,11 +59,25 @@ def outside_percent(value: Column | str) -> Column:
 def percent_disagrees(percent: Column | str, capacity: Column | str, outage: Column | str) -> Column:
     """|percent − 100·outage/capacity| > 0.0051, exactly; null where it does not apply.
 
-    The comparison runs on whole millionths. For an integer n and a ratio x, n > x is
-    n > floor(x) and n < x is n < ceil(x), so one exact integer quotient replaces
-    the 48-digit cross product and every DECIMAL(24,6) value stays inside 38 digits.
+    Doubles settle every row whose distance from the threshold exceeds the rounding
+    error of the doubles themselves; only rows nearer than that need whole numbers.
     """
     percent, capacity, outage = _column(percent), _column(capacity), _column(outage)
+    ratio = F.when(capacity != 0, outage.cast("double") * 100 / capacity.cast("double"))
+    distance = F.abs(percent.cast("double") - ratio) - F.lit(0.0051)
+    uncertain = (F.abs(percent.cast("double")) + F.abs(ratio) + 1) * F.lit(1e-13)
+    return F.when(F.abs(distance) > uncertain, distance > 0).when(
+        ratio.isNotNull() & percent.isNotNull(), _disagrees_exactly(percent, capacity, outage)
+    )
+
+
+def _disagrees_exactly(percent: Column, capacity: Column, outage: Column) -> Column:
+    """The same comparison on whole millionths.
+
+    For an integer n and a ratio x, n > x is n > floor(x) and n < x is n < ceil(x), so
+    one exact integer quotient replaces the 48-digit cross product and every
+    DECIMAL(24,6) value stays inside 38 digits.
+    """
     p = millionths(percent).cast(T.DecimalType(24, 0))
     c = F.nullif(millionths(capacity).cast(T.DecimalType(24, 0)), F.lit(0).cast(T.DecimalType(24, 0)))
     scaled = (millionths(outage).cast(T.DecimalType(24, 0)) * F.lit(100_000_000)).cast(T.DecimalType(32, 0))

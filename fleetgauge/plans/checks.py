@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from fleetgauge.contracts import ALL, GRAINS, GrainSpec
 from fleetgauge.functions.exact import TOTAL
-from fleetgauge.functions.parsing import accepted, normalize
+from fleetgauge.functions.parsing import normalize
 from fleetgauge.operators.compare import comparisons, joined_sums, multiset_difference, stacked
 from fleetgauge.plans.outcomes import outcome, outcomes
+from fleetgauge.session import settle
 from fleetgauge.sources.pages import answered, open_envelopes, page_rows, successful
 
 # The limits that a request log has to respect.
@@ -180,7 +181,8 @@ def _progress_fault() -> Column:
 def source_complete(attempts: DataFrame, routes: DataFrame, spec: GrainSpec, start: Column, end: Column, route: str) -> DataFrame:
     """V01 facts of one dataset: sorted reasons, rows, advertised total, readability."""
     b = F.col("before")
-    chain = with_predecessor(attempt_facts(attempts, spec))
+    # Stored first: the bodies are read once, and both sides of the join are narrow.
+    chain = with_predecessor(settle(attempt_facts(attempts, spec), "attempts"))
     late = (F.col("started_at") > F.col("completed_at")) | (b.isNotNull() & (b["completed_at"] > F.col("started_at")))
     seen = chain.agg(
         F.count(F.lit(1)).alias("attempts"),
@@ -260,20 +262,22 @@ def advertised_outcome(facts: DataFrame) -> DataFrame:
 
 def schema_units(attempts: DataFrame, routes: DataFrame, saved: DataFrame, spec: GrainSpec) -> DataFrame:
     """V02: source rows parsed again equal the saved rows as multisets, at a daily frequency."""
-    typed = normalize(page_rows(attempts, spec), spec)
-    differing = multiset_difference(accepted(typed, spec), saved.select(*spec.schema.names)).agg(
-        F.count(F.lit(1)).alias("differing")
-    )
-    broken = typed.agg(F.count("error_code").alias("broken"))
-    pages = open_envelopes(attempts.filter(successful()), spec, keys_only=True)
-    other = pages.agg(
-        F.count_if(~F.col("body.response.frequency").eqNullSafe(F.lit(FREQUENCY))).alias("other")
+    names = spec.schema.names
+    # Refused rows stay in the comparison under their error code: one pass tells both
+    # whether a source row could not be read and whether the two sides differ.
+    typed = normalize(page_rows(attempts, spec), spec).select(*names, "error_code")
+    kept = saved.select(*names, F.lit(None).cast("string").alias("error_code"))
+    differing = multiset_difference(typed, kept).agg(
+        F.count(F.lit(1)).alias("differing"), F.count("error_code").alias("broken")
     )
+    own = attempts.filter(successful() & (F.col("dataset") == spec.name))
+    stated = F.from_json("sanitized_response", "response struct<frequency: string>")["response"]["frequency"]
+    other = own.agg(F.count_if(~stated.eqNullSafe(F.lit(FREQUENCY))).alias("other"))
     route = routes.filter(F.col("dataset") == spec.name).agg(
         F.count_if(~F.col("frequency").eqNullSafe(F.lit(FREQUENCY))).alias("route_other")
     )
     one = F.lit(1).alias("_one")
-    parts = [part.select("*", one) for part in (differing, broken, other, route)]
+    parts = [part.select("*", one) for part in (differing, other, route)]
     facts = reduce(lambda a, b: a.join(b, "_one"), parts)
     bad = (F.col("differing") + F.col("other") + F.col("route_other") > 0).cast("int")
     return outcomes(facts, [outcome("V02", spec.name, F.lit(1), bad, error=F.col("broken") > 0)])

@@ -43,14 +43,15 @@ def _fingerprint(condition: Column, columns: list[str]) -> Column:
 
 
 def row_diagnostics(df: DataFrame, spec: GrainSpec) -> DataFrame:
-    """D01–D06 in one pass without a shuffle of rows."""
+    """D01–D06 in one pass without a shuffle of rows. Each condition is judged once per
+    row, in a projection of its own, before the counts and fingerprints use it."""
     conditions = row_conditions(spec)
     columns = [*spec.keys, *spec.measures, "percentOutage"]
-    facts = df.agg(
+    judged = df.select(*columns, *[c.alias(code) for code, c in conditions.items()])
+    facts = judged.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.size(not_applicable()) == 0).alias("eligible"),
-        *[F.count_if(c).alias(f"{code}_affected") for code, c in conditions.items()],
-        *[_fingerprint(c, columns).alias(f"{code}_details") for code, c in conditions.items()],
+        *[F.count_if(F.col(code)).alias(f"{code}_affected") for code in conditions],
+        *[_fingerprint(F.col(code), columns).alias(f"{code}_details") for code in conditions],
     )
     return outcomes(
         facts,

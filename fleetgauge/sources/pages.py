@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,31 +53,47 @@ def open_envelopes(attempts: DataFrame, spec: GrainSpec, keys_only: bool = False
     return own.withColumn("body", F.from_json("sanitized_response", kind, {"mode": "PERMISSIVE"}))
 
 
-def _is_text(value: Column) -> Column:
-    return F.schema_of_variant(value) == "STRING"
+def _text(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
+
 
+def _not_text(value: Column) -> Column:
+    return ~F.coalesce(F.schema_of_variant(value), F.lit("VOID")).isin("STRING", "VOID", "NULL")
 
-def _text(value: Column) -> Column:
-    return F.when(_is_text(value), value.cast("string"))
+
+def _may_hold_other_values(names: list[str]) -> Column:
+    """False only where every known field of a body is text or null: no unquoted value
+    follows a known key, and no escape could spell a key differently."""
+    keys = "|".join(re.escape(name) for name in names)
+    return F.col("sanitized_response").rlike(rf'"(?:{keys})"\s*:\s*(?:[-0-9{{\[]|true|false)|\\u')
 
 
 def page_rows(attempts: DataFrame, spec: GrainSpec) -> DataFrame:
-    """Source rows of the successful attempts, as text, duplicates and order kept apart.
+    """Source rows of the successful attempts, as text, duplicates kept.
 
-    Blank-able fields also say whether their value was something other than text.
+    Blank-able fields also say whether their value was something other than text. Bodies
+    that hold text alone are parsed as text; only the others pay for VARIANT values.
     """
-    opened = open_envelopes(attempts.filter(successful()), spec)
-    rows = opened.select("version_id", "seq", F.posexplode("body.response.data").alias("position", "row"))
+    names = source_fields(spec)
     optional = [name for name in (spec.label, spec.percent) if name]
-    flags = []
-    for name in optional:
-        value = F.col("row")[name]
-        kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-        flags.append((~kind.isin("STRING", "VOID", "NULL")).alias(f"{name}_not_text"))
+    fields = ", ".join([f"`{n}`: string" for n in names] + [f"`{n}_not_text`: boolean" for n in optional])
+    body = F.col("sanitized_response")
+    plain = F.from_json(body, f"response struct<data: array<struct<{fields}>>>")["response"]["data"]
+    checked = F.transform(
+        F.from_json(body, envelope_type(spec))["response"]["data"],
+        lambda r: F.struct(
+            *[_text(r[n]).alias(n) for n in names], *[_not_text(r[n]).alias(f"{n}_not_text") for n in optional]
+        ),
+    )
+    own = attempts.filter(successful() & (F.col("dataset") == spec.name)).withColumn(
+        "_mixed", _may_hold_other_values(names)
+    )
+    rows = own.select(
+        "version_id", "seq", "_mixed", F.posexplode(F.when(F.col("_mixed"), checked).otherwise(plain)).alias("position", "row")
+    )
     return rows.select(
-        "version_id", "seq", "position",
-        *[_text(F.col("row")[name]).alias(name) for name in source_fields(spec)],
-        *flags,
+        "version_id", "seq", "position", *[F.col("row")[n].alias(n) for n in names],
+        *[(F.col("_mixed") & F.coalesce(F.col("row")[f"{n}_not_text"], F.lit(False))).alias(f"{n}_not_text") for n in optional],
     )
 
 
