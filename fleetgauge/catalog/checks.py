@@ -18,6 +18,7 @@ from fleetgauge.contracts import (
 )
 from fleetgauge.functions.dates import observed_calendar
 from fleetgauge.operators import adjacency
+from fleetgauge.operators.summary import one_row
 from fleetgauge.plans import checks, diagnostics, gate, refresh
 from fleetgauge.plans.outcomes import union
 from fleetgauge.session import scratch, settle
@@ -294,9 +295,8 @@ def _(spark, folder):
     parts = []
     for attempt in ("a1", "a2"):
         own = saved.filter(F.col("attempt_id") == attempt)
-        single = gate.one_attempt(own).select("single", F.lit(attempt).alias("attempt"))
-        count = own.groupBy(F.col("attempt_id").alias("attempt")).agg(F.count(F.lit(1)).alias("results"))
-        parts.append(count.join(single, "attempt"))
+        count = own.agg(F.count(F.lit(1)).alias("results"), F.lit(attempt).alias("attempt"))
+        parts.append(one_row([count, gate.one_attempt(own)]))
     return union(parts)
 
 

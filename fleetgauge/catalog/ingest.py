@@ -23,6 +23,7 @@ from fleetgauge.functions.parsing import (
     refused,
 )
 from fleetgauge.operators.compare import multiset_difference
+from fleetgauge.operators.summary import one_row
 from fleetgauge.plans import checks
 from fleetgauge.plans.outcomes import union
 from fleetgauge.session import scratch, settle, together
@@ -103,15 +104,9 @@ def _(spark, folder):
 def _(spark, folder):
     path = stored(spark, fixtures.generator_outages(spark, folder), GENERATOR)
     table = parquet.scan(spark, GENERATOR, path)
-    # Files cover key ranges that do not overlap: compare each file's bounds with the next file's.
-    key = F.struct(*GENERATOR.keys)
-    bounds = table.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n"))
-    overlaps = bounds.alias("a").join(
-        bounds.alias("b"), (F.col("a.f") < F.col("b.f")) & (F.col("a.high") >= F.col("b.low"))
-    ).agg(F.count(F.lit(1))).scalar()
     return table.agg(
         F.count(F.lit(1)).alias("rows"), F.min("period").alias("first_day"), F.max("period").alias("last_day"),
-    ).withColumn("out_of_order", overlaps.cast("int"))
+    ).withColumn("out_of_order", parquet.overlapping_files(table, GENERATOR).scalar().cast("int"))
 
 
 @query("a06_version_is_not_reused", f"{TABLES} select count(*) as rows, true as second_write_refused from national_outages")
@@ -163,9 +158,9 @@ def _(spark, folder):
     measured = settle(_measured(spark, folder, scratch(spark, "versions")), "measured")
     start, end = window_of(spark, folder)
     bounds = spark.range(1).select(start.alias("s"), end.alias("e")).first()
-    faults = parquet.manifest_faults(measured, bounds["s"], bounds["e"]).agg(F.count(F.lit(1)).alias("faults"), F.lit(1).alias("_one"))
-    digest = parquet.manifest_digest(measured).select(F.length("manifest_sha256").alias("digest_length"), F.lit(1).alias("_one"))
-    return faults.join(digest, "_one").drop("_one")
+    faults = parquet.manifest_faults(measured, bounds["s"], bounds["e"]).agg(F.count(F.lit(1)).alias("faults"))
+    digest = parquet.manifest_digest(measured).select(F.length("manifest_sha256").alias("digest_length"))
+    return one_row([faults, digest])
 
 
 @query("a10_changed_files",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.contracts import GrainSpec
@@ -13,6 +15,13 @@ def any_rows(df: DataFrame) -> bool:
     return not df.isEmpty()
 
 
+def one_row(parts: list[DataFrame]) -> DataFrame:
+    """Several one-row results side by side, without a join: a union of narrow rows, then
+    the only value of each column. A part without rows leaves its columns null."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def group_sums(df: DataFrame, keys: list[str], measures: tuple[str, ...] = ("capacity", "outage")) -> DataFrame:
     """Exact sums at a coarser grain; a group that nobody reported stays absent."""
     sums = [F.sum(name).cast(TOTAL).alias(name) for name in measures]

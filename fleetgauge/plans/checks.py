@@ -11,6 +11,7 @@ from fleetgauge.contracts import ALL, GRAINS, GrainSpec
 from fleetgauge.functions.exact import TOTAL
 from fleetgauge.functions.parsing import normalize
 from fleetgauge.operators.compare import comparisons, joined_sums, multiset_difference, stacked
+from fleetgauge.operators.summary import one_row
 from fleetgauge.plans.outcomes import outcome, outcomes
 from fleetgauge.session import settle
 from fleetgauge.sources.pages import answered, open_envelopes, page_rows, successful
@@ -192,7 +193,7 @@ def source_complete(attempts: DataFrame, routes: DataFrame, spec: GrainSpec, sta
         F.count_if(b.isNotNull() & ~b["answered"]).alias("retries"),
         F.min("started_at").alias("first_start"),
         F.max("completed_at").alias("last_end"),
-        F.max_by(F.struct("answered", "rows"), "seq").alias("final"),
+        F.max_by(F.col("answered") & (F.col("rows") == 0), "seq").alias("ends_empty"),
         F.max_by("advertised", F.when(F.col("advertised").isNotNull(), F.col("seq"))).alias("advertised_total"),
         F.min("advertised").alias("low_total"),
         F.max("advertised").alias("high_total"),
@@ -214,9 +215,7 @@ def source_complete(attempts: DataFrame, routes: DataFrame, spec: GrainSpec, sta
         complete.alias("route_complete"),
         *[F.col(c).alias(f"route_{c}") for c in ("pages_fetched", "records_fetched", "retries", "started_at", "completed_at")],
     )
-    # Three relations of one row each, joined on a constant.
-    one = F.lit(1).alias("_one")
-    facts = own.select("*", one).join(seen.select("*", one), "_one", "full_outer").join(repeated.select("*", one), "_one", "full_outer")
+    facts = one_row([own, seen, repeated])
 
     def reason(condition: Column, name: str) -> Column:
         return F.when(F.coalesce(condition, F.lit(True)), F.lit(name))
@@ -231,7 +230,7 @@ def source_complete(attempts: DataFrame, routes: DataFrame, spec: GrainSpec, sta
         reason(F.col("bad_total") > 0, "total_evidence"),
         F.when(F.col("low_total") != F.col("high_total"), F.lit("unstable_total")),
         reason(F.col("repeated") > 0, "repeated_key"),
-        reason(~(F.col("final.answered") & (F.col("final.rows") == 0)), "missing_exhaustion"),
+        reason(~F.col("ends_empty"), "missing_exhaustion"),
         reason(
             (F.col("route_pages_fetched") != F.col("pages")) | (F.col("route_records_fetched") != F.col("row_count"))
             | (F.col("route_retries") != F.col("retries")), "route_counts",
@@ -276,9 +275,7 @@ def schema_units(attempts: DataFrame, routes: DataFrame, saved: DataFrame, spec:
     route = routes.filter(F.col("dataset") == spec.name).agg(
         F.count_if(~F.col("frequency").eqNullSafe(F.lit(FREQUENCY))).alias("route_other")
     )
-    one = F.lit(1).alias("_one")
-    parts = [part.select("*", one) for part in (differing, other, route)]
-    facts = reduce(lambda a, b: a.join(b, "_one"), parts)
+    facts = one_row([differing, other, route])
     bad = (F.col("differing") + F.col("other") + F.col("route_other") > 0).cast("int")
     return outcomes(facts, [outcome("V02", spec.name, F.lit(1), bad, error=F.col("broken") > 0)])
 

@@ -22,7 +22,7 @@ from fleetgauge.operators.compare import (
     stacked,
 )
 from fleetgauge.operators.runs import fully_out, longest_runs
-from fleetgauge.operators.summary import coverage, first_and_last, present_every_day, reuse, weighted_percent
+from fleetgauge.operators.summary import coverage, first_and_last, one_row, present_every_day, reuse, weighted_percent
 
 
 def capacity_step(national: DataFrame, facility: DataFrame, before: date | Column, after: date | Column) -> DataFrame:
@@ -34,8 +34,7 @@ def capacity_step(national: DataFrame, facility: DataFrame, before: date | Colum
         F.max(F.when(F.col("period") == second, F.col("capacity"))).alias("national_after"),
     )
     summary = change_summary(snapshot_change(facility, FACILITY, before, after))
-    one = F.lit(1).alias("_one")
-    both = step.select("*", one).join(summary.select("*", one), "_one")
+    both = one_row([step, summary])
     kept = F.col("increased") + F.col("decreased") + F.col("unchanged")
     available = (
         F.col("national_before").isNotNull() & F.col("national_after").isNotNull()
@@ -163,12 +162,6 @@ def claims(observed: DataFrame, expected: list[tuple[str, Column]]) -> DataFrame
     )
 
 
-def one_row(parts: list[DataFrame]) -> DataFrame:
-    """Several one-row results side by side."""
-    tagged = [p.select("*", F.lit(1).alias("_one")) for p in parts]
-    return reduce(lambda a, b: a.join(b, "_one"), tagged).drop("_one")
-
-
 def scope_facts(tables: dict[str, DataFrame], window: DataFrame) -> DataFrame:
     """Coverage of each grain as one row of prefixed columns."""
     parts = []

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.contracts import DIAGNOSTIC_MESSAGES, DIAGNOSTIC_PAIRS, REQUIRED_PAIRS, severity
+from fleetgauge.operators.summary import one_row
 
 REGISTRY_NAME = "warnings-v1"  # fixed value: part of the digest
 
@@ -98,11 +99,8 @@ def warning_identity(results: DataFrame) -> DataFrame:
 
 def decision(results: DataFrame) -> DataFrame:
     """Gate, completeness, warning count and whether a person has to approve: one row."""
-    one = F.lit(1).alias("_one")
-    parts = (
-        required_pass(results).select("passed", one)
-        .join(diagnostics_complete(results).select("complete", one), "_one")
-        .join(warning_identity(results).select("*", one), "_one")
+    parts = one_row(
+        [required_pass(results).select("passed"), diagnostics_complete(results).select("complete"), warning_identity(results)]
     )
     through = F.col("passed") & F.col("complete")
     return parts.select(

@@ -62,5 +62,6 @@ def together(tasks: Iterable[Callable[[], Any]]) -> list[Any]:
     Results come in the order of the tasks; the first failure is raised.
     """
     tasks = list(tasks)
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=min(8, max(1, len(tasks)))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +100,17 @@ def file_rows(df: DataFrame, spec: GrainSpec) -> DataFrame:
     )
 
 
+def overlapping_files(df: DataFrame, spec: GrainSpec) -> DataFrame:
+    """How many files start before the file in front of them ends; none in a sorted table.
+
+    The window sees one row per file.
+    """
+    key = F.struct(*spec.keys)
+    bounds = df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    previous = F.lag("high").over(Window.orderBy("low", "high"))
+    return bounds.select((F.col("low") < previous).alias("overlaps")).agg(F.count_if("overlaps").alias("overlapping"))
+
+
 def measure_version(spark: SparkSession, spec: GrainSpec, root: str, version_id: str) -> DataFrame:
     """Manifest rows of one table of one version, from the files as they are now."""
     path = version_path(root, spec, version_id)

@@ -315,7 +315,7 @@ def test_period_filters_reach_the_scan(spark):
     from fleetgauge.operators.paging import lookahead, selected
 
     df = lookahead(selected(parquet.scan(spark, FACILITY, path), FACILITY, START, END, {"facility": "46"}), FACILITY.keys, 10)
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     assert "GreaterThanOrEqual(period" in plan and "EqualTo(facility,46)" in plan and "TakeOrderedAndProject" in plan
 
 
