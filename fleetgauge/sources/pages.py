@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,11 +59,16 @@ def _not_text(value: Column) -> Column:
     return ~F.coalesce(F.schema_of_variant(value), F.lit("VOID")).isin("STRING", "VOID", "NULL")
 
 
-def _may_hold_other_values(names: list[str]) -> Column:
-    """False only where every known field of a body is text or null: no unquoted value
-    follows a known key, and no escape could spell a key differently."""
-    keys = "|".join(re.escape(name) for name in names)
-    return F.col("sanitized_response").rlike(rf'"(?:{keys})"\s*:\s*(?:[-0-9{{\[]|true|false)|\\u')
+# A value that is neither quoted nor null, after any key but those of the envelope.
+UNQUOTED = r'"\s*+:(?<!"(?:response|data|total)":)\s*+[^"\sn]'
+
+
+def _may_hold_other_values() -> Column:
+    """False only where every row value of a body is text or null. An escape could spell
+    a key differently, and text that looks like a value counts as one; both only mean
+    that a body takes the careful way."""
+    body = F.col("sanitized_response")
+    return F.contains(body, F.lit("\\u")) | body.rlike(UNQUOTED)
 
 
 def page_rows(attempts: DataFrame, spec: GrainSpec) -> DataFrame:
@@ -86,7 +89,7 @@ def page_rows(attempts: DataFrame, spec: GrainSpec) -> DataFrame:
         ),
     )
     own = attempts.filter(successful() & (F.col("dataset") == spec.name)).withColumn(
-        "_mixed", _may_hold_other_values(names)
+        "_mixed", _may_hold_other_values()
     )
     rows = own.select(
         "version_id", "seq", "_mixed", F.posexplode(F.when(F.col("_mixed"), checked).otherwise(plain)).alias("position", "row")
