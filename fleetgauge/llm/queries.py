@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import findable, table
 from fleetgauge.llm.difference_cover import remove_repeated_bytes
+from fleetgauge.llm.line_rules import line_rules
 from fleetgauge.llm.suffix_trees import remove_repeated_words
+from fleetgauge.llm.url_trees import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +60,43 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = remove_repeated_bytes(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP7_SQL = rf"""
+with d as (select doc_id, source host, coalesce(text, '') t, {SPLIT.format(text="coalesce(text, '')")} w from documents),
+sized as (select *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from d),
+windows as (select doc_id, i, md5(array_to_string(w[i:i+7], ' ')) h
+  from (select doc_id, w, unnest(generate_series(1, len(w) - 7)) i from d where len(w) >= 8)),
+twice as (select doc_id, i from windows qualify count(*) over (partition by doc_id, h) > 1),
+repeats as (select doc_id, cast(sum(n) as bigint) n from
+  (select doc_id, least(8, coalesce(lead(i) over (partition by doc_id order by i) - i, 8)) n from twice) group by doc_id),
+lines as (select doc_id, host, md5(t) text_hash,
+    unnest(list_transform(l, lambda x: lower(trim(regexp_replace(x, '[ \x09-\x0D]+', ' ', 'g'))))) line from sized),
+hosts as (select host, count(*) of_host from d group by host),
+above as (select host, line, first_doc from
+  (select host, line, count(distinct text_hash) n, min(doc_id) first_doc from lines group by all) join hosts using (host)
+  where n > 10 and 1000 * n > 5 * of_host),
+chars as (select doc_id, sum(length(line)) line_chars,
+    sum(case when first_doc is not null and first_doc <> doc_id then length(line) else 0 end) cut_chars
+  from lines left join above using (host, line) group by doc_id),
+judged as (select doc_id, cast(len(w) as bigint) n_words,
+    cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) word_chars,
+    cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) n_symbols,
+    cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines, coalesce(n, 0) n_repeat_words,
+    coalesce(100 * (line_chars - cut_chars) >= 20 * line_chars, true) enough
+  from sized left join repeats using (doc_id) left join chars using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and enough kept
+from judged"""
+
+
+@query("op7_line_frequency_rules", OP7_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    return line_rules(table(spark, folder, "documents")).select(*columns)
+
+
+@query("op5_url_boosted_trees")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"))
