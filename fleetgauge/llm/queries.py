@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import findable, table
+from fleetgauge.llm.decontaminate import search_benchmark, with_digest
 from fleetgauge.llm.difference_cover import remove_repeated_bytes
 from fleetgauge.llm.line_rules import line_rules
 from fleetgauge.llm.suffix_trees import remove_repeated_words
@@ -100,3 +101,27 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_url_boosted_trees")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"))
+
+
+OP4_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+sought as (select distinct item_id, n, array_to_string(w[i:i+n-1], ' ') h
+  from (select item_id, w, least(10, len(w)) n, unnest(generate_series(1, greatest(len(w) - 9, 1))) i from b where len(w) > 0)),
+lengths as (select distinct n from sought),
+windows as (select doc_id, i, n, array_to_string(w[i:i+n-1], ' ') h
+  from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) i from d, lengths where len(w) >= n)),
+met as (select doc_id, i, n, item_id from windows join sought using (n, h)),
+hits as (select doc_id, count(distinct i + j) n_hit from (select doc_id, i, unnest(generate_series(0, n - 1)) j from met) group by doc_id),
+named as (select doc_id, count(*) n_items, sha256(string_agg(x, ',' order by x)) s
+  from (select distinct doc_id, cast(item_id as varchar) x from met) group by doc_id)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+  coalesce(s, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join hits using (doc_id) left join named using (doc_id)"""
+
+
+@query("op4_decontamination", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return with_digest(search_benchmark(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
