@@ -13,6 +13,7 @@ from fleetgauge.llm.decontaminate import search_benchmark, with_digest
 from fleetgauge.llm.difference_cover import remove_repeated_bytes
 from fleetgauge.llm.line_rules import line_rules
 from fleetgauge.llm.suffix_trees import remove_repeated_words
+from fleetgauge.llm.toxicity import judge_toxicity
 from fleetgauge.llm.url_trees import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +126,8 @@ from d left join hits using (doc_id) left join named using (doc_id)"""
 @query("op4_decontamination", OP4_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return with_digest(search_benchmark(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
