@@ -8,11 +8,13 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetgauge.llm.byte_pairs import encode_and_decode
 from fleetgauge.llm.common import findable, table
 from fleetgauge.llm.decontaminate import search_benchmark, with_digest
 from fleetgauge.llm.difference_cover import remove_repeated_bytes
 from fleetgauge.llm.line_rules import line_rules
 from fleetgauge.llm.suffix_trees import remove_repeated_words
+from fleetgauge.llm.token_files import write_and_read
 from fleetgauge.llm.toxicity import judge_toxicity
 from fleetgauge.llm.url_trees import judge_urls
 
@@ -131,3 +133,18 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_toxicity")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return judge_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_byte_pairs")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    found = encode_and_decode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op1_range_coded_tokens")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return write_and_read(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
