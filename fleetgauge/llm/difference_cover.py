@@ -51,51 +51,45 @@ def read_bytes(gram: int):
     return read
 
 
-def _dense(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    values, rank = np.unique(keys, return_inverse=True)
-    return rank, len(values)
-
-
 def _at(x: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """x[i], and 0 past the end; ranks count from 1."""
+    """x[i], and 0 past the end."""
     return np.where(i < len(x), x[np.minimum(i, len(x) - 1)], 0)
 
 
-def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of every suffix by its first ``depth`` symbols at least; suffixes that agree so far may share a rank.
+def _triples(text: np.ndarray, at: np.ndarray, top: int) -> np.ndarray:
+    """One number for each triple, in the order of the triples; ``top`` is over every symbol."""
+    if top < 1 << 21:
+        return (_at(text, at) * top + _at(text, at + 1)) * top + _at(text, at + 2)
+    pairs = np.unique(_at(text, at) * top + _at(text, at + 1), return_inverse=True)[1]
+    return pairs * top + _at(text, at + 2)
+
+
+def suffix_ranks(text: np.ndarray, depth: int, top: int) -> np.ndarray:
+    """Ranks from 0 of all suffixes by their first ``depth`` symbols at least; suffixes that agree so far may share one.
 
-    ``text`` holds numbers from 1. Triples at positions 1 and 2 of every three are named; their suffixes
-    are ranked by recursion on the names, each of which stands for three symbols.
+    ``text`` holds numbers from 1 and below ``top``. Triples at positions 1 and 2 of every three are named; their
+    suffixes are ranked by recursion on the names, each of which stands for three symbols.
     """
     n = len(text)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    if depth <= 1 or n < 3:
-        padded = np.concatenate((text, np.zeros(2, text.dtype)))
-        key = padded[:n].astype(np.int64)
-        if n < 3:
-            for i in (1, 2):
-                key = key * (int(text.max()) + 2) + padded[i : n + i]
-        return _dense(key)[0] + 1
-    text, top = _dense(text)
-    text = text + 1
-    one, two = np.arange(1, n, 3), np.arange(2, n, 3)
+    if depth <= 3 or n < 3:
+        return np.unique(_triples(text, np.arange(n), top), return_inverse=True)[1] if n else np.zeros(0, np.int64)
+    one, two, zero = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
     sample = np.concatenate((one, two))
-    pair, _ = _dense(_at(text, sample) * (top + 1) + _at(text, sample + 1))
-    names, many = _dense(pair * (top + 1) + _at(text, sample + 2))
-    if many < len(sample):
+    values, names = np.unique(_triples(text, sample, top), return_inverse=True)
+    if len(values) < len(sample):
         # a gap between the halves keeps a triple of the first from running into the second
         string = np.concatenate((names[: len(one)] + 2, [1], names[len(one) :] + 2))
-        ranked = suffix_ranks(string, -(-depth // 3))
-        names = _dense(np.delete(ranked, len(one)))[0]
+        names = np.delete(suffix_ranks(string, -(-depth // 3), len(values) + 2), len(one))
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = names + 1
-    size = int(rank.max()) + 2
-    zero = np.arange(0, n, 3)
-    both = np.concatenate((zero, two))
-    heads, _ = _dense(_at(text, both) * (top + 1) + _at(text, both + 1))
+    size = int(names.max()) + 2
     # merge: how many suffixes of the other classes are smaller; two of them compare by what is ranked
     zero_as_one, one_key = text[zero] * size + rank[zero + 1], text[one] * size + rank[one + 1]
+    if top * top * size < 1 << 62:
+        heads = _at(text, np.concatenate((zero, two))) * top + _at(text, np.concatenate((zero, two)) + 1)
+    else:
+        both = np.concatenate((zero, two))
+        heads = np.unique(_at(text, both) * top + _at(text, both + 1), return_inverse=True)[1]
     zero_as_two, two_key = heads[: len(zero)] * size + rank[zero + 2], heads[len(zero) :] * size + rank[two + 2]
     zeros, ones, twos, zeros_two = np.sort(zero_as_one), np.sort(one_key), np.sort(two_key), np.sort(zero_as_two)
     sizes = np.bincount(rank[sample], minlength=size)
@@ -104,28 +98,49 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     out[zero] = np.searchsorted(zeros, zero_as_one) + np.searchsorted(ones, zero_as_one) + np.searchsorted(twos, zero_as_two)
     out[one] = before[rank[one]] + np.searchsorted(zeros, one_key)
     out[two] = before[rank[two]] + np.searchsorted(zeros_two, two_key)
-    return _dense(out)[0] + 1
+    return out
 
 
-def equal_windows(contents: list[bytes], count: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, int]:
-    """A class for each window; windows are equal if and only if their classes are."""
+def _loads(length: int) -> list[int]:
+    return list(dict.fromkeys([*range(0, length - 7, 8), length - 8]))
+
+
+def equal_windows(contents: list[bytes], count: np.ndarray, several: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, int]:
+    """A class for each window; windows are equal if and only if their classes are.
+
+    Strings of one document whose windows all have hashes of their own repeat nothing and stay out of the array.
+    """
     sizes = np.array([len(c) for c in contents], np.int64)
     first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    data = np.frombuffer(b"\0".join(contents) + b"\0" * (length + 8), np.uint8)
+    data = np.frombuffer(b"\0".join(contents) + b"\0" * (8 + length + 8 - (int(sizes.sum()) + len(sizes) + length) % 8), np.uint8)
+    data = data[: len(data) // 8 * 8]
+    eights = _eights(data)
     starts = ranges(first, count)
-    rank = suffix_ranks(data[: int((sizes + 1).sum())].astype(np.int64) + 1, length)
-    order = np.argsort(rank[starts], kind="stable")
-    at = starts[order]
-    differs = np.zeros(max(0, len(at) - 1), bool)
-    eights = _eights(np.concatenate((data, np.zeros((-len(data)) % 8 + 8, np.uint8))))
-    for offset in dict.fromkeys([*range(0, length - 7, 8), length - 8]) if length >= 8 else []:
-        differs |= eights[at[1:] + offset] != eights[at[:-1] + offset]
-    if length < 8:
-        for offset in range(length):
-            differs |= data[at[1:] + offset] != data[at[:-1] + offset]
-    classes = np.empty(len(at), np.int64)
-    classes[order] = np.concatenate(([0], np.cumsum(differs)))[: len(at)]
-    return classes, int(classes.max()) + 1 if len(at) else 0
+    loads = _loads(length)
+    hashes = np.zeros(len(starts), np.uint64)
+    for offset in loads:
+        hashes = mixed(hashes + eights[starts + offset])
+    _, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(contents)), count)
+    held = several | (np.bincount(owner, times[inverse] > 1, len(contents)) > 0)
+    inside = held[owner]
+    classes = np.empty(len(starts), np.int64)
+    outside = int((~inside).sum())
+    classes[~inside] = np.arange(outside)
+    if inside.any():
+        where = np.flatnonzero(held)
+        text = data[ranges(first[where], sizes[where] + 1)].astype(np.int64) + 1
+        moved = np.concatenate(([0], np.cumsum(sizes[where] + 1)[:-1]))
+        rank = suffix_ranks(text, length, 258)[ranges(moved, count[where])]
+        order = np.argsort(rank, kind="stable")
+        at = starts[inside][order]
+        differs = np.zeros(len(at) - 1, bool)
+        for offset in loads:
+            differs |= eights[at[1:] + offset] != eights[at[:-1] + offset]
+        own = np.empty(len(at), np.int64)
+        own[order] = np.concatenate(([0], np.cumsum(differs)))
+        classes[inside] = outside + own
+    return classes, int(classes.max()) + 1 if len(classes) else 0
 
 
 def remove_repeated_bytes(
@@ -133,10 +148,10 @@ def remove_repeated_bytes(
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed runs, end exclusive), kept (the bytes left), kept_sha256.
 
-    A byte goes if a string of ``length`` bytes around it also starts in a document with a smaller doc_id.
+    A byte goes if a string of ``length`` bytes (8 at least) around it also starts in a document with a smaller doc_id.
     """
-    buckets = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    plan = Plan(length, gram, read_bytes(gram), lambda c, n: equal_windows(c, n, length), hot_blocks, buckets)
+    buckets = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    plan = Plan(length, gram, read_bytes(gram), len, lambda c, n, s: equal_windows(c, n, s, length), hot_blocks, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

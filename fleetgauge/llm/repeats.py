@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,8 @@ class Plan:
     length: int
     gram: int
     read: Callable[[list[str | None]], Symbols]
-    equal_windows: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]]
+    symbols: Callable[[bytes], int]  # how many a string has
+    equal_windows: Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, int]]  # strings, their windows, whether two documents have them
     hot_blocks: int = 4096
     buckets: int = 64
 
@@ -210,18 +212,15 @@ def _send_runs(plan: Plan) -> Callable:
                 continue
             content = cut(s, s + n + length - 1)
             if b < 0:
-                import xxhash
-
                 b = xxhash.xxh3_64_intdigest(content) % plan.buckets
             contents, which, starts, docs = sent.setdefault(b, ({}, [], [], []))
-            which.append(contents.setdefault((content, n), len(contents)))
+            which.append(contents.setdefault(content, len(contents)))
             starts.append(s)
             docs.append(d)
         rows = []
         for b, (contents, which, starts, docs) in sent.items():
             body = _pack(
-                b"".join(c for c, _ in contents), np.array([len(c) for c, _ in contents], "<u4").tobytes(),
-                np.array([n for _, n in contents], "<u4").tobytes(), np.array(which, "<u4").tobytes(),
+                b"".join(contents), np.array([len(c) for c in contents], "<u4").tobytes(), np.array(which, "<u4").tobytes(),
                 np.array(starts, "<u4").tobytes(), numbers[docs].astype("<i8").tobytes(),
             )
             rows.append((b, block, body))
@@ -239,15 +238,12 @@ def _send_runs(plan: Plan) -> Callable:
 
 def _judge_runs(plan: Plan) -> Callable:
     def run(rows: pa.Table) -> pa.Table:
-        contents: dict[tuple[bytes, int], int] = {}
+        contents: dict[bytes, int] = {}
         per_block = []
         for block, body in zip(rows.column("block").to_pylist(), rows.column("body").to_pylist(), strict=True):
-            text, sizes, counts, which, starts, docs = _unpack(body, 6)
+            text, sizes, which, starts, docs = _unpack(body, 5)
             edges = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64))).tolist()
-            own = [
-                contents.setdefault((text[x:y], n), len(contents))
-                for x, y, n in zip(edges[:-1], edges[1:], np.frombuffer(counts, "<u4").tolist(), strict=True)
-            ]
+            own = [contents.setdefault(text[x:y], len(contents)) for x, y in zip(edges[:-1], edges[1:], strict=True)]
             per_block.append((
                 block, np.array(own, np.int64)[np.frombuffer(which, "<u4")], np.frombuffer(starts, "<u4").astype(np.int64),
                 np.frombuffer(docs, "<i8"),
@@ -255,12 +251,14 @@ def _judge_runs(plan: Plan) -> Callable:
         content = np.concatenate([x[1] for x in per_block])
         start = np.concatenate([x[2] for x in per_block])
         doc = np.concatenate([x[3] for x in per_block])
-        count = np.array([n for _, n in contents], np.int64)
-        least = np.full(len(contents), np.iinfo(np.int64).max)
+        strings = list(contents)
+        count = np.array([plan.symbols(c) for c in strings], np.int64) - plan.length + 1
+        least, most = np.full(len(strings), np.iinfo(np.int64).max), np.full(len(strings), np.iinfo(np.int64).min)
         np.minimum.at(least, content, doc)
+        np.maximum.at(most, content, doc)
         # classes: a number for each window of each distinct run, equal for equal windows
-        owner = np.repeat(np.arange(len(contents)), count)
-        classes, size = plan.equal_windows([c for c, _ in contents], count)
+        owner = np.repeat(np.arange(len(strings)), count)
+        classes, size = plan.equal_windows(strings, count, least < most)
         smallest = np.full(size, np.iinfo(np.int64).max)
         np.minimum.at(smallest, classes, least[owner])
         first = np.concatenate(([0], np.cumsum(count)[:-1]))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fleetgauge.llm.common import BLOCK_CHARS, WordCodes, as_bytes, mixed, sha256_hex
+from fleetgauge.llm.common import BLOCK_CHARS, WordCodes, as_bytes, mixed, ranges, sha256_hex
 from fleetgauge.llm.repeats import Plan, Symbols, covered, removed_windows
 
 LENGTH, GRAM = 13, 5
@@ -103,11 +103,9 @@ class SuffixTree:
         return out
 
 
-def equal_windows(contents: list[bytes], count: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, int]:
+def equal_windows(contents: list[bytes], count: np.ndarray, several: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, int]:
     strings = [c.split(b" ") for c in contents]
     first = np.concatenate(([0], np.cumsum([len(s) + 1 for s in strings])[:-1])).astype(np.int64)
-    from fleetgauge.llm.common import ranges
-
     node = SuffixTree(strings, ranges(first, count), length).deep_nodes(length)
     return node, int(node.max()) + 1 if len(node) else 0
 
@@ -120,7 +118,7 @@ def remove_repeated_words(
     A word goes if a window of ``length`` words around it also starts in a document with a smaller doc_id.
     """
     buckets = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    plan = Plan(length, gram, read_words(gram), lambda c, n: equal_windows(c, n, length), hot_blocks, buckets)
+    plan = Plan(length, gram, read_words(gram), lambda c: c.count(b" ") + 1, lambda c, n, s: equal_windows(c, n, s, length), hot_blocks, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
