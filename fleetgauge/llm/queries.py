@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetgauge.llm import personal
 from fleetgauge.llm.byte_pairs import encode_and_decode
 from fleetgauge.llm.common import findable, table
 from fleetgauge.llm.decontaminate import search_benchmark, with_digest
@@ -148,3 +149,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return write_and_read(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.with_digest(personal.find_personal(table(spark, folder, "documents")))

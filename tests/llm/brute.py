@@ -45,3 +45,23 @@ def repeated_bytes(docs, length: int = 50) -> set[tuple]:
         spans = sum(g[i] and not (i and g[i - 1]) for i in range(len(g)))
         rows.add((d, len(data), sum(g), spans, sha(bytes(b for b, x in zip(data, g) if not x))))
     return rows
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def personal_base(text: str) -> list[tuple[int, int, str, int]]:
+    def luhn(s):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(s[::-1])) % 10 == 0
+
+    found = [(m.start(), 0, "email", m.end()) for m in EMAIL.finditer(text)]
+    found += [(m.start(), 1, "ip", m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(text):
+        s = re.sub(r"\D", "", m[0])
+        if 12 <= len(s) <= 19 and luhn(s):
+            found.append((m.start(), 2, "card", m.end()))
+    found += [(m.start(), 3, "phone", m.end()) for m in PHONE.finditer(text) if 9 <= len(re.sub(r"[^0-9]", "", m[0])) <= 15]
+    return sorted(found)
