@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from fleetgauge.session import scratch
 
 BLOCK_CHARS = 4_000_000
+IN_PART = 20  # bits for the blocks of a partition, and for the documents of a block
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,7 +73,7 @@ def pack_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([(part << 32) + made], pa.int64()),
+                    pa.array([(part << IN_PART) + made], pa.int64()),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([texts], pa.list_(pa.string())),
                 ],

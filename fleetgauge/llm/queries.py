@@ -14,6 +14,7 @@ from fleetgauge.llm.common import findable, table
 from fleetgauge.llm.decontaminate import search_benchmark, with_digest
 from fleetgauge.llm.difference_cover import remove_repeated_bytes
 from fleetgauge.llm.line_rules import line_rules
+from fleetgauge.llm.similar import near_duplicates
 from fleetgauge.llm.suffix_trees import remove_repeated_words
 from fleetgauge.llm.token_files import write_and_read
 from fleetgauge.llm.toxicity import judge_toxicity
@@ -154,3 +155,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_personal_data")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return personal.with_digest(personal.find_personal(table(spark, folder, "documents")))
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")

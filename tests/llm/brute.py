@@ -65,3 +65,33 @@ def personal_base(text: str) -> list[tuple[int, int, str, int]]:
             found.append((m.start(), 2, "card", m.end()))
     found += [(m.start(), 3, "phone", m.end()) for m in PHONE.finditer(text) if 9 <= len(re.sub(r"[^0-9]", "", m[0])) <= 15]
     return sorted(found)
+
+
+def shingle_set(text) -> set:
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_components(docs) -> set[tuple]:
+    sets = {d: shingle_set(t) for d, t in docs}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    postings: dict = {}
+    for d, s in sets.items():
+        for x in s:
+            postings.setdefault(x, []).append(d)
+    shared: dict = {}
+    for ds in postings.values():
+        for i, a in enumerate(ds):
+            for b in ds[i + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    for (a, b), n in shared.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    return {(d, len(s), root(d)) for d, s in sets.items()}
