@@ -305,8 +305,8 @@ def _(spark, folder):
 
 
 @query("h02_observed_day_changes",
-       f"""{TABLES}, o as (select period, lead(period) over (order by period) nxt from (select distinct period from national_outages) x),
-       e as (select distinct o.period d, o.nxt, f.facility from o join facility_outages f on f.period = o.period),
+       f"""{TABLES}, o as (select period, lead(period) over (order by period) nxt
+         from (select distinct period from national_outages where period in (select period from facility_outages)) x),
        a as (select period as before, nxt as after, 'removed' as change, facility from o join facility_outages using (period)
          where nxt is not null and (nxt, facility) not in (select (period, facility) from facility_outages)),
        b as (select o.period as before, o.nxt as after, 'added' as change, f.facility from o join facility_outages f on f.period = o.nxt

@@ -81,6 +81,40 @@ def _(spark, folder):
     return pages.page_rows(attempts, GENERATOR).select(*GENERATOR.schema.names)
 
 
+FAULTY_PAGE = 50
+# What happens to page p: cut short, emptied, replaced, given an error, changed after it was sealed; every sixth stays.
+_BROKEN = {1: "unreadable_body", 2: "unreadable_body", 3: "unreadable_body", 4: "error_member", 5: "response_checksum"}
+
+
+def broken_pages(attempts):
+    """Landed attempts with five of six bodies damaged, each in its own way."""
+    page, body = F.floor(F.col("offset") / FAULTY_PAGE) % 6, F.col("sanitized_response")
+    damaged = (
+        F.when(page == 1, F.substring(body, 1, 40)).when(page == 2, F.lit('{"response":{}}')).when(page == 3, F.lit("no page"))
+        .when(page == 4, F.regexp_replace(body, r"^\{", '{"error":{"code":1},'))
+    )
+    changed = attempts.withColumn("sanitized_response", F.when(body.isNotNull(), F.coalesce(damaged, body)))
+    sealed = changed.withColumn("response_sha256", F.sha2("sanitized_response", 256))
+    late = F.when(page == 5, F.concat("sanitized_response", F.lit(" "))).otherwise(F.col("sanitized_response"))
+    return sealed.withColumn("sanitized_response", late)
+
+
+@query("a02_refused_bodies",
+       f"""{TABLES}, n as (select row_number() over (order by period) - 1 i from national_outages),
+       pages as (select i // {FAULTY_PAGE} p, count(*) n from n group by 1),
+       codes as (values {', '.join(f"({p}, '{code}')" for p, code in _BROKEN.items())}),
+       last as (select (select count(*) from n) // {FAULTY_PAGE} p where (select count(*) from n) % {FAULTY_PAGE} = 0
+         union all select (select count(*) from n) // {FAULTY_PAGE} where (select count(*) from n) % {FAULTY_PAGE} <> 0),
+       every as (select p, true has_rows from pages union all select p, false from last)
+       select c.col1 as error_code, 'sanitized_response' as error_field, count(*) as rows from every join codes c on c.col0 = p % 6 group by 1
+       union all select null, null, cast(sum(n) as bigint) from pages where p % 6 = 0""")
+def _(spark, folder):
+    landed = land(spark, fixtures.national_outages(spark, folder), NATIONAL, page_rows=FAULTY_PAGE)
+    log = broken_pages(landed).unionByName(landed.withColumn("version_id", F.lit("v2")))
+    typed = normalize(pages.page_rows(pages.of_version(log, "v1"), NATIONAL), NATIONAL)
+    return typed.groupBy("error_code", "error_field").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("a03_csv_export", f"""{TABLES} select period, facility, capacity, outage, "percentOutage", "facilityName" from facility_outages""")
 def _(spark, folder):
     path, names = scratch(spark, "export"), FACILITY.schema.names
@@ -88,6 +122,28 @@ def _(spark, folder):
     return exports.load_export(spark, path, FACILITY, names).withColumn("facilityName", kept_text(F.col("facilityName")))
 
 
+# Number text by line number: places beyond the sixth are refused as written, even zeros and by exponent.
+_NUMBERS = {1: ".0000000000001", 2: ".0000000", 3: ".000000", 4: "e-7", 5: "0e-7", 6: "e2", 7: ".25e-4"}
+
+
+@query("a03_refused_numbers",
+       """select l_linenumber, case when l_linenumber in (1, 2, 4, 5) then 'invalid_number' end as refused, count(*) as rows,
+       sum(case l_linenumber when 3 then l_quantity::int::decimal(24,6) when 6 then (l_quantity::int * 100)::decimal(24,6)
+         when 7 then l_quantity::int * 0.0001::decimal(24,6) + 0.000025::decimal(24,6) end)::decimal(34,6) as capacity
+       from lineitem where l_linenumber <= 7 group by l_linenumber""")
+def _(spark, folder):
+    lines = fixtures.table(spark, folder, "lineitem").filter("l_linenumber <= 7")
+    suffix = F.element_at(F.create_map(*[F.lit(x) for pair in _NUMBERS.items() for x in pair]), F.col("l_linenumber").cast("int"))
+    export = lines.select(
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("period"), F.col("l_linenumber").cast("string").alias("facility"),
+        F.concat(F.col("l_quantity").cast("int"), suffix).alias("capacity"), F.lit("0").alias("outage"), F.lit("").alias("percentOutage"),
+    )
+    checked = exports.check_export(export, FACILITY)
+    return checked.groupBy(F.col("facility").cast(lines.schema["l_linenumber"].dataType).alias("l_linenumber"), "refused").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("capacity").alias("capacity")
+    ).withColumn("capacity", F.when(F.col("refused").isNull(), F.col("capacity")))
+
+
 @query("a04_verified_inputs")
 def _(spark, folder):
     path = scratch(spark, "inputs")
@@ -362,21 +418,21 @@ _REQUESTS = f"""{_LOGS}, answered as (select dataset, n, unnest(range(pages + 1)
 @query("f04_paging_progress",
        f"{TABLES}, {_REQUESTS} select dataset, seq, expected_offset as offset, expected_offset, cast(expected_attempt as bigint) as attempt_number, cast(expected_attempt as bigint) as expected_attempt from requests")
 def _(spark, folder):
-    return pages.paging_progress(land_all(spark, fixtures.outages(spark, folder)))
+    return pages.paging_progress(land_all(spark, fixtures.outages(spark, folder))).drop("version_id")
 
 
 @query("f05_attempt_times",
        f"""{TABLES}, {_REQUESTS} select dataset, seq, t as started_at, t + interval 1 second as completed_at,
        case when seq > 0 then t - interval 1 second end as previous_end, true as in_order from (select *, timestamp '2026-01-01 00:00:00' + to_seconds(seq * 2) t from requests) x""")
 def _(spark, folder):
-    return pages.attempt_times(land_all(spark, fixtures.outages(spark, folder)))
+    return pages.attempt_times(land_all(spark, fixtures.outages(spark, folder))).drop("version_id")
 
 
 @query("e15_route_counts",
        f"""{TABLES}, {_REQUESTS} select dataset, (select pages + 1 from logs l where l.dataset = r.dataset) as pages, (select n from logs l where l.dataset = r.dataset) as row_count,
        count(*) filter (where expected_attempt > 1) as retries from requests r group by dataset""")
 def _(spark, folder):
-    return pages.route_counts(land_all(spark, fixtures.outages(spark, folder)))
+    return pages.route_counts(land_all(spark, fixtures.outages(spark, folder))).drop("version_id")
 
 
 def _source_facts(spark, folder):

@@ -62,7 +62,8 @@ def normalize(raw: DataFrame, spec: GrainSpec, keep: tuple[str, ...] = ()) -> Da
     """Typed columns plus ``error_code``/``error_field`` of the first refused field.
 
     ``raw`` holds one text column per source field. A boolean ``<field>_not_text``
-    column, where present, marks a value that was not text in the source.
+    column, where present, marks a value that was not text in the source, and a
+    ``body_fault`` column a page that was refused whole.
 
     Values are parsed in one projection and judged in the next, so a good row pays for
     one test and one cast per field; the tests that name a fault run for faults only.
@@ -90,7 +91,8 @@ def normalize(raw: DataFrame, spec: GrainSpec, keep: tuple[str, ...] = ()) -> Da
         return fault(needed & wrong, f"{name}-units", "invalid_units")
 
     unparsed = lambda name: F.col(f"_{name}").isNull()
-    steps = [fault(unparsed(spec.period), spec.period, parse_date(text(spec.period)).error)]
+    steps = [fault(F.col("body_fault").isNotNull(), "sanitized_response", F.col("body_fault"))] if "body_fault" in present else []
+    steps += [fault(unparsed(spec.period), spec.period, parse_date(text(spec.period)).error)]
     steps += [fault(unparsed(name), name, "required_text") for name in spec.entity]
     if spec.label:
         steps.append(fault(not_text(spec.label), spec.label, "invalid_text"))

@@ -138,7 +138,7 @@ def attempt_facts(attempts: DataFrame, spec: GrainSpec) -> DataFrame:
     )
     unreadable = response["data"].isNull() | unusable | (stated.isNotNull() & stated_value.isNull())
     return opened.select(
-        "dataset", "seq", "offset", "requested_length", "attempt_number", "started_at", "completed_at",
+        "version_id", "dataset", "seq", "offset", "requested_length", "attempt_number", "started_at", "completed_at",
         ok.alias("answered"),
         F.when(ok, rows).otherwise(F.lit(0)).cast("long").alias("rows"),
         F.when(ok, advertised).alias("advertised"),
@@ -151,16 +151,16 @@ def attempt_facts(attempts: DataFrame, spec: GrainSpec) -> DataFrame:
 
 
 def with_predecessor(facts: DataFrame) -> DataFrame:
-    """Each attempt next to the one before it, by an equality join on (dataset, seq).
+    """Each attempt next to the one before it, by an equality join on (version, dataset, seq).
 
     A log is in order when every attempt continues its predecessor, so no window
     over the whole log of one dataset is needed.
     """
     before = facts.select(
-        "dataset", (F.col("seq") + 1).alias("seq"),
+        "version_id", "dataset", (F.col("seq") + 1).alias("seq"),
         F.struct("offset", "requested_length", "attempt_number", "completed_at", "answered", "rows").alias("before"),
     )
-    return facts.join(before, ["dataset", "seq"], "left")
+    return facts.join(before, ["version_id", "dataset", "seq"], "left")
 
 
 def _progress_fault() -> Column:

@@ -17,7 +17,7 @@ from fleetgauge.plans import checks, diagnostics, gate
 from fleetgauge.plans.outcomes import evaluate, union
 from fleetgauge.session import settle, together
 from fleetgauge.sources import history
-from fleetgauge.sources.pages import page_rows
+from fleetgauge.sources.pages import of_version, page_rows
 from fleetgauge.sources.parquet import (
     freeze_version,
     inspect,
@@ -46,7 +46,9 @@ class Refused(ValueError):
 def write_version(
     spark: SparkSession, attempts: DataFrame, root: str, version_id: str, window: Window
 ) -> DataFrame:
-    """Parse every landed page, write the three tables and freeze their manifest."""
+    """Parse every landed page of the version, write the three tables and freeze their manifest."""
+    attempts = of_version(attempts, version_id)
+
     def write_table(spec: GrainSpec) -> DataFrame:
         typed = settle(normalize(page_rows(attempts, spec), spec), "normalized")
         bad = refused(typed).groupBy("error_code", "error_field").count().limit(1).collect()
@@ -84,6 +86,7 @@ def run_checks(
     Every job is independent: one that cannot read its input gives ``error`` rows and
     leaves the others alone.
     """
+    attempts, routes = of_version(attempts, version_id), of_version(routes, version_id)
     tables = {name: scan(spark, spec, version_path(root, spec, version_id)) for name, spec in GRAINS.items()}
     days = calendar(spark, window.start, window.end)
     start, end = F.lit(window.start), F.lit(window.end)

@@ -13,6 +13,8 @@ from fleetgauge.operators.summary import duplicate_keys
 # Fixed value: number text that an export may hold, exponents included.
 NUMBER_TEXT = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z"
 DIGITS = r"^\s*[+-]?0*([0-9.]*?)(?:[eE][+-]?[0-9]+)?\s*\z"
+FRACTION = r"\.([0-9]*)"
+EXPONENT = r"[eE]([+-]?[0-9]+)\s*\z"
 
 
 def read_export(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -43,7 +45,9 @@ def check_export(export: DataFrame, spec: GrainSpec) -> DataFrame:
         wide = text(source).try_cast(T.DecimalType(38, 12))
         value = wide.try_cast(MEASURE)
         digits = F.length(F.regexp_replace(F.regexp_extract(source, DIGITS, 1), r"\.", ""))
-        fits = source.rlike(NUMBER_TEXT) & (digits <= 24) & wide.isNotNull() & (value == wide)
+        # Places after the point as written, moved by the exponent: the text decides, since a cast would round it.
+        places = F.length(F.regexp_extract(source, FRACTION, 1)) - F.coalesce(F.regexp_extract(source, EXPONENT, 1).try_cast("int"), F.lit(0))
+        fits = source.rlike(NUMBER_TEXT) & (digits <= 24) & (places <= MEASURE.scale) & wide.isNotNull() & (value == wide)
         blank_allowed = is_blank(source) if name == spec.percent else F.lit(False)
         reasons.append(F.when(~blank_allowed & ~F.coalesce(fits, F.lit(False)), F.lit("invalid_number")))
         if name == "capacity":

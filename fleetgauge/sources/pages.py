@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,9 +74,27 @@ def _may_hold_other_values() -> Column:
     return F.contains(body, F.lit("\\u")) | body.rlike(UNQUOTED)
 
 
+def of_version(log: DataFrame, version_id: str) -> DataFrame:
+    """The rows of a landed log that belong to one version; a log may hold several."""
+    return log.filter(F.col("version_id") == version_id)
+
+
+def _body_fault(body: Column, errors: list[Column]) -> Column:
+    """Why no row of a body may be taken, or null. A body is refused whole."""
+    readable = body["response"]["data"].isNotNull()
+    sealed = F.sha2("sanitized_response", 256).eqNullSafe(F.col("response_sha256"))
+    return (
+        F.when(~readable, F.lit("unreadable_body"))
+        .when(reduce(or_, [e.isNotNull() for e in errors]), F.lit("error_member"))
+        .when(~sealed, F.lit("response_checksum"))
+    )
+
+
 def page_rows(attempts: DataFrame, spec: GrainSpec) -> DataFrame:
     """Source rows of the successful attempts, as text, duplicates kept.
 
+    A body that cannot be read, reports an error or differs from its checksum gives one row without
+    a position, whose ``body_fault`` says why; so a page is never left out without a trace.
     Blank-able fields also say whether their value was something other than text. Bodies
     that hold text alone are parsed as text; only the others pay for VARIANT values.
     """
@@ -81,21 +102,26 @@ def page_rows(attempts: DataFrame, spec: GrainSpec) -> DataFrame:
     optional = [name for name in (spec.label, spec.percent) if name]
     fields = ", ".join([f"`{n}`: string" for n in names] + [f"`{n}_not_text`: boolean" for n in optional])
     body = F.col("sanitized_response")
-    plain = F.from_json(body, f"response struct<data: array<struct<{fields}>>>")["response"]["data"]
+    plain = F.from_json(body, f"error string, response struct<error: string, data: array<struct<{fields}>>>")
     checked = F.transform(
         F.from_json(body, envelope_type(spec))["response"]["data"],
         lambda r: F.struct(
             *[_text(r[n]).alias(n) for n in names], *[_not_text(r[n]).alias(f"{n}_not_text") for n in optional]
         ),
     )
-    own = attempts.filter(successful() & (F.col("dataset") == spec.name)).withColumn(
-        "_mixed", _may_hold_other_values()
+    own = attempts.filter(successful() & (F.col("dataset") == spec.name)).withColumns(
+        {"_mixed": _may_hold_other_values(), "_plain": plain}
     )
-    rows = own.select(
-        "version_id", "seq", "_mixed", F.posexplode(F.when(F.col("_mixed"), checked).otherwise(plain)).alias("position", "row")
+    opened = F.col("_plain")
+    judged = own.select(
+        "version_id", "seq", "_mixed", _body_fault(opened, [opened["error"], opened["response"]["error"]]).alias("body_fault"),
+        F.when(F.col("_mixed"), checked).otherwise(opened["response"]["data"]).alias("_data"),
     )
-    return rows.select(
-        "version_id", "seq", "position", *[F.col("row")[n].alias(n) for n in names],
+    taken = F.when(F.col("body_fault").isNull(), F.col("_data"))
+    rows = judged.select("version_id", "seq", "_mixed", "body_fault", F.posexplode_outer(taken).alias("position", "row"))
+    # An accepted page without rows has nothing to say; a refused one has its fault.
+    return rows.filter(F.col("position").isNotNull() | F.col("body_fault").isNotNull()).select(
+        "version_id", "seq", "position", "body_fault", *[F.col("row")[n].alias(n) for n in names],
         *[(F.col("_mixed") & F.coalesce(F.col("row")[f"{n}_not_text"], F.lit(False))).alias(f"{n}_not_text") for n in optional],
     )
 
@@ -110,8 +136,8 @@ def to_source_text(df: DataFrame, spec: GrainSpec) -> DataFrame:
 
 
 def route_counts(attempts: DataFrame) -> DataFrame:
-    """Pages, rows and repeated requests of every dataset's log."""
-    return attempts.groupBy("dataset").agg(
+    """Pages, rows and repeated requests of every version's and dataset's log."""
+    return attempts.groupBy("version_id", "dataset").agg(
         F.count_if(answered()).alias("pages"),
         F.coalesce(F.sum(F.when(answered(), F.col("actual_row_count"))), F.lit(0)).alias("row_count"),
         F.count_if(F.col("attempt_number") > 1).alias("retries"),
@@ -121,24 +147,24 @@ def route_counts(attempts: DataFrame) -> DataFrame:
 def paging_progress(attempts: DataFrame) -> DataFrame:
     """The offset and attempt number that each request should have had."""
     narrow = attempts.select(
-        "dataset", "seq", "offset", "attempt_number", answered().alias("_ok"),
+        "version_id", "dataset", "seq", "offset", "attempt_number", answered().alias("_ok"),
         F.when(answered(), F.col("actual_row_count")).otherwise(0).alias("_rows"),
     )
     running = running_before(
-        narrow, ["dataset"], "seq",
+        narrow, ["version_id", "dataset"], "seq",
         {"expected_offset": ("sum", F.col("_rows")), "_last_ok": ("max", F.when(F.col("_ok"), F.col("seq")))},
     )
     return running.select(
-        "dataset", "seq", "offset", "expected_offset", "attempt_number",
+        "version_id", "dataset", "seq", "offset", "expected_offset", "attempt_number",
         (F.col("seq") - F.coalesce("_last_ok", F.lit(-1))).alias("expected_attempt"),
     )
 
 
 def attempt_times(attempts: DataFrame) -> DataFrame:
     """Each request beside the end of the one before it, joined on (dataset, seq)."""
-    narrow = attempts.select("dataset", "seq", "started_at", "completed_at")
-    earlier = narrow.select("dataset", (F.col("seq") + 1).alias("seq"), F.col("completed_at").alias("previous_end"))
+    narrow = attempts.select("version_id", "dataset", "seq", "started_at", "completed_at")
+    earlier = narrow.select("version_id", "dataset", (F.col("seq") + 1).alias("seq"), F.col("completed_at").alias("previous_end"))
     in_order = (F.col("started_at") <= F.col("completed_at")) & F.coalesce(
         F.col("previous_end") <= F.col("started_at"), F.lit(True)
     )
-    return narrow.join(earlier, ["dataset", "seq"], "left").withColumn("in_order", in_order)
+    return narrow.join(earlier, ["version_id", "dataset", "seq"], "left").withColumn("in_order", in_order)
