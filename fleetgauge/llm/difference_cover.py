@@ -64,41 +64,62 @@ def _triples(text: np.ndarray, at: np.ndarray, top: int) -> np.ndarray:
     return pairs * top + _at(text, at + 2)
 
 
-def suffix_ranks(text: np.ndarray, depth: int, top: int) -> np.ndarray:
-    """Ranks from 0 of all suffixes by their first ``depth`` symbols at least; suffixes that agree so far may share one.
+def _placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys, the sorted keys, and for each sorted key how many are smaller."""
+    order = np.argsort(keys, kind="stable")
+    found = keys[order]
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    return order, found, np.maximum.accumulate(np.where(new, np.arange(len(found)), 0)) if len(found) else order
 
-    ``text`` holds numbers from 1 and below ``top``. Triples at positions 1 and 2 of every three are named; their
-    suffixes are ranked by recursion on the names, each of which stands for three symbols.
+
+def suffix_ranks(text: np.ndarray, depth: int, top: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Ranks from 0 of the ``wanted`` suffixes (sorted places; all by default), by their first ``depth`` symbols at least.
+
+    Suffixes that agree so far may share a rank. ``text`` holds numbers from 1 and below ``top``. Triples at places 1
+    and 2 of every three are named; their suffixes are ranked by recursion on the names, each of which
+    stands for three symbols. Only ranks that the merge looks at are worked out.
     """
     n = len(text)
+    wanted = np.arange(n) if wanted is None else wanted
+    if not len(wanted):
+        return np.zeros(0, np.int64)
     if depth <= 3 or n < 3:
-        return np.unique(_triples(text, np.arange(n), top), return_inverse=True)[1] if n else np.zeros(0, np.int64)
-    one, two, zero = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
-    sample = np.concatenate((one, two))
-    values, names = np.unique(_triples(text, sample, top), return_inverse=True)
-    if len(values) < len(sample):
-        # a gap between the halves keeps a triple of the first from running into the second
-        string = np.concatenate((names[: len(one)] + 2, [1], names[len(one) :] + 2))
-        names = np.delete(suffix_ranks(string, -(-depth // 3), len(values) + 2), len(one))
+        return np.unique(_triples(text, wanted, top), return_inverse=True)[1]
+    ones, twos = np.arange(1, n, 3), np.arange(2, n, 3)
+    class_of = wanted % 3
+    zero, one, two = (wanted[class_of == k] for k in range(3))
+    # a zero compares by its byte and the rank after it, or by two bytes and the rank after those
+    looked = np.zeros(n + 3, bool)
+    for places in (zero + 1, zero + 2, one, one + 1, two, two + 2):
+        looked[places] = True
+    values, names = np.unique(_triples(text, np.concatenate((ones, twos)), top), return_inverse=True)
     rank = np.zeros(n + 3, np.int64)
-    rank[sample] = names + 1
-    size = int(names.max()) + 2
-    # merge: how many suffixes of the other classes are smaller; two of them compare by what is ranked
-    zero_as_one, one_key = text[zero] * size + rank[zero + 1], text[one] * size + rank[one + 1]
-    if top * top * size < 1 << 62:
-        heads = _at(text, np.concatenate((zero, two))) * top + _at(text, np.concatenate((zero, two)) + 1)
+    asked = np.concatenate((ones[looked[ones]], twos[looked[twos]]))
+    if len(values) == len(names):
+        rank[np.concatenate((ones, twos))] = names + 1
     else:
-        both = np.concatenate((zero, two))
-        heads = np.unique(_at(text, both) * top + _at(text, both + 1), return_inverse=True)[1]
-    zero_as_two, two_key = heads[: len(zero)] * size + rank[zero + 2], heads[len(zero) :] * size + rank[two + 2]
-    zeros, ones, twos, zeros_two = np.sort(zero_as_one), np.sort(one_key), np.sort(two_key), np.sort(zero_as_two)
-    sizes = np.bincount(rank[sample], minlength=size)
+        # a gap between the halves keeps a triple of the first from running into the second
+        string = np.concatenate((names[: len(ones)] + 2, [1], names[len(ones) :] + 2))
+        place = np.where(asked % 3 == 1, asked // 3, len(ones) + 1 + asked // 3)
+        rank[asked] = suffix_ranks(string, -(-depth // 3), len(values) + 2, place) + 1
+    size = int(rank.max()) + 1
+    # merge: how many wanted suffixes of the other classes are smaller; two of them compare by what is ranked
+    zero_order, zeros, own = _placed(text[zero] * size + rank[zero + 1])
+    one_order, of_one, _ = _placed(text[one] * size + rank[one + 1])
+    both = np.concatenate((zero, two))
+    heads = text[both] * top + _at(text, both + 1)
+    if top * top * size >= 1 << 62:
+        heads = np.unique(heads, return_inverse=True)[1]
+    zero_as_two = (heads[: len(zero)] * size + rank[zero + 2])[zero_order]
+    two_order, of_two, _ = _placed(heads[len(zero) :] * size + rank[two + 2])
+    sizes = np.bincount(rank[np.concatenate((one, two))], minlength=size + 1)
     before = np.cumsum(sizes) - sizes
     out = np.empty(n, np.int64)
-    out[zero] = np.searchsorted(zeros, zero_as_one) + np.searchsorted(ones, zero_as_one) + np.searchsorted(twos, zero_as_two)
-    out[one] = before[rank[one]] + np.searchsorted(zeros, one_key)
-    out[two] = before[rank[two]] + np.searchsorted(zeros_two, two_key)
-    return out
+    out[zero[zero_order]] = own + np.searchsorted(of_one, zeros) + np.searchsorted(of_two, zero_as_two)
+    out[one[one_order]] = before[rank[one[one_order]]] + np.searchsorted(zeros, of_one)
+    out[two[two_order]] = before[rank[two[two_order]]] + np.searchsorted(np.sort(zero_as_two), of_two)
+    return out[wanted]
 
 
 def _loads(length: int) -> list[int]:
@@ -131,7 +152,7 @@ def equal_windows(contents: list[bytes], count: np.ndarray, several: np.ndarray,
         where = np.flatnonzero(held)
         text = data[ranges(first[where], sizes[where] + 1)].astype(np.int64) + 1
         moved = np.concatenate(([0], np.cumsum(sizes[where] + 1)[:-1]))
-        rank = suffix_ranks(text, length, 258)[ranges(moved, count[where])]
+        rank = suffix_ranks(text, length, 258, ranges(moved, count[where]))
         order = np.argsort(rank, kind="stable")
         at = starts[inside][order]
         differs = np.zeros(len(at) - 1, bool)

@@ -262,15 +262,27 @@ def _judge_runs(plan: Plan) -> Callable:
         smallest = np.full(size, np.iinfo(np.int64).max)
         np.minimum.at(smallest, classes, least[owner])
         first = np.concatenate(([0], np.cumsum(count)[:-1]))
-        each = ranges(first[content], count[content])
-        mine = np.repeat(np.arange(len(content)), count[content])
+        block = np.repeat(np.arange(len(per_block)), [len(x[1]) for x in per_block])
+        later = least[content] < doc  # a smaller document has all of the run
+        own = np.flatnonzero(~later)
+        each = ranges(first[content[own]], count[content[own]])
+        mine = np.repeat(own, count[content[own]])
         gone = smallest[classes[each]] < doc[mine]
-        offset = each - first[content[mine]]
-        at = start[mine][gone] + offset[gone]
-        block = np.repeat(np.arange(len(per_block)), [len(x[1]) for x in per_block])[mine][gone]
-        edges = np.searchsorted(block, np.arange(len(per_block) + 1))
-        found = [(per_block[b][0], 0, _pack(at[x:y].astype("<u4").tobytes())) for b, (x, y) in
-                 enumerate(zip(edges[:-1], edges[1:], strict=True)) if x < y]
+        each, mine = each[gone], mine[gone]
+        at = start[mine] + each - first[content[mine]]
+        head = np.ones(len(at), bool)
+        head[1:] = (mine[1:] != mine[:-1]) | (each[1:] != each[:-1] + 1)
+        heads = np.flatnonzero(head)
+        run_start = np.concatenate((start[later], at[heads]))
+        run_count = np.concatenate((count[content[later]], np.diff(np.append(heads, len(at)))))
+        of_block = np.concatenate((block[later], block[mine[heads]]))
+        order = np.lexsort((run_start, of_block))
+        run_start, run_count, of_block = run_start[order], run_count[order], of_block[order]
+        edges = np.searchsorted(of_block, np.arange(len(per_block) + 1))
+        found = [
+            (per_block[b][0], 0, _pack(run_start[x:y].astype("<u4").tobytes(), run_count[x:y].astype("<u4").tobytes()))
+            for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if x < y
+        ]
         return pa.Table.from_batches([_rows(["block", "bucket", "body"], found, [pa.int64(), pa.int32(), pa.binary()])])
 
     return run
@@ -282,7 +294,7 @@ def _answers(replies: DataFrame, buckets: int) -> DataFrame:
 
 
 def removed_windows(docs: DataFrame, plan: Plan, block_chars: int) -> DataFrame:
-    """Rows (block, ids, texts, answers): each answer's body packs starts of windows that a smaller document has too."""
+    """Rows (block, ids, texts, answers): each answer's body packs runs (first start, number) of windows that a smaller document has too."""
     blocks, buckets = store_blocks(docs, block_chars)
     anchors = blocks.select("block", "texts").mapInArrow(_send_anchors(plan), SENT)
     live = anchors.groupBy("bucket").applyInArrow(_judge_anchors(plan), ANSWER)
@@ -296,9 +308,9 @@ def covered(answers: list | None, length: int, total: int) -> np.ndarray:
     """Which of ``total`` symbols lie in a removed window."""
     change = np.zeros(total + 1, np.int32)
     for a in answers or []:
-        at = np.frombuffer(_unpack(a["body"], 1)[0], "<u4").astype(np.int64)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + length, -1)
+        start, count = (np.frombuffer(x, "<u4").astype(np.int64) for x in _unpack(a["body"], 2))
+        np.add.at(change, start, 1)
+        np.add.at(change, start + count - 1 + length, -1)
     return np.cumsum(change[:-1]) > 0
 
 
