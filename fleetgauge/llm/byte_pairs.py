@@ -152,7 +152,7 @@ class Transducer:
         self.held = b""
 
 
-class _Remembered(dict):
+class Remembered(dict):
     """What ``make`` gave for short keys: the last ``limit`` or more of them, in two generations."""
 
     def __init__(self, make, limit: int) -> None:
@@ -178,8 +178,8 @@ class Encoder:
         self.merges = merges
         self.packed = {i: i.to_bytes(4, "little") for i in merges.bytes_of}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
-        self.pieces = _Remembered(self._piece, limit)
-        self.parts = _Remembered(self._part, limit)
+        self.pieces = Remembered(self._piece, limit)
+        self.parts = Remembered(self._part, limit)
 
     def _piece(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "surrogatepass")

@@ -15,49 +15,74 @@ an empty folder. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import range_coder as coder
+from fleetgauge.llm.byte_pairs import Remembered, byte_alphabet
 from fleetgauge.llm.common import as_bytes, written
 from fleetgauge.session import scratch
 
 GROUP = 24  # blocks that are coded side by side
-_tokenizers: dict[int, tuple] = {}
+_tokenizers: dict[int, WordEncoder] = {}
+
+
+# The word tokenizer's pattern, and printable characters that its normalizer only puts in lower case.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]+")
 
 
 class WordEncoder:
-    """A tokenizer that drops white space, applied to what stands between spaces; repeated words are looked up."""
+    """A tokenizer that drops white space, applied to what stands between spaces; repeated words are looked up.
+
+    Plain words are cut into pieces here and only the pieces go to the tokenizer's model; any others go through all of it.
+    """
 
-    def __init__(self, file: str, limit: int = 200_000) -> None:
+    def __init__(self, file: str, limit: int = 450_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_str(file), limit
+        self.tokenizer = Tokenizer.from_str(file)
+        self.model = self.tokenizer.model
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        data = json.loads(file)
+        steps = [x["type"] for x in [*data["normalizer"]["normalizers"], *data["pre_tokenizer"]["pretokenizers"]]]
+        if steps != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
+            raise ValueError("Not a word tokenizer that drops white space")
+        self.special = [t["content"].encode() for t in data["added_tokens"]]
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.packed = [i.to_bytes(int(self.kind[-1]), "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.pieces = Remembered(self._piece, 200_000)
+        self.words = Remembered(self._word, limit)
+
+    def _piece(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(text)])
+
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # of ASCII letters only
+            return self.pieces[word.lower().decode()]
+        if word[:-1].isalpha() and 0x20 < word[-1] < 0x7F and not word[-1:].isdigit():
+            return self.pieces[word[:-1].lower().decode()] + self.pieces[word[-1:].decode()]
+        text = word.decode("utf-8", "surrogatepass")
+        if PLAIN.fullmatch(text) and not any(s in word for s in self.special):
+            text = text.lower()
+            pieces = [text] if text.isascii() and text.isalpha() else PIECES.findall(text)
+            return b"".join(map(self.pieces.__getitem__, pieces))
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def encode(self, text: str | None) -> bytes:
-        words = as_bytes(text).split()
-        known, older = self.known, self.older
-        if missing := [w for w in set(words) if w not in known]:
-            if len(known) >= self.limit:
-                self.older, self.known = known, {}
-                known, older = self.known, self.older
-                missing = list(set(words))
-            new = [w for w in missing if w not in older]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-            known.update((w, np.array(f.ids, self.kind).tobytes()) for w, f in zip(new, found, strict=True))
-            known.update((w, older[w]) for w in missing if w in older)
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, as_bytes(text).split()))
 
 
 def word_encoder(file: str) -> WordEncoder:
@@ -107,7 +132,9 @@ def _counts(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for width, data in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                width, data = part.column("width")[0].as_py(), b"".join(part.column("ids").to_pylist())  # one width in all rows
                 own = np.bincount(_as_ids(width, data), minlength=len(total))
                 own[: len(total)] += total
                 total = own
@@ -173,7 +200,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 2) ->
     """Encode whole texts with the tokenizer's file at path ``tokenizer``, append ``end`` to each, and write the folder."""
     with open(tokenizer, encoding="utf-8") as f:
         file = f.read()
-    encoded = written(_encoded(docs, file, end), "token-ids")
+    encoded = written(_encoded(docs, file, end), "token-ids", "snappy")
     counts = written(_counts(encoded), "id-counts")
     found = [(r.id, r.n) for r in counts.collect()]  # bounded by the vocabulary
     totals = encoded.groupBy("part").agg(F.sum("n").alias("n")).collect()  # one number a range
@@ -216,7 +243,8 @@ def _fragments(spark: SparkSession, folder: str, with_ids: bool) -> DataFrame:
                 data = ids.astype("<u4").tobytes()
                 starts = frame.at.tolist()
                 docs = [None if null else d for d, null in zip(frame.docs.tolist(), frame.nulls.tolist(), strict=True)]
-                rows = list(zip((frame.start + s for s in starts), docs, starts, [*starts[1:], len(ids)], strict=True))
+                stops = [*starts[1:], len(ids)] if starts else []
+                rows = list(zip((frame.start + s for s in starts), docs, starts, stops, strict=True))
                 if not starts or starts[0]:
                     rows.insert(0, (frame.carried, frame.carried_doc, 0, starts[0] if starts else len(ids)))
                 columns = [
