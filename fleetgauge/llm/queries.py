@@ -62,7 +62,25 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeated_words(table(spark, folder, "documents")).drop("kept")
 
 
-@query("op6_suffix_array_dedup")
+OP6_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+starts as (select doc_id, unnest(generate_series(0, len(h) // 2 - 50)) i from d where len(h) >= 100),
+windows as (select doc_id, i, md5(substr(h, 2 * i + 1, 100)) w from starts join d using (doc_id)),
+firsts as (select w, min(doc_id) m from windows group by w),
+gone as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) > 50 is not false as head
+  from windows join firsts using (w) where m < doc_id),
+spans as (select doc_id, min(i) a, max(i) + 50 b from
+  (select *, sum(head::int) over (partition by doc_id order by i) k from gone) group by doc_id, k),
+gaps as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) a, a b from spans
+  union all select doc_id, max(b), null from spans group by doc_id),
+kept as (select doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' order by a) k from gaps join d using (doc_id) group by doc_id),
+lost as (select doc_id, sum(b - a) n, count(*) s from spans group by doc_id)
+select doc_id, cast(len(h) // 2 as bigint) n_bytes, cast(coalesce(n, 0) as bigint) n_removed, cast(coalesce(s, 0) as bigint) n_spans,
+  sha256(unhex(coalesce(k, h))) kept_sha256
+from d left join lost using (doc_id) left join kept using (doc_id)"""
+
+
+@query("op6_suffix_array_dedup", OP6_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = remove_repeated_bytes(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -157,6 +175,19 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return personal.with_digest(personal.find_personal(table(spark, folder, "documents")))
 
 
-@query("op9_jaccard_join")
+OP9_SQL = rf"""
+with recursive d as (select doc_id, {SPLIT.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w from documents),
+sets as (select distinct doc_id, md5(array_to_string(w[i:i+4], ' ')) s
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) i from d where len(w) > 0)),
+sizes as (select doc_id, count(*) n from sets group by doc_id),
+pairs as (select a.doc_id x, b.doc_id y, count(*) c from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select x, y from pairs join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reached as (select x as doc_id, x as other from both_ways union select r.doc_id, l.y from reached r join both_ways l on l.x = r.other),
+least as (select doc_id, min(other) m from reached group by doc_id)
+select doc_id, coalesce(n, 0) n_shingles, coalesce(m, doc_id) component_id from d left join sizes using (doc_id) left join least using (doc_id)"""
+
+
+@query("op9_jaccard_join", OP9_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -95,3 +95,61 @@ def near_components(docs) -> set[tuple]:
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     return {(d, len(s), root(d)) for d, s in sets.items()}
+
+
+def base_rules(doc, text) -> tuple:
+    text = text or ""
+    words = WORD.findall(text)
+    seen, lines = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            lines += line in seen
+            seen.add(line)
+    windows: dict = {}
+    for i in range(len(words) - 7):
+        windows.setdefault(tuple(words[i : i + 8]), []).append(i)
+    repeated = {i + j for at in windows.values() if len(at) > 1 for i in at for j in range(8)}
+    failed = len(words) < 20 or 100 * len(repeated) > 30 * len(words)
+    return doc, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), lines, len(repeated), failed
+
+
+PLAIN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def contaminated(docs, items, window: int = 10) -> set[tuple]:
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    sought: dict = {}
+    for item, text in items:
+        words = PLAIN_WORD.findall(lower(text))
+        n = min(window, len(words))
+        for i in range(len(words) - n + 1 if n else 0):
+            sought.setdefault(tuple(words[i : i + n]), set()).add("" if item is None else str(item))
+    lengths = {len(w) for w in sought}
+    rows = set()
+    for doc, text in docs:
+        words = PLAIN_WORD.findall(lower(text))
+        hit, names = set(), set()
+        for n in lengths:
+            for i in range(len(words) - n + 1):
+                found = sought.get(tuple(words[i : i + n]))
+                if found:
+                    names |= found
+                    hit |= set(range(i, i + n))
+        rows.add((doc, len(words), len(hit), len(names), sha(",".join(sorted(names)).encode()), bool(hit)))
+    return rows
+
+
+URL_RULES = [("www.example.com", "/en/"), ("example.com", "/en/"), ("net", "/es/"), ("net", "/fr/"), ("com", "/")]
+
+
+def url_parts(url) -> tuple:
+    if not url or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    for h, p in URL_RULES:
+        if (host == h or host.endswith("." + h)) and path.startswith(p):
+            return host, path, h + p
+    return host, path, None
