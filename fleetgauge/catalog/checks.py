@@ -165,8 +165,7 @@ def _(spark, folder):
 def _row_query(code):
     def run(spark, folder):
         tables, _ = _tables(spark, folder)
-        parts = [diagnostics.row_diagnostics(tables[g], GRAINS[g]) for g in DIAGNOSTIC_SCOPES[code]]
-        return union(parts).filter(F.col("check_code") == code).select(*COLUMNS)
+        return union([diagnostics.row_diagnostics(tables[g], GRAINS[g], (code,)) for g in DIAGNOSTIC_SCOPES[code]]).select(*COLUMNS)
 
     return run
 
@@ -197,8 +196,8 @@ def _change_query(code):
     def run(spark, folder):
         tables, _ = _tables(spark, folder)
         start, end = window_of(spark, folder)
-        parts = [diagnostics.change_diagnostics(tables[g], GRAINS[g], start, end) for g in DIAGNOSTIC_SCOPES[code]]
-        return union(parts).filter(F.col("check_code") == code).select(*COLUMNS)
+        parts = [diagnostics.change_diagnostics(tables[g], GRAINS[g], start, end, (code,)) for g in DIAGNOSTIC_SCOPES[code]]
+        return union(parts).select(*COLUMNS)
 
     return run
 

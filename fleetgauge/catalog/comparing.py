@@ -83,12 +83,10 @@ _PAIRS = """pairs as (select coalesce(a.facility, b.facility) facility, coalesce
        previous_value, value from pairs where is_now <> was or previous_value <> value""")
 def _(spark, folder):
     pairs = adjacency.day_pairs(fixtures.facility_outages(spark, folder), FACILITY)
-    members = adjacency.membership_changes(pairs, FACILITY)
     changed = pairs.filter(adjacency.member_changed() | adjacency.value_changed())
-    kinds = changed.join(members.select("period", "facility", "change"), ["period", "facility"], "left")
-    return kinds.select(
+    return changed.select(
         "period", F.date_sub("period", 1).alias("previous_period"), "facility",
-        F.coalesce("change", F.lit("changed")).alias("change"), "previous_value", "value",
+        F.coalesce(adjacency.member_change(), F.lit("changed")).alias("change"), "previous_value", "value",
     )
 
 
@@ -318,9 +316,9 @@ def _(spark, folder):
     return findings.observed_day_pairs(reported, FACILITY)
 
 
-@query("h03_distinct_generators", f"{TABLES} select distinct facility, generator from generator_outages where facility = '46'")
+@query("h03_distinct_generators", f"{TABLES} select distinct facility, generator from generator_outages where facility = '7'")
 def _(spark, folder):
-    return paging.generator_choices(fixtures.generator_outages(spark, folder), "46")
+    return paging.generator_choices(fixtures.generator_outages(spark, folder), "7")
 
 
 @query("h04_multiset_difference",

@@ -14,6 +14,7 @@ from fleetgauge.contracts import FACILITY, GENERATOR, GRAINS
 from fleetgauge.functions.dates import between, latest, observed_calendar, preset_start
 from fleetgauge.functions.parsing import accepted, normalize
 from fleetgauge.operators import paging
+from fleetgauge.operators.numbering import number_rows
 from fleetgauge.plans import dashboard, findings
 from fleetgauge.plans.outcomes import union
 from fleetgauge.session import scratch, settle
@@ -35,16 +36,28 @@ def _(spark, folder):
     return paging.lookahead(chosen, GENERATOR.keys, 100, AFTER)
 
 
-@query("g05_page_walk", f"{TABLES} select * from national_outages")
+PAGE = 100
+
+
+@query("g05_page_walk",
+       f"""{TABLES}, n as (select period, facility, (row_number() over (order by period, facility) - 1) // {PAGE} as page from facility_outages),
+       p as (select page, count(*) as rows, min((period, facility)) as a, max((period, facility)) as b from n group by page)
+       select page, rows, a[1] as first_period, a[2] as first_facility, b[1] as last_period, b[2] as last_facility,
+       coalesce(lag(b) over (order by page) < a, true) as follows from p""")
 def _(spark, folder):
-    table = settle(fixtures.national_outages(spark, folder), "national")
-    walked, after = [], None
-    while True:
-        rows, more = paging.page(table, ("period",), 1000, after)
-        walked.append(table.filter(F.col("period").between(rows[0]["period"], rows[-1]["period"])))
-        if not more:
-            return union(walked)
-        after = (rows[-1]["period"],)
+    # Every page of a walk by keys, found at once: pages are cut by position, and a page follows the one before it.
+    table = fixtures.facility_outages(spark, folder)
+    keys = F.struct(*FACILITY.keys)
+    numbered = number_rows(table.select(*FACILITY.keys), [F.col(k).asc_nulls_last() for k in FACILITY.keys], "position")
+    pages = numbered.groupBy(F.floor((F.col("position") - 1) / PAGE).cast("long").alias("page")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(keys).alias("a"), F.max(keys).alias("b")
+    )
+    before = pages.select((F.col("page") + 1).alias("page"), F.col("b").alias("before"))
+    return pages.join(before, "page", "left").select(
+        "page", "rows", F.col("a.period").alias("first_period"), F.col("a.facility").alias("first_facility"),
+        F.col("b.period").alias("last_period"), F.col("b.facility").alias("last_facility"),
+        F.coalesce(F.col("before") < F.col("a"), F.lit(True)).alias("follows"),
+    )
 
 
 @query("g06_facility_choices",
@@ -57,9 +70,9 @@ def _(spark, folder):
 
 
 @query("g06_generator_choices",
-       f"{TABLES} select distinct facility, generator from generator_outages where facility = '46' and generator > '1' order by generator limit 51")
+       f"{TABLES} select distinct facility, generator from generator_outages where facility = '7' and generator > '1' order by generator limit 51")
 def _(spark, folder):
-    return paging.lookahead(paging.generator_choices(fixtures.generator_outages(spark, folder), "46"), ("generator",), 50, ("1",))
+    return paging.lookahead(paging.generator_choices(fixtures.generator_outages(spark, folder), "7"), ("generator",), 50, ("1",))
 
 
 @query("g07_top_contributors",

@@ -14,9 +14,9 @@ from fleetgauge.operators.paging import capped, selected
 
 surface("b01_project_alias", "select period, facility, outage as outage_mw, capacity - outage as expression_1 from facility_outages",
         "select period, facility, outage as outage_mw, cast(capacity - outage as decimal(25,6)) as expression_1 from facility_outages")
-surface("b02_star", "select * from national_outages")
-surface("b02_qualified_star", "select n.* from national_outages as n")
-surface("b04_where", "select period, facility, outage from facility_outages where outage > 10 and facility = '46'")
+surface("b02_star", "select * from facility_outages where period >= date '1997-06-01'")
+surface("b02_qualified_star", "select days.*, days.capacity as repeated from national_outages as days where days.outage > 2")
+surface("b04_where", "select facility, period, capacity from facility_outages where outage > 2 and facility = '7'")
 surface("b05_comparisons",
         "select period, outage from national_outages where outage = 20 or outage <> 30 and outage != 31 "
         "and outage < 40 and outage <= 39 and outage > 10 and outage >= 11")
@@ -28,14 +28,14 @@ surface("b06_three_valued_logic",
 surface("b07_is_null",
         "select period, facility, generator, percentOutage from generator_outages where facilityName is null and percentOutage is not null")
 surface("b08_between",
-        "select period, facility, outage from facility_outages where outage between 1 and 2 or outage not between 0 and 100")
+        "select facility, period, capacity from facility_outages where capacity between 12.5 and 37.5 and outage not between 0.1 and 0.9")
 surface("b09_in_list", "select period, facility, outage from facility_outages where facility in ('46', '7') or facility not in ('1', '2', '3')")
 
 
-@query("b03_duplicate_labels", f"{TABLES} select outage as value_1, capacity as value_2 from national_outages")
+@query("b03_duplicate_labels", f"{TABLES} select facility as id_first, generator as id_second, period from generator_outages")
 def _(spark, folder):
-    both = run_sql(spark, folder, "select outage as value, capacity as value from national_outages")
-    return both.toDF("value_1", "value_2")
+    both = run_sql(spark, folder, "select facility as id, generator as id, period from generator_outages")
+    return both.toDF("id_first", "id_second", "period")
 
 
 @query("b10_date_range",
@@ -46,9 +46,9 @@ def _(spark, folder):
     return dates.between(fixtures.generator_outages(spark, folder), date(1996, 1, 1), date(1996, 12, 31))
 
 
-@query("b11_entity_equality", f"{TABLES} select * from facility_outages where facility = '46'")
+@query("b11_entity_equality", f"{TABLES} select * from facility_outages where facility = '7'")
 def _(spark, folder):
-    return selected(fixtures.facility_outages(spark, folder), FACILITY, ids={"facility": "46"})
+    return selected(fixtures.facility_outages(spark, folder), FACILITY, ids={"facility": "7"})
 
 
 @query("b13_contains_lower",
@@ -87,15 +87,18 @@ def _(spark, folder):
 # --- scalar expressions ---------------------------------------------------------------
 
 surface("c01_arithmetic",
-        "select period, cast(+(outage + 1) - (-capacity * 2) as decimal(30,6)) as mixed, -outage as negated from national_outages")
+        "select facility, period, cast(3 * capacity - (outage - +0.5) * 7 as decimal(30,6)) as weighed, -(capacity - outage) as short "
+        "from facility_outages")
 surface("c01_division",
         "select period, facility, cast(outage / 4 as decimal(30,10)) as quarter from facility_outages",
         "select period, facility, cast(cast(outage as decimal(20,6)) * 0.2500 as decimal(30,10)) as quarter from facility_outages")
 surface("c03_decimal_literals", "select period, cast(outage + 1.25 as decimal(26,6)) as shifted from national_outages")
 surface("c04_date_literal", "select period, outage, DATE '2000-02-29' as leap_day from national_outages where period >= DATE '2000-02-29'")
 surface("c05_case",
-        """select period, facility, case when outage > 10 then 'high' when outage > 1 then 'some' else 'low' end as level,
-        case when outage < 1 then outage end as small from facility_outages""")
+        """select period, facility, generator, case when percentOutage is null then 'unknown' when percentOutage >= 8 then 'severe'
+        when percentOutage > 0 then 'partial' end as severity, case facilityName when 'none' then 0 else 1 end as labelled from generator_outages""",
+        """select period, facility, generator, case when "percentOutage" is null then 'unknown' when "percentOutage" >= 8 then 'severe'
+        when "percentOutage" > 0 then 'partial' end as severity, case "facilityName" when 'none' then 0 else 1 end as labelled from generator_outages""")
 surface("c06_round",
         """select period, facility, generator, cast(round(outage) as decimal(24,0)) as whole, cast(round(outage, 1) as decimal(24,1)) as tenth,
         cast(round(outage, -1) as decimal(24,0)) as tens, cast(round(-outage, 1) as decimal(24,1)) as negative from generator_outages""")
@@ -167,7 +170,7 @@ surface("g01_order_nulls_last",
 surface("g01_order_nulls_first",
         "select period, facility, generator, percentOutage from generator_outages "
         "order by percentOutage asc nulls first, period, facility, generator limit 500")
-surface("g02_limit_zero", "select outage from national_outages order by outage asc nulls last limit 0")
+surface("g02_limit_zero", "select period, facility, capacity from facility_outages order by capacity desc nulls last, period limit 0")
 
 
 @query("g03_capped_result", f"""{TABLES} select 1000 as returned_rows, count(*) > 1000 as truncated from generator_outages""")

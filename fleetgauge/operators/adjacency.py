@@ -45,8 +45,12 @@ def is_now() -> Column:
     return F.col("rows_now") > 0
 
 
+def member_change() -> Column:
+    return F.when(is_now() & ~was(), F.lit("added")).when(was() & ~is_now(), F.lit("removed"))
+
+
 def membership_changes(pairs: DataFrame, spec: GrainSpec) -> DataFrame:
-    change = F.when(is_now() & ~was(), F.lit("added")).when(was() & ~is_now(), F.lit("removed"))
+    change = member_change()
     return pairs.select(
         spec.period, F.date_sub(spec.period, 1).alias("previous_period"), *spec.entity, change.alias("change")
     ).filter(F.col("change").isNotNull())

@@ -42,10 +42,10 @@ def _fingerprint(condition: Column, columns: list[str]) -> Column:
     return F.concat_ws(":", F.count_if(condition), total)
 
 
-def row_diagnostics(df: DataFrame, spec: GrainSpec) -> DataFrame:
-    """D01–D06 in one pass without a shuffle of rows. Each condition is judged once per
-    row, in a projection of its own, before the counts and fingerprints use it."""
-    conditions = row_conditions(spec)
+def row_diagnostics(df: DataFrame, spec: GrainSpec, codes: tuple[str, ...] | None = None) -> DataFrame:
+    """D01–D06 (or ``codes`` of them) in one pass without a shuffle of rows. Each condition is judged
+    once per row, in a projection of its own, before the counts and fingerprints use it."""
+    conditions = {code: c for code, c in row_conditions(spec).items() if codes is None or code in codes}
     columns = [*spec.keys, *spec.measures, "percentOutage"]
     judged = df.select(*columns, *[c.alias(code) for code, c in conditions.items()])
     facts = judged.agg(
@@ -66,8 +66,10 @@ def affected_rows(df: DataFrame, spec: GrainSpec, code: str) -> DataFrame:
     return df.filter(row_conditions(spec)[code]).select(*spec.keys, *spec.measures, "percentOutage")
 
 
-def change_diagnostics(df: DataFrame, spec: GrainSpec, start: Column, end: Column) -> DataFrame:
-    """D07 and D08 from one aggregation over the pairs of window days."""
+def change_diagnostics(
+    df: DataFrame, spec: GrainSpec, start: Column, end: Column, codes: tuple[str, ...] = ("D07", "D08")
+) -> DataFrame:
+    """D07 and D08 (or one of them) from one aggregation over the pairs of window days."""
     pairs = day_pairs(df, spec, "capacity", start, end)
     columns = [*spec.keys, "previous_value", "value"]
     facts = pairs.agg(
@@ -76,16 +78,15 @@ def change_diagnostics(df: DataFrame, spec: GrainSpec, start: Column, end: Colum
         _fingerprint(value_changed(), columns).alias("value_details"),
     )
     rows = []
-    if spec.name in DIAGNOSTIC_SCOPES["D07"]:
+    if "D07" in codes and spec.name in DIAGNOSTIC_SCOPES["D07"]:
         rows.append(
             outcome("D07", spec.name, F.col("membership_checked"), F.col("membership_affected"), F.col("membership_details"))
         )
-    rows.append(
-        outcome(
+    if "D08" in codes:
+        rows.append(outcome(
             "D08", spec.name, F.col("value_checked"), F.col("value_affected"), F.col("value_details"),
             error=F.col("repeated") > 0,
-        )
-    )
+        ))
     return outcomes(facts, rows)
 
 
