@@ -276,7 +276,7 @@ def _(spark, folder):
 
 @query("f09_trailing_series",
        f"""{TABLES}, last as (select max(period) p from facility_outages),
-       slots as (select facility, cast(p - cast(n as int) as date) period from (select distinct facility from facility_outages) f, last, range(8) r(n))
+       slots as (select facility, cast(p - cast(n as int) as date) period from (select distinct facility from facility_outages, last where period > p - 8) f, last, range(8) r(n))
        select s.period, s.facility, outage from slots s left join facility_outages f on s.period = f.period and s.facility = f.facility""")
 def _(spark, folder):
     table = fixtures.facility_outages(spark, folder)

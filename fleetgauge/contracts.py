@@ -79,6 +79,7 @@ DIAGNOSTIC_SCOPES = {
     "D06": _EACH, "D07": _WITH_IDS, "D08": _EACH, "D09": ("facility",),
 }
 INFORMATIONAL = ("D07", "D08", "D09")
+# The messages, and the column names of logs, results and manifests below.
 DIAGNOSTIC_MESSAGES = {
     "D01": "Facility label is missing.",
     "D02": "Source percentage is missing.",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.contracts import MEASURE, GrainSpec
 
-# Accepted text forms and unit labels.
+# Accepted text forms, unit labels and, in the functions below, the codes of refusals.
 BLANK = r"^[\s\p{Z}\x1C-\x1F\x85]*\z"
 DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 DECIMAL_TEXT = r"^[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)\z"

@@ -103,11 +103,16 @@ def contribution_totals(facility: DataFrame, national: DataFrame) -> DataFrame:
     )
 
 
-def trailing_series(df: DataFrame, spec: GrainSpec, end: date | Column, days: int = 8) -> DataFrame:
-    """The last ``days`` days of every entity; a day without a row stays null."""
+def trailing_series(
+    df: DataFrame, spec: GrainSpec, end: date | Column, days: int = 8, ids: dict[str, str] | None = None
+) -> DataFrame:
+    """The last ``days`` days of every entity with a row in them, or of the one that ``ids`` names; a day without a
+    row stays null. Only the range is read."""
     last = day(end)
     recent = between(df, F.date_sub(last, days - 1), last, spec.period)
-    entities = df.select(*spec.entity).distinct()
+    for name, value in (ids or {}).items():
+        recent = recent.filter(F.col(name) == F.lit(value))
+    entities = recent.select(*spec.entity).distinct()
     slots = entities.select(*spec.entity, F.explode(F.sequence(F.date_sub(last, days - 1), last)).alias(spec.period))
     return slots.join(recent.select(*spec.keys, "outage"), list(spec.keys), "left").select(*spec.keys, "outage")
 
