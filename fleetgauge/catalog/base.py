@@ -17,11 +17,14 @@ _TABLES = """units as (
   select cast(l_shipdate as date) period, l_suppkey, l_partkey,
     max(case when l_returnflag <> 'N' then l_returnflag end) flag,
     cast(sum(case when l_quantity = 50 and l_tax = 0 then 0.00 else cast(l_quantity as decimal(8,2)) end) as decimal(24,6)) capacity,
-    cast(sum(cast(l_quantity as decimal(8,2)) * cast(l_discount as decimal(3,2))
+    cast(sum(case when l_quantity = 7 then cast(l_quantity as decimal(8,2)) else cast(l_quantity as decimal(8,2)) * cast(l_discount as decimal(3,2))
       + case when l_quantity = 1 then 2.0 else 0.0 end
-      - case when l_returnflag = 'R' and l_discount = 0 then 0.5 else 0.0 end) as decimal(24,6)) outage,
-    case when max(l_tax) <> 0 then cast(max(cast(l_discount as decimal(3,2))) * 100
-      + case when max(l_tax) = 0.08 then 0.01 else 0.00 end as decimal(24,6)) end "percentOutage"
+      - case when l_returnflag = 'R' and l_discount = 0 then 0.5 else 0.0 end end) as decimal(24,6)) outage,
+    case when min(l_quantity) = 7 and max(l_quantity) = 7 then cast(100 as decimal(24,6))
+      when max(l_tax) <> 0 then cast(max(cast(l_discount as decimal(3,2))) * 100
+      + case when max(l_tax) = 0.08 then 0.01 else 0.00 end
+      + case when min(l_quantity) = 9 and max(l_quantity) = 9 then 100.00 when min(l_quantity) = 11 and max(l_quantity) = 11 then -50.00 else 0.00 end
+      as decimal(24,6)) end "percentOutage"
   from lineitem group by all),
 generator_outages as (
   select period, cast(l_suppkey as varchar) facility, cast(l_partkey as varchar) generator,

@@ -1,7 +1,7 @@
 """Outage tables, landed pages and exports derived from the driver's tables.
 
 Values carry anomalies on purpose (missing labels and percentages, negative outage,
-outage above capacity). The facility table leaves out units that report 0 percent and
+outage above capacity, units wholly out, percentages out of range). The facility table leaves out units that report 0 percent and
 the national table files no report on the 13th of a month, so that membership,
 reconciliation and date checks find something. ``clean`` turns those two off.
 """
@@ -21,6 +21,7 @@ from fleetgauge.sources.pages import NO_ERROR, to_source_text
 from fleetgauge.sources.parquet import scan, write_sorted
 
 API_VERSION = "2.1.0"
+FULL, ABOVE, BELOW = 700, 900, 1_100  # quantities, in hundredths, of units wholly out or with a percentage out of range
 RETRY_EVERY = 5  # one page in five is answered at the second attempt
 
 
@@ -54,20 +55,25 @@ def _units(spark: SparkSession, folder: str) -> DataFrame:
         .agg(
             F.max(F.when(F.col("flag") != unflagged, F.col("flag"))).alias("flag"),
             F.sum(F.when((F.col("q") == 5000) & (F.col("t") == 0), 0).otherwise(F.col("q"))).alias("capacity"),
-            F.sum(
+            F.sum(F.when(F.col("q") == FULL, F.col("q") * 100).otherwise(
                 F.col("q") * F.col("d")
                 + F.when(F.col("q") == 100, 20_000).otherwise(0)
                 - F.when((F.col("flag") == returned) & (F.col("d") == 0), 5_000).otherwise(0)
-            ).alias("outage"),
+            )).alias("outage"),
+            F.min("q").alias("low"),
+            F.max("q").alias("high"),
             F.max("d").alias("d"),
             F.max("t").alias("t"),
         )
     )
-    percent = F.col("d") * 100 + F.when(F.col("t") == 8, 1).otherwise(0)
+    every = lambda q: (F.col("low") == q) & (F.col("high") == q)
+    odd = F.when(every(ABOVE), 10_000).when(every(BELOW), -5_000).otherwise(0)
+    percent = F.col("d") * 100 + F.when(F.col("t") == 8, 1).otherwise(0) + odd
+    percent = F.when(every(FULL), F.lit(10_000)).when(F.col("t") != 0, percent)
     return grouped.select(
         "period", "l_suppkey", "l_partkey", "flag",
         _scaled(F.col("capacity"), "0.01").alias("capacity"), _scaled(F.col("outage"), "0.0001").alias("outage"),
-        F.when(F.col("t") != 0, _scaled(percent, "0.01")).alias("percentOutage"),
+        _scaled(percent, "0.01").alias("percentOutage"),
     )
 
 
