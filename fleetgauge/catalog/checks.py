@@ -269,7 +269,34 @@ def _(spark, folder):
     return counted.withColumn("approval_required", F.col("warning_count") > 0)
 
 
-@query("q03_warning_digest")
+def _details_sql(code, g):
+    """The digest of a diagnostic's affected rows, as the plan defines it."""
+    spec = GRAINS[g]
+    if code in ("D07", "D08"):
+        on = " and ".join(["a.period = b.period + 1", *[f"a.{k} = b.{k}" for k in spec.entity]])
+        ids = "".join(f"coalesce(a.{k}, b.{k}) {k}, " for k in spec.entity)
+        source = (
+            f"(select cast(coalesce(a.period, b.period + 1) as date) period, {ids} b.capacity previous_value, a.capacity as value, a.period ap, b.period bp "
+            f"from {g}_outages a full join {g}_outages b on {on}) p"
+        )
+        inside = "period > (select min(period) from days) and period <= (select max(period) from days)"
+        condition = f"{inside} and " + ("(ap is null or bp is null)" if code == "D07" else "value <> previous_value")
+        columns = [*spec.keys, "previous_value", "value"]
+    else:
+        source, condition, columns = f"{g}_outages", CONDITIONS[code], [*spec.keys, *spec.measures, '"percentOutage"']
+    text = "concat_ws('|', {})".format(", ".join(f"coalesce(cast({c} as varchar), '-')" for c in columns))
+    sums = ", ".join(f"cast(coalesce(sum(('0x' || substr(h, {1 + 15 * i}, 15))::hugeint), 0) as varchar)" for i in range(4))
+    return f"select '{code}' c, '{g}' g, sha256(concat_ws(':', cast(count(*) as varchar), {sums})) d from (select sha256({text}) h from {source} where {condition}) x"
+
+
+_DETAILS = " union all ".join(_details_sql(code, g) for code in [*_NAMES, "D07", "D08"] for g in DIAGNOSTIC_SCOPES[code])
+
+
+@query("q03_warning_digest",
+       f"""{TABLES}, {_RESULTS}, details as ({_DETAILS}), summaries as (select *, {_MESSAGE_SQL} m from results join details on check_code = c and dataset_key = g)
+       select count(*) filter (where severity = 'warning' and failed_count > 0) as warning_count, sha256('warnings-v1' || chr(10) || '[' || string_agg(
+         concat('{{"code":"', c, '","dataset_key":"', g, '","severity":"', severity, '","affected_count":', failed_count, ',"message":"', m,
+           '","details_hash":"', d, '"}}'), ',' order by c, g) || ']') as warning_digest from summaries""")
 def _(spark, folder):
     return gate.warning_identity(table_results(spark, folder))
 

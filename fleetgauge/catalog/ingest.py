@@ -144,15 +144,22 @@ def _(spark, folder):
     ).withColumn("capacity", F.when(F.col("refused").isNull(), F.col("capacity")))
 
 
-@query("a04_verified_inputs")
+@query("a04_verified_inputs",
+       f"""{TABLES} select * from (values ('00001', 'changed'), ('00002', 'missing'), ('00003', 'repeated_role')) t(role, problem)
+       where (select count(*) from facility_outages) > 0""")
 def _(spark, folder):
+    # Four files: one as registered, one changed since, one gone, one registered twice.
     path = scratch(spark, "inputs")
     fixtures.facility_outages(spark, folder).repartition(4).write.option("header", True).csv(path)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    registry = settle(found.select(name.alias("file"), name.alias("role"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")), "registry")
-    problems = exports.verify_inputs(spark, path, registry).groupBy("file").agg(F.count("problem").alias("problems"))
-    return registry.join(problems, "file", "left").select("file", "bytes", F.coalesce("problems", F.lit(0)).alias("problems"))
+    role = F.regexp_extract(name, r"part-([0-9]+)", 1)
+    files = settle(found.select(name.alias("file"), role.alias("role"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")), "registry")
+    registry = files.withColumns({
+        "sha256": F.when(F.col("role") == "00001", F.sha2("sha256", 256)).otherwise(F.col("sha256")),
+        "file": F.when(F.col("role") == "00002", F.concat(F.lit("gone-"), "file")).otherwise(F.col("file")),
+    }).withColumn("copy", F.explode(F.when(F.col("role") == "00003", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return exports.verify_inputs(spark, path, registry.drop("copy")).select("role", "problem")
 
 
 @query("a05_sorted_files",
@@ -254,6 +261,14 @@ def _(spark, folder):
     return history.read_active(versions, log)
 
 
+@query("a13_pinned_version_rows",
+       f"{TABLES} select * from generator_outages where extract(year from period) = 1996 union all select * from generator_outages where false")
+def _(spark, folder):
+    versions, log = _yearly_versions(spark, folder)
+    published = log.filter(F.col("version_id") != "v1997")
+    return union([history.read_published(versions, published, v) for v in ("v1996", "v1997")])
+
+
 @query("a12_publication_decisions",
        f"""{TABLES}, y as (select extract(year from period) y, min(period) s, max(period) e from generator_outages group by 1),
        l as (select max(y) m, arg_max(s, y) s, arg_max(e, y) e from y)

@@ -8,12 +8,20 @@ from fleetgauge import fixtures
 from fleetgauge.catalog.base import TABLES, mean_sql, query, run_sql, share_sql, surface
 from fleetgauge.contracts import FACILITY, GENERATOR
 from fleetgauge.functions import dates, exact, search
-from fleetgauge.operators.paging import capped, selected
+from fleetgauge.operators.paging import capped, named, ordered, selected
 
 # --- projection and filter --------------------------------------------------------
 
 surface("b01_project_alias", "select period, facility, outage as outage_mw, capacity - outage as expression_1 from facility_outages",
         "select period, facility, outage as outage_mw, cast(capacity - outage as decimal(25,6)) as expression_1 from facility_outages")
+@query("b01_expression_names",
+       f"""{TABLES} select facility, cast(capacity * 2 as decimal(24,6)) as expression_2, period as day, upper("facilityName") as expression_4 from facility_outages""")
+def _(spark, folder):
+    table = fixtures.facility_outages(spark, folder)
+    twice = (F.col("capacity") + F.col("capacity")).cast("decimal(24,6)")
+    return named(table, "facility", twice, ("day", F.col("period")), F.upper("facilityName"))
+
+
 surface("b02_star", "select * from facility_outages where period >= date '1997-06-01'")
 surface("b02_qualified_star", "select days.*, days.capacity as repeated from national_outages as days where days.outage > 2")
 surface("b04_where", "select facility, period, capacity from facility_outages where outage > 2 and facility = '7'")
@@ -170,6 +178,18 @@ surface("g01_order_nulls_last",
 surface("g01_order_nulls_first",
         "select period, facility, generator, percentOutage from generator_outages "
         "order by percentOutage asc nulls first, period, facility, generator limit 500")
+@query("g01_default_nulls_last",
+       f"""{TABLES} select * from (select period, facility, generator, "percentOutage" from generator_outages
+       order by "percentOutage" desc nulls last, "facilityName" asc nulls last, period desc, facility, generator limit 300) a
+       union all select * from (select period, facility, generator, "percentOutage" from generator_outages where facility = '7'
+       order by "percentOutage" asc nulls last, period, generator limit 300) b""")
+def _(spark, folder):
+    table, shown = fixtures.generator_outages(spark, folder), ["period", "facility", "generator", "percentOutage"]
+    falling = ordered(table, "percentOutage", "facilityName", "period", "facility", "generator", descending=("percentOutage", "period"))
+    rising = ordered(table.filter("facility = '7'"), "percentOutage", "period", "generator")
+    return falling.select(*shown).limit(300).unionByName(rising.select(*shown).limit(300))
+
+
 surface("g02_limit_zero", "select period, facility, capacity from facility_outages order by capacity desc nulls last, period limit 0")
 
 

@@ -42,6 +42,23 @@ def selected(df: DataFrame, spec: GrainSpec, start=None, end=None, ids: dict[str
     return df
 
 
+def ordered(df: DataFrame, *keys: str, descending: tuple[str, ...] = ()) -> DataFrame:
+    """Rows in key order with nulls last in either direction, as user SQL is read when it does not say."""
+    return df.orderBy(*[F.col(k).desc_nulls_last() if k in descending else F.col(k).asc_nulls_last() for k in keys])
+
+
+def named(df: DataFrame, *items: str | Column | tuple[str, Column]) -> DataFrame:
+    """A projection in which an expression without a name is called after its place: ``expression_<n>``."""
+    columns = []
+    for place, item in enumerate(items, 1):
+        if isinstance(item, str):
+            columns.append(F.col(item))
+        else:
+            name, expression = item if isinstance(item, tuple) else (f"expression_{place}", item)
+            columns.append(expression.alias(name))
+    return df.select(*columns)
+
+
 def lookahead(df: DataFrame, keys: tuple[str, ...], size: int, after: tuple | None = None) -> DataFrame:
     """The next ``size`` rows in key order plus one that tells whether more follow.
 

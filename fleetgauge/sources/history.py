@@ -55,6 +55,12 @@ def read_active(versions: DataFrame, log: DataFrame) -> DataFrame:
     return versions.filter(F.col("version_id") == active_version(log)).drop("version_id")
 
 
+def read_published(versions: DataFrame, log: DataFrame, version_id: str) -> DataFrame:
+    """Rows of the version that an earlier answer named, if it was ever published; it need not be the active one."""
+    known = log.filter(F.col("version_id") == version_id).select("version_id").limit(1)
+    return versions.filter(F.col("version_id") == version_id).join(known, "version_id", "left_semi").drop("version_id")
+
+
 @dataclass(frozen=True)
 class Candidate:
     version_id: str
