@@ -1,6 +1,6 @@
 """Similarity join of documents by the Jaccard similarity of their word shingles: rare-first prefix filtering.
 
-1. Documents with one set of shingles are a class; one of them stands for it. Hashes of its distinct shingles
+1. Documents with one sequence of words are a class; one of them stands for it. Hashes of its distinct shingles
    go to buckets once a block, which count in how many classes each occurs and answer the block.
 2. A set is ordered rarest first. Two sets that are similar enough share one of the first n - ⌈0.8 n⌉ + 1 shingles of
    each, so only these are joined, and of these only the ones that another class has.
@@ -50,9 +50,13 @@ class CellLimits:
     shingles: int = 400_000
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return as_bytes(text).translate(_LOWER).split()
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    words = as_bytes(text).translate(_LOWER).split()
+    words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) < WORDS:
@@ -81,12 +85,12 @@ def _hashes_of(texts: list[str | None]) -> pa.Array:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, ids, texts in zip(*(batch.column(c) for c in ("block", "ids", "texts")), strict=True):
-            sets = [shingles(t) for t in texts.as_py()]
+            words, plain = [words_of(t) for t in texts.as_py()], texts.as_py()
             first = block.as_py() << IN_PART
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(sets)) + first, pa.int64()), pa.array(ids.as_py(), pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), _hashes_of(texts.as_py())],
-                names=["node", "doc_id", "n_shingles", "digest", "text_hash"],
+                [pa.array(np.arange(len(words)) + first, pa.int64()), pa.array(ids.as_py(), pa.int64()), pa.array([len(w) for w in words], pa.int64()),
+                 pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words], pa.binary()), _hashes_of(plain)],
+                names=["node", "doc_id", "n_words", "digest", "text_hash"],
             )
 
 
@@ -144,22 +148,27 @@ def _prefixes(buckets: int):
                 known = np.unique(np.concatenate(keys))
                 parts = {a["bucket"]: a["body"] for a in answers.as_py()}
                 often = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(parts[b]), "<u4") for b in sorted(parts)])
-                nodes, prefixes, wholes = [], [], []
-                for i, own, key in zip(places, sets, keys, strict=True):
-                    count = often[np.searchsorted(known, key)]
+                all_keys, ends = np.concatenate(keys), np.cumsum([len(k) for k in keys])
+                counts = often[np.searchsorted(known, all_keys)]
+                starts = ends - [len(k) for k in keys]
+                alone = np.add.reduceat((counts == 1).astype(np.int64), starts)
+                first = block.as_py() << IN_PART
+                prefixes, wholes = [], []
+                for own, low, high, single in zip(sets, starts.tolist(), ends.tolist(), alone.tolist(), strict=True):
+                    length = prefix_length(len(own))
+                    if single >= length:  # nothing in the prefix is shared
+                        prefixes.append(own[:0])
+                        wholes.append(own[:0])
+                        continue
+                    count = counts[low:high]
                     order = np.lexsort((own, count))
-                    first = order[: prefix_length(len(own))]
-                    first = first[count[first] > 1]
-                    if len(first):
-                        nodes.append((block.as_py() << IN_PART) + i)
-                        prefixes.append(own[first].view(np.int64))
-                        wholes.append(own[order].view(np.int64))
-                if nodes:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(nodes, pa.int64()), pa.array([len(w) for w in wholes], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
-                         pa.array(wholes, pa.list_(pa.int64()))],
-                        names=["node", "n", "prefix", "shingles"],
-                    )
+                    prefixes.append(own[order[single:length]].view(np.int64))
+                    wholes.append(own[order].view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([first + i for i in places], pa.int64()), pa.array([len(k) for k in keys], pa.int64()),
+                     pa.array([p.view(np.int64) for p in prefixes], pa.list_(pa.int64())), pa.array([w.view(np.int64) for w in wholes], pa.list_(pa.int64()))],
+                    names=["node", "n", "prefix", "shingles"],
+                )
 
     return run
 
@@ -289,9 +298,9 @@ def near_duplicates(docs: DataFrame, limits: CellLimits = CellLimits(), block_ch
     """A row for each document: node (its number), doc_id, text_hash, n_shingles, class_node, component_node, component_id."""
     blocks, stored = store_blocks(docs, block_chars)
     buckets = max(64, 2 * stored)
-    described = written(blocks.mapInArrow(_describe, "node long, doc_id long, n_shingles long, digest binary, text_hash long"), "shingle-sets")
-    classes = described.where("n_shingles > 0").groupBy("digest").agg(F.min("node").alias("class_node"), F.min("doc_id").alias("class_doc"))
-    classes = written(classes, "set-classes")
+    described = written(blocks.mapInArrow(_describe, "node long, doc_id long, n_words long, digest binary, text_hash long"), "word-sequences")
+    classes = described.where("n_words > 0").groupBy("digest").agg(F.min("node").alias("class_node"), F.min("doc_id").alias("class_doc"))
+    classes = written(classes, "word-classes")
     mask = F.lit((1 << IN_PART) - 1)
     chosen = classes.select(F.shiftright("class_node", IN_PART).alias("block"), F.col("class_node").bitwiseAND(mask).cast("int").alias("at"))
     chosen = chosen.repartition(stored, "block").groupBy("block").agg(F.array_sort(F.collect_list("at")).alias("chosen"))
@@ -300,7 +309,8 @@ def near_duplicates(docs: DataFrame, limits: CellLimits = CellLimits(), block_ch
     counted = picked.mapInArrow(_sender(buckets), SENT).groupBy("bucket").applyInArrow(_count, "block long, bucket int, body binary")
     answers = counted.repartition(stored, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "body")).alias("answers"))
     asked = picked.join(answers.hint("shuffle_hash"), "block")
-    sets = written(asked.mapInArrow(_prefixes(buckets), "node long, n long, prefix array<long>, shingles array<long>"), "open-sets")
+    every = written(asked.mapInArrow(_prefixes(buckets), "node long, n long, prefix array<long>, shingles array<long>"), "prefixes")
+    sets = every.where(F.size("prefix") > 0)
     tokens = written(sets.select("node", "n", F.explode("prefix").alias("token")), "prefix-shingles")
     led = written(led_links(sets, tokens), "led-links")
     further = written(cell_links(sets, tokens, components(led), limits), "cell-links")
@@ -308,10 +318,13 @@ def near_duplicates(docs: DataFrame, limits: CellLimits = CellLimits(), block_ch
     # class_node, component_node and the least doc_id of the component
     rooted = classes.join(roots.withColumnRenamed("node", "class_node"), "class_node", "left").withColumn("root", F.coalesce("root", "class_node"))
     least = rooted.groupBy("root").agg(F.min("class_doc").alias("component_id"))
-    named = rooted.join(least, "root").select("digest", "class_node", F.col("root").alias("component_node"), "component_id")
+    sizes = every.select(F.col("node").alias("class_node"), F.col("n").alias("n_shingles"))
+    named = rooted.join(least, "root").join(sizes, "class_node").select(
+        "digest", "class_node", F.col("root").alias("component_node"), "component_id", "n_shingles"
+    )
     result = described.join(named, "digest", "left")
     return result.select(
-        "node", "doc_id", "text_hash", "n_shingles", F.coalesce("class_node", "node").alias("class_node"), F.coalesce("component_node", "node").alias("component_node"),
+        "node", "doc_id", "text_hash", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("class_node", "node").alias("class_node"), F.coalesce("component_node", "node").alias("component_node"),
         F.when(F.col("class_node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
