@@ -41,6 +41,12 @@ def written(df: DataFrame, purpose: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """For a join with texts: narrow rows are sent to all tasks if there are few, so that the texts stay where they are;
+    of more rows Spark chooses the join. ``df`` has been written, so counting it is cheap."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` for a function that takes one batch at a time."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import WordCodes, as_bytes, ranges, written
+from fleetgauge.llm.common import WordCodes, as_bytes, ranges, small, written
 
 WINDOW = 10
 SHARD_WORDS = 400_000
@@ -246,7 +246,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
     numbered = keyed.select(F.xxhash64("_key").alias("doc_id"), "text")
     bad = search_benchmark(numbered, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return keyed.join(bad, F.xxhash64("_key") == F.col("_bad"), "left_anti").select(*docs.columns)
+    return keyed.join(small(written(bad, "contaminated")), F.xxhash64("_key") == F.col("_bad"), "left_anti").select(*docs.columns)
 
 
 __all__ = ["remove_contaminated", "search_benchmark", "with_digest"]

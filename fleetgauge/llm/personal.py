@@ -209,7 +209,7 @@ def redact(docs: DataFrame, **limits) -> DataFrame:
         F.coalesce("found", F.expr("array()").cast("array<struct<start: int, kind: string, end: int>>")),
     )
     hits = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), spans.alias("_spans")).where(F.size("_spans") > 0)
-    hits = hits.groupBy("_d", "_t").agg(F.first("_spans").alias("_spans"))
+    hits = _small(written(hits.groupBy("_d", "_t").agg(F.first("_spans").alias("_spans")), "spans-to-redact"))
 
     @F.udf("string", useArrow=True)
     def replaced(text: str, cut: list) -> str:
