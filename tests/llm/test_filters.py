@@ -6,7 +6,7 @@ from fleetgauge.llm import decontaminate, personal
 from fleetgauge.llm.decontaminate import remove_contaminated, search_benchmark, with_digest
 from fleetgauge.llm.line_rules import Limits, apply_rules, line_rules
 from fleetgauge.llm.toxicity import fit, judge_toxicity, score_documents
-from fleetgauge.llm.url_trees import judge_urls
+from fleetgauge.llm.url_trees import Rule, judge_urls, suffix_statistics, training_sample
 
 # --- lines ---------------------------------------------------------------------------
 
@@ -159,3 +159,25 @@ def test_rules_and_parts_of_urls(spark):
     assert all(r.verdict == listed.get(r.rule, r.verdict) and r.verdict in ("allow", "block") for r in found)
     assert {r.verdict for r in judge_urls(pages.where("url like '%a.com/x' or url is null")).collect()} == {"allow"}
     assert judge_urls(pages.where("false")).count() == 0
+
+
+def test_url_sample_holds_distinct_urls_of_both_classes(spark):
+    urls = ["https://hot.com/x"] * 300 + [f"https://a{i}.com/p{i}" for i in range(300)] + [f"http://a{i}.net/es/{i}" for i in range(3)]
+    urls += [f"http://b{i}.net/de/{i}" for i in range(20)] + [f"http://b{i}.org/de/{i}" for i in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r.page_id: r.verdict for r in judge_urls(pages, max_train=40).collect()}
+    assert {found[i] for i in range(603, 623)} == {"block"}  # the suffix of the few blocked rows
+    labelled = pages.where("page_id < 603").selectExpr("url", "'com' suffix", "cast(url like '%.net/%' as double) label")
+    sample = training_sample(labelled, 40).collect()
+    assert len({r.url for r in sample}) == len(sample) == 40 and sum(r.label for r in sample) == 3
+    assert {(r.label, round(r.weight * (3 if r.label else 37))) for r in sample} == {(1.0, 3), (0.0, 301)}
+    stats = suffix_statistics(labelled).collect()[0]
+    assert stats.suffix_blocked == 4 / 605 and round(stats.suffix_seen, 6) == 6.403574  # log(604)
+
+
+def test_url_suffixes_count_rows_outside_the_sample(spark):
+    urls = [f"https://a{i}.com/en/{i}" for i in range(400)] + [f"http://a{i}.net/es/{i}" for i in range(400)] + ["http://a.xyz/es/1", "http://b.xyz/de/1"]
+    rules = (Rule("allow", "com", "/"), Rule("block", "net", "/es/"), Rule("block", "xyz", "/es/"))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    ruled = judge_urls(pages, rules, max_train=10)
+    assert ruled.where("page_id = 801").first().verdict == "block"
