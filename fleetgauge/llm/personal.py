@@ -1,13 +1,14 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapping from their contexts.
 
-1. Each text gives its base entities (email, ip, card, phone) and its candidates: tokens of 6 to 64 characters with three
-   digits in a row that no base entity touches. Either has a *cue*, the last word before it.
-2. The base entities are the seeds. A cue is trusted if ``min_values`` different known values follow it and known values
-   follow at least ``min_share`` of all its occurrences in the corpus, so a word of ordinary text never is.
-3. A candidate after trusted cues becomes known if 1 - Π(1 - share of a cue) reaches ``min_score``. Then the cues are judged
-   again, for ``rounds`` rounds or until nothing new is found.
-
-Scoring is joins and sums over distinct (cue, value) pairs; occurrences are only counted. Known identifiers
+1. Each text gives its base entities (email, ip, card, phone) and its candidates: tokens of at least 6 characters with a
+   digit that no base entity touches. Either has *patterns*: the one, two and three words before it, and those after it.
+2. The base entities are the seeds. A pattern is trusted if it stands by ``min_values`` different known values, if they
+   are at least ``min_share`` of all seeds and candidates it stands by, and if it stands by them more often than chance has it (at least
+   ``min_lift`` times, and significantly for the number of patterns), so words of ordinary text are not trusted, and cues that prose uses too can be.
+3. A candidate at trusted patterns becomes known if 1 - Π(1 - share of a pattern) reaches ``min_score``. Then the patterns are
+   judged again, until nothing new is found. What is known stays known: shares only grow, and chance is fixed.
+
+Scoring is joins and sums over distinct (pattern, value) pairs; occurrences are only counted. Known identifiers
 have the kind ``id`` and never replace a base entity.
 
 Defined results: a null text is empty. Repeated rows each get a row. An empty table gives an empty result. Only doc_id and text
@@ -16,11 +17,13 @@ are read; ``redact`` keeps the other columns.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import sha256_hex, written
@@ -33,11 +36,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_THREE = re.compile("[0-9]{3}")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
-_CUE = re.compile(r"([^\W\d_]+)[\W\d_]*\Z")
+_WORD = re.compile("[^\\W\\d_]+|[0-9]+")
 _EDGE = "\"'`.,;:!?()[]{}<>"
-CUE_REACH = 48
+SHORTEST = 6
+PATTERN_WORDS = 3
+LONG_WORD = 40  # longer words are all alike in patterns
 
 
 def luhn(digits: str) -> bool:
@@ -75,14 +79,29 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
-def cue_of(text: str, start: int) -> str:
-    found = _CUE.search(text[max(0, start - CUE_REACH) : start])
-    return found[1].lower() if found else ""
+class Patterns:
+    """Of spans of one text. The words of the text are found once."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.at = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in self.at], [b for _, b in self.at]
+
+    def _word(self, i: int) -> str:
+        a, b = self.at[i]
+        return "0" if self.text[a] in "0123456789" else "*" if b - a > LONG_WORD else self.text[a:b].lower()
+
+    def of(self, start: int, end: int) -> list[str]:
+        """'<' and the words before the span, '>' and those after it; a run of digits counts as the word 0."""
+        low, high = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        left = [self._word(i) for i in range(max(0, low - PATTERN_WORDS), low)]
+        right = [self._word(i) for i in range(high, min(len(self.at), high + PATTERN_WORDS))]
+        return ["<" + " ".join(left[-n:]) for n in range(1, len(left) + 1)] + [">" + " ".join(right[:n]) for n in range(1, len(right) + 1)]
 
 
 def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
     out, done, i = [], 0, 0
-    found = _THREE.search(text)
+    found = _DIGIT.search(text)
     while found:
         right = _SPACE.search(text, found.end())
         end = right.start() if right else len(text)
@@ -100,16 +119,16 @@ def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int,
         while free and j < len(taken) and taken[j][0] < high:
             free = taken[j][2] <= low
             j += 1
-        if 6 <= high - low <= 64 and free:
+        if high - low >= SHORTEST and free:
             out.append((low, high))
         done = end
-        found = _THREE.search(text, end)
+        found = _DIGIT.search(text, end)
     return out
 
 
-SPAN = "start: int, kind: string, end: int, value: string, cue: string"
+SPAN = "start: int, kind: string, end: int, value: string, patterns: array<string>"
 FOUND = f"doc_id long, text_hash long, spans array<struct<{SPAN}>>, candidates array<struct<{SPAN}>>, base_sha256 string"
-_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("value", pa.string()), ("cue", pa.string())]))
+_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
 
 
 def _as_text(spans: list[tuple[int, str, int]]) -> str:
@@ -125,9 +144,11 @@ def read_entities(docs: DataFrame) -> DataFrame:
                 for text in batch.column(1).to_pylist():
                     text = text or ""
                     base = base_spans(text)
-                    describe = lambda a, k, b, t=text: {"start": a, "kind": k, "end": b, "value": t[a:b], "cue": cue_of(t, a)}
+                    open_spans = candidates(text, base)
+                    patterns = Patterns(text if base or open_spans else "")
+                    describe = lambda a, k, b, t=text, p=patterns: {"start": a, "kind": k, "end": b, "value": t[a:b], "patterns": p.of(a, b)}
                     spans.append([describe(*s) for s in base])
-                    others.append([describe(a, "id", b) for a, b in candidates(text, base)])
+                    others.append([describe(a, "id", b) for a, b in open_spans])
                     digests.append(sha256_hex(_as_text(base).encode()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(2), pa.array(spans, _ARROW), pa.array(others, _ARROW), pa.array(digests)],
@@ -143,43 +164,67 @@ def _small(df: DataFrame, limit: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def cue_totals(docs: DataFrame, cues: DataFrame) -> DataFrame:
-    """How often each cue occurs as a word of the corpus."""
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+")).alias("cue"))
-    return words.join(_small(cues), "cue").groupBy("cue").agg(F.count(F.lit(1)).alias("total"))
+def _phrases(words: Column) -> Column:
+    """Hashes of all runs of one to three words."""
+    one = F.transform(words, lambda w: F.xxhash64(w))
+    rest = lambda x, step: F.slice(x, F.lit(step + 1), F.greatest(F.size(x) - step, F.lit(0)))
+    run = lambda x, step: F.filter(F.zip_with(x, rest(one, step), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), lambda h: h.isNotNull())
+    two = run(one, 1)
+    return F.concat(one, two, run(two, 2))
+
+
+def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how often the words of each pattern stand in the corpus."""
+    hashed = patterns.select("pattern", F.element_at(_phrases(F.split(F.expr("substring(pattern, 2)"), " ")), -1).alias("phrase"))
+    hashed = written(hashed, "pattern-phrases")
+    parted = F.split(F.regexp_replace(F.lower(F.col("text").cast("string")), "[0-9]+", " 0 "), r"[^\p{L}0]+")
+    words = F.transform(F.filter(parted, lambda w: w != ""), lambda w: F.when(F.length(w) > LONG_WORD, F.lit("*")).otherwise(w))
+    found = docs.select(words.alias("words")).select(F.explode(_phrases(F.col("words"))).alias("phrase"))
+    counted = found.join(_small(hashed.select("phrase").distinct()), "phrase").groupBy("phrase").agg(F.count(F.lit(1)).alias("total"))
+    return hashed.join(counted, "phrase", "left").select("pattern", F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def discover(
-    docs: DataFrame, entities: DataFrame, rounds: int = 3, min_values: int = 3, min_share: float = 0.5, min_score: float = 0.5
+    docs: DataFrame, entities: DataFrame, min_values: int = 3, min_share: float = 0.5, min_score: float = 0.5, min_lift: float = 4.0
 ) -> DataFrame:
-    """(value): candidates that trusted cues make known."""
-    pairs = lambda column, known: entities.select(F.explode(column).alias("s")).where("s.cue <> ''").groupBy(
-        F.col("s.cue").alias("cue"), F.col("s.value").alias("value")
-    ).agg(F.count(F.lit(1)).alias("n")).withColumn("seed", F.lit(known))
-    edges = written(pairs("spans", True).unionByName(pairs("candidates", False)), "cue-value-pairs")
-    seeds = edges.where("seed").groupBy("cue").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_values)
-    open_cues = edges.where("not seed").select("cue").distinct()
-    # a cue can only ever matter if a candidate follows it
-    cues = written(edges.groupBy("cue").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= min_values).join(open_cues, "cue"), "cues")
+    """(value): candidates that trusted patterns make known."""
+    spans = lambda column, seed: entities.select(F.explode(column).alias("s")).select(
+        F.explode("s.patterns").alias("pattern"), F.col("s.value").alias("value"), F.lit(seed).alias("seed")
+    )
+    pairs = spans("spans", True).unionByName(spans("candidates", False)).groupBy("pattern", "value", "seed").agg(F.count(F.lit(1)).alias("n"))
+    edges = written(pairs, "pattern-value-pairs")
+    # a pattern can only ever matter if a candidate stands by it
+    judged = edges.groupBy("pattern").agg(F.countDistinct("value").alias("values"), F.sum("n").alias("all_n"), F.bool_and("seed").alias("closed"))
+    patterns = written(judged.where((F.col("values") >= min_values) & ~F.col("closed")).select("pattern", "all_n"), "patterns")
     known = edges.where("false").select("value")
-    if not cues.limit(1).count() or not seeds.limit(1).count():
+    tested = patterns.count()
+    if not tested or not edges.where("seed").limit(1).count():
         return known
-    totals = written(cue_totals(docs, cues.select("cue")), "cue-totals")
+    text = F.col("text").cast("string")
+    words = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, " \t\n\r", "")) + 1)).first()[0]
+    n_entities = entities.agg(F.sum(F.size("spans") + F.size("candidates"))).first()[0]
+    expected = F.greatest(F.col("total"), F.col("all_n")) * F.lit(n_entities / max(words, n_entities))
+    totals = written(
+        patterns.join(pattern_totals(docs, patterns), "pattern").select("pattern", "all_n", expected.alias("expected")), "pattern-totals"
+    )
+    # the logarithm of the chance of so many or more is at most -(n ln(n / expected) - n + expected)
+    n = F.col("known_n")
+    surprise = n * F.log(n / F.col("expected")) - n + F.col("expected")
+    specific = (n >= min_lift * F.col("expected")) & (surprise >= math.log(100 * tested))
+    open_edges = written(edges.join(_small(patterns.select("pattern")), "pattern"), "open-pairs")
     before = 0
-    for _ in range(rounds):
-        marked = edges.join(known.distinct().withColumn("found", F.lit(True)), "value", "left")
-        judged = marked.where(F.col("seed") | F.col("found")).groupBy("cue").agg(F.sum("n").alias("known_n"), F.countDistinct("value").alias("known_values"))
-        share = F.least(F.col("known_n") / F.col("total"), F.lit(0.999))
-        trusted = written(
-            judged.join(totals, "cue").where(F.col("known_values") >= min_values).select("cue", share.alias("share")).where(F.col("share") >= min_share), "trusted-cues"
-        )
-        scored = edges.where("not seed").join(_small(trusted), "cue").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("share"))))).alias("score"))
-        known = written(scored.where(F.col("score") >= min_score).select("value"), "known-values")
+    while True:  # every round but the last finds a value
+        marked = open_edges.join(_small(known.withColumn("found", F.lit(True))), "value", "left")
+        judged = marked.where(F.col("seed") | F.col("found")).groupBy("pattern").agg(F.sum("n").alias("known_n"), F.countDistinct("value").alias("known_values"))
+        share = n / F.col("all_n")
+        trusted = judged.join(totals, "pattern").where((F.col("known_values") >= min_values) & (share >= min_share) & specific)
+        trusted = written(trusted.select("pattern", F.least(share, F.lit(0.999)).alias("share")), "trusted-patterns")
+        scored = open_edges.where("not seed").join(_small(trusted), "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("share"))))).alias("score"))
+        known = written(scored.where(F.col("score") >= min_score - 1e-9).select("value"), "known-values")
         now = known.count()
         if now == before:
-            break
+            return known
         before = now
-    return known
 
 
 def find_personal(docs: DataFrame, **limits) -> DataFrame:

@@ -114,6 +114,24 @@ def test_identifiers_are_discovered_from_contexts(documents):
     assert personal.redact(df.where("false")).count() == 0
 
 
+def test_identifiers_of_any_shape_are_found_by_phrases_on_either_side_round_after_round(documents):
+    prose = "the reference was made in a long letter and nobody could call me about it " * 4
+    rows = [(i, f"{prose}. please call me at +1 (212) 555-0{100 + i} today") for i in range(20)]
+    rows += [(100 + i, f"{prose}. please call me at AB-{10 + i}-CD-34 soon") for i in range(10)]  # words that prose has too
+    rows += [(200 + i, f"{prose}. 12-{10 + i}-56-78 is my badge") for i in range(10)] + [(300 + i, f"{prose}. x{i}@mail.org is my badge") for i in range(20)]
+    chain = ["ticket", "folder", "dossier", "ledger", "parcel", "voucher"]
+    value = lambda k, i: f"K{k}-{20 + i}-Z{i}"
+    rows += [(400 + i, f"{prose}. {chain[0]} y{i}@mail.org") for i in range(9)]
+    for k, cue in enumerate(chain):  # each cue is made known by values of the one before it
+        rows += [(1000 + 100 * k + i, f"{prose}. {cue} {value(k, i)}") for i in range(4)]
+        rows += [(1050 + 100 * k + i, f"{prose}. {cue} {value(k - 1, i)}") for i in range(4) if k]
+    rows += [(5000 + i, f"{prose}. nothing 77-{10 + i}-99 here") for i in range(9)]
+    found = {r.doc_id: r.spans for r in personal.with_digest(personal.find_personal(documents(rows))).collect()}
+    low = len(prose) + 2
+    assert found[103] == f"id:{low + 18}:{low + 29}" and found[203] == f"id:{low}:{low + 11}"
+    assert found[1503] == f"id:{low + 8}:{low + 16}" and found[5003] == ""
+
+
 # --- toxicity ---------------------------------------------------------------------------------
 
 
