@@ -13,7 +13,10 @@ from fleetgauge.llm.byte_pairs import encode_and_decode
 from fleetgauge.llm.common import findable, table
 from fleetgauge.llm.decontaminate import search_benchmark, with_digest
 from fleetgauge.llm.difference_cover import remove_repeated_bytes
+from fleetgauge.llm.filter_audit import audit_corpus
+from fleetgauge.llm.lattice_lm import score_documents
 from fleetgauge.llm.line_rules import line_rules
+from fleetgauge.llm.sharded_lloyd import cluster_vectors
 from fleetgauge.llm.similar import near_duplicates
 from fleetgauge.llm.suffix_trees import remove_repeated_words
 from fleetgauge.llm.token_files import write_and_read
@@ -191,3 +194,74 @@ select doc_id, coalesce(n, 0) n_shingles, coalesce(m, doc_id) component_id from
 @query("op9_jaccard_join", OP9_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP11_SQL = r"""
+with recursive d as (select doc_id, coalesce(source, '') part, coalesce(text, '') t from documents),
+said as (select doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic from labels group by doc_id),
+words as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w, min(doc_id) over (partition by t) m from d),
+masks as (select part, coalesce(good, false) good, coalesce(toxic, false) toxic,
+    cast(len(w) < 50 as int) + 2 * cast(100 * len(list_distinct(w)) < 65 * len(w) as int)
+    + 4 * cast(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) as int)
+    + 8 * cast(regexp_matches(t, '[#$%&*|]') as int) + 16 * cast(coalesce(doc_id > m, false) as int) mask
+  from words left join said using (doc_id)),
+cells as (select part, mask, count(*) n, count(*) filter (good) good, count(*) filter (toxic) toxic from masks group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) letter, unnest([1, 2, 4, 8, 16]) bit),
+orders as (select '' o union all select o || letter from orders, letters where not contains(o, letter)),
+steps as (select o, k, l.letter, l.bit, coalesce((select sum(bit) from letters p where contains(substr(o, 1, k - 1), p.letter)), 0)::int applied
+  from orders, (select unnest(generate_series(1, 5)) k), letters l where length(o) = 5 and l.letter = substr(o, k, 1)),
+counted as (select part, o, k, letter,
+    sum(case when mask & (applied | bit) = 0 then n else 0 end) kept,
+    sum(case when mask & bit <> 0 and mask & applied = 0 then n else 0 end) removed,
+    sum(case when mask & bit <> 0 and mask & applied <> 0 then n else 0 end) redundant,
+    sum(case when mask = bit then n else 0 end) unique_fails,
+    sum(case when mask & bit <> 0 and mask & applied = 0 then good else 0 end) good_lost,
+    sum(case when mask & bit <> 0 and mask & applied = 0 then toxic else 0 end) toxic_lost
+  from cells, steps group by all)
+select part, o filter_order, cast(k as integer) step, cast(kept as bigint) kept, cast(removed as bigint) removed,
+  cast(redundant as bigint) redundant, cast(unique_fails as bigint) unique_fails, cast(good_lost as bigint) good_lost,
+  cast(toxic_lost as bigint) toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) shapley
+from counted"""
+
+
+@query("op11_filter_interactions", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_corpus(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op12_subword_lattice")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return score_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _lloyd_sql(rounds: int = 10, clusters: int = 8) -> str:
+    """Rounds written out, since every one of them aggregates."""
+    steps = [
+        f"""near{r} as materialized (select v, min_by(c, (d, c)) c, min(d) d from
+  (select v, c, cast(sum((x - y) * (x - y)) as bigint) d from cells join c{r} using (i) group by v, c) group by v)"""
+        for r in range(rounds + 1)
+    ]
+    moves = [
+        f"""c{r + 1} as materialized (select c, i, coalesce((s - ((s % n) + n) % n) // n, y) y from c{r} left join
+  (select c, i, cast(sum(x) as bigint) s, count(*) n from cells join near{r} using (v) group by c, i) using (c, i))"""
+        for r in range(rounds)
+    ]
+    walked = ",\n".join(part for pair in zip(steps, [*moves, ""]) for part in pair if part)
+    return f"""
+with kept as materialized (select row_number() over () v, vec_id, embedding e from embeddings where len(embedding) = 64
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+cells as materialized (select v, unnest(generate_series(1, 64)) i, cast(floor(1024 * cast(unnest(e) as double)) as bigint) x from kept),
+c0 as materialized (select c, i, x y from cells join
+  (select v, row_number() over (order by sha256('3:' || vec_id)) - 1 c from kept qualify c < {clusters}) using (v)),
+{walked},
+digests as (select c, sha256(string_agg(cast(y as varchar), ',' order by i)) s from c{rounds} group by c)
+select vec_id, cast(c as integer) "cluster", d distance, cast(sum(d) over (partition by c) as bigint) cluster_inertia,
+  cast(sum(d) over () as bigint) inertia, s centroid_sha256
+from near{rounds} join kept using (v) join digests using (c)"""
+
+
+@query("op13_sharded_lloyd", _lloyd_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster_vectors(table(spark, folder, "embeddings"))

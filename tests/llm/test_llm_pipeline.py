@@ -49,7 +49,7 @@ def test_stages_do_what_they_say(spark):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and [n for n, _ in corpus_pipeline.STAGES][0] == "quality_rules"
+    assert numbers == list(range(1, 14)) and [n for n, _ in corpus_pipeline.STAGES][0] == "quality_rules"
 
 
 def test_nothing_else_imports_the_subpackage():
