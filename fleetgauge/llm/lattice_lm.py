@@ -13,7 +13,7 @@ others are sent to their counts as (document, word, how often), and each has few
 Defined results: a null text is empty, and has the end alone. A null doc_id counts as an empty text for the
 choice of the training documents, so its row trains. Repeated rows each count and each get a row. Without training documents all counts are
 0 and the given scores stand alone. A word may be of any length: above 64 bytes it is known by its SHA-256 and kept once, with
-its text; memory is some 50 bytes for each byte of the longest word. An empty table gives no rows. Only doc_id and text are
+its text; memory is some 500 bytes for each byte of the longest word. An empty table gives no rows. Only doc_id and text are
 read; other columns do not matter.
 """
 
@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import exp, inf, log, log1p, log10
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ HELD = 1 << 19  # words that a task counts before it hands them on
 UNIT = 1 << 16  # expected counts are added as whole numbers of this part, so that their order does not matter
 SMOOTHING = 1.0
 WORDS_A_TASK = 200_000
+BATCH_BYTES = 1 << 18  # of words whose lattices are summed side by side
 ROUNDS = 2  # of re-estimation; on invented prose the second gains 3 %, the third 1 %
+_tries: dict[bytes, Trie] = {}
 
 
 def held_out(doc_id: Column, fold: int = 2, folds: int = 7) -> Column:
@@ -85,69 +88,134 @@ def _add(x: float, y: float) -> float:
     return x if y == -inf else x + log1p(exp(y - x))
 
 
+class Trie:
+    """Pieces as paths from node 0: ``after[node, byte]`` is the next node, 0 where no piece goes on."""
+
+    def __init__(self, pieces: Sequence[bytes]) -> None:
+        nodes: dict[bytes, int] = {b"": 0}
+        for piece in pieces:
+            for end in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:end], len(nodes))
+        self.after = np.zeros((len(nodes), 256), np.int32)
+        for path, node in nodes.items():
+            if path:
+                self.after[nodes[path[:-1]], path[-1]] = node
+        self.piece_at = np.full(len(nodes), -1, np.int32)
+        self.piece_at[[nodes[p] for p in pieces]] = np.arange(len(pieces))
+
+    @classmethod
+    def of(cls, pieces: Sequence[bytes]) -> Trie:
+        """Built once in a process: weights change between rounds, pieces do not."""
+        key = hashlib.md5(b"\0".join(pieces)).digest()
+        if key not in _tries:
+            _tries.clear()
+            _tries[key] = cls(pieces)
+        return _tries[key]
+
+
 @dataclass
+class Arcs:
+    """The lattices of many texts side by side: an arc for each place where a piece fits.
+
+    A text of n bytes has n + 1 vertices in a row. ``source`` and ``target`` number vertices over all texts.
+    """
+
+    source: np.ndarray
+    target: np.ndarray
+    piece: np.ndarray
+    place: np.ndarray  # of a vertex, in its text
+    first: np.ndarray  # vertex of each text
+    last: np.ndarray
+
+    @classmethod
+    def of(cls, texts: Sequence[bytes], trie: Trie) -> Arcs:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        number = np.repeat(np.arange(len(texts)), sizes)
+        at, stop = np.arange(len(data)), np.cumsum(sizes)[number]
+        node, length, found = trie.after[0, data], 1, []
+        while len(at):
+            piece = trie.piece_at[node]
+            fits = np.flatnonzero(piece >= 0)
+            source = at[fits] + number[at[fits]]
+            found.append((source, source + length, piece[fits]))
+            more = np.flatnonzero(at + length < stop[at])
+            at, node = at[more], node[more]
+            node = trie.after[node, data[at + length]]
+            on = np.flatnonzero(node)
+            at, node, length = at[on], node[on], length + 1
+        first = np.cumsum(sizes + 1) - sizes - 1
+        place = np.arange(len(data) + len(texts)) - np.repeat(first, sizes + 1)
+        parts = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)]
+        return cls(*parts, place, first, first + sizes)
+
+    def sums(self, weights: np.ndarray, forwards: bool) -> np.ndarray:
+        """For every vertex the log of the summed probability of all ways from its text's start to it (or from it to the end).
+
+        Vertices of one place in their texts are summed at once, place after place.
+        """
+        into, out = (self.target, self.source) if forwards else (self.source, self.target)
+        order = np.argsort(self.place[into] * len(self.place) + into, kind="stable")
+        into, out, weights = into[order], out[order], weights[order]
+        heads = np.flatnonzero(np.diff(into, prepend=-1))
+        counts = np.diff(heads, append=len(into))
+        places = self.place[into[heads]]
+        steps = np.flatnonzero(np.diff(places, prepend=-1)).tolist()
+        value = np.full(len(self.place), -inf)
+        value[self.first if forwards else self.last] = 0.0
+        blocks = list(zip(steps, [*steps[1:], len(heads)], strict=True))
+        for a, b in blocks if forwards else reversed(blocks):
+            low, high = heads[a], heads[b - 1] + counts[b - 1]
+            x = value[out[low:high]] + weights[low:high]
+            at = heads[a:b] - low
+            top = np.maximum.reduceat(x, at)
+            value[into[heads[a:b]]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, counts[a:b])), at))
+        return value
+
+
 class Lattice:
-    """Pieces by their bytes, with log probabilities; a piece that is also a byte's has both."""
+    """Pieces with log probabilities. All single bytes must be among them, so every text has a segmentation."""
 
-    weights: dict[bytes, float]
-    longest: int
+    def __init__(self, pieces: Sequence[bytes], weights: np.ndarray) -> None:
+        self.pieces, self.weights = list(pieces), weights
+        self.longest = max(map(len, self.pieces))
 
     @classmethod
-    def of(cls, pieces: list[tuple[bytes, float]]) -> Lattice:
+    def of(cls, pieces: Sequence[tuple[bytes, float]]) -> Lattice:
+        """A piece that is also a byte's has the probability of both."""
         weights: dict[bytes, float] = {}
         for piece, weight in pieces:
             weights[piece] = _add(weights.get(piece, -inf), weight)
-        longest = max(map(len, weights))
-        # Beginnings of pieces that are no pieces themselves: search goes on, but no arc ends there.
-        for piece in list(weights):
-            for end in range(1, len(piece)):
-                weights.setdefault(piece[:end], -inf)
-        return cls(weights, longest)
-
-    def arcs(self, text: bytes, start: int) -> Iterator[tuple[int, float]]:
-        """(end, log probability) of the pieces that begin at ``start``."""
-        known = self.weights
-        for end in range(start + 1, min(len(text), start + self.longest) + 1):
-            weight = known.get(text[start:end])
-            if weight is None:
-                return
-            if weight != -inf:
-                yield end, weight
-
-    def forward(self, text: bytes) -> list[float]:
-        """Log probability of all segmentations of each beginning of the text."""
-        known, size, reach = self.weights, len(text), self.longest
-        alpha = [-inf] * (size + 1)
-        alpha[0] = 0.0
-        for start in range(size):
-            here = alpha[start]
-            for end in range(start + 1, min(size, start + reach) + 1):
-                weight = known.get(text[start:end])
-                if weight is None:
-                    break
-                if weight != -inf:
-                    x, y = here + weight, alpha[end]
-                    if x < y:
-                        x, y = y, x
-                    alpha[end] = x if y == -inf else x + log1p(exp(y - x))
-        return alpha
-
-    def log_probability(self, text: bytes) -> float:
-        return self.forward(text)[-1]
-
-    def expected(self, text: bytes) -> Counter[bytes]:
-        """How often each piece is used, on average over all segmentations."""
-        alpha, size = self.forward(text), len(text)
-        beta = [-inf] * size + [0.0]
-        found: Counter[bytes] = Counter()
-        for start in range(size - 1, -1, -1):
-            after = -inf
-            for end, weight in self.arcs(text, start):
-                x = weight + beta[end]
-                after = _add(after, x)
-                found[text[start:end]] += exp(alpha[start] + x - alpha[size])
-            beta[start] = after
-        return found
+        return cls(list(weights), np.array(list(weights.values())))
+
+    def _batches(self, texts: Sequence[bytes]) -> Iterator[tuple[int, Arcs]]:
+        """(number of the first text, arcs) of runs of texts of bounded size; a very long text stands alone."""
+        trie, low, size = Trie.of(self.pieces), 0, 0
+        for i, text in enumerate(texts):
+            if size and size + len(text) > BATCH_BYTES:
+                yield low, Arcs.of(texts[low:i], trie)
+                low, size = i, 0
+            size += len(text)
+        if size:
+            yield low, Arcs.of(texts[low:], trie)
+
+    def log_probabilities(self, texts: Sequence[bytes]) -> np.ndarray:
+        """The marginal log probability of each text, none of which is empty."""
+        out = np.zeros(len(texts))
+        for low, arcs in self._batches(texts):
+            out[low : low + len(arcs.last)] = arcs.sums(self.weights[arcs.piece], True)[arcs.last]
+        return out
+
+    def expected(self, texts: Sequence[bytes], times: np.ndarray) -> np.ndarray:
+        """Uses of every piece in all texts, on average over the segmentations, in units of 1 / UNIT."""
+        total = np.zeros(len(self.pieces), np.int64)
+        for low, arcs in self._batches(texts):
+            weights = self.weights[arcs.piece]
+            alpha, beta = arcs.sums(weights, True), arcs.sums(weights, False)
+            number = np.repeat(np.arange(len(arcs.first)), arcs.last - arcs.first + 1)[arcs.source]
+            share = np.exp(alpha[arcs.source] + weights + beta[arcs.target] - alpha[arcs.last[number]])
+            np.add.at(total, arcs.piece, np.rint(share * times[low + number] * UNIT).astype(np.int64))
+        return total
 
 
 # --- counts -----------------------------------------------------------------------
@@ -185,27 +253,29 @@ def count_words(docs: DataFrame) -> DataFrame:
         yield flush()
 
     counted = docs.mapInArrow(run, "key binary, long binary, trained long, seen long")
-    return counted.groupBy("key").agg(F.first("long", True).alias("long"), F.sum("trained").alias("trained"), F.sum("seen").alias("seen"))
+    return counted.groupBy("key", "long").agg(F.sum("trained").alias("trained"), F.sum("seen").alias("seen"))
+
 
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    """Words as the lattice reads them, with the space before."""
+    return [END + (whole or key) for key, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
 
-def expected_pieces(words: DataFrame, lattice: Lattice) -> dict[bytes, float]:
+
+def expected_pieces(words: DataFrame, lattice: Lattice) -> np.ndarray:
     """Expected uses of the pieces in the training words; no more numbers than the vocabulary has pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
+        total = np.zeros(len(lattice.pieces), np.int64)
         for batch in batches:
-            for key, whole, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for piece, share in lattice.expected(END + (whole or key)).items():
-                    total[piece] += round(share * times * UNIT)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], names=["piece", "uses"]
-        )
+            total += lattice.expected(_texts(batch), batch.column(2).to_numpy())
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["piece", "uses"])
 
     used = words.where((F.col("trained") > 0) & (F.col("key") != F.lit(END))).select("key", "long", "trained")
-    return {
-        bytes(r.piece): r.uses / UNIT
-        for r in used.mapInArrow(run, "piece binary, uses long").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
-    }
+    out = np.zeros(len(lattice.pieces))
+    for r in used.mapInArrow(run, "piece int, uses long").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
+        out[r.piece] = r.uses / UNIT
+    return out
 
 
 @dataclass
@@ -220,12 +290,17 @@ class Model:
     hot: dict[bytes, tuple[int, float]]
 
 
-def _estimated(lattice: Lattice, uses: dict[bytes, float], ends: int) -> tuple[Lattice, float]:
+def _given(lattice: Lattice) -> tuple[Lattice, float]:
+    """The given weights as probabilities; the end weighs as little as the least piece."""
+    least = lattice.weights.min()
+    total = log(np.exp(lattice.weights).sum() + exp(least))
+    return Lattice(lattice.pieces, lattice.weights - total), least - total
+
+
+def _estimated(pieces: Sequence[bytes], uses: np.ndarray, ends: int) -> tuple[Lattice, float]:
     """Probabilities from counts; every piece and the end have been seen SMOOTHING times more."""
-    pieces = [p for p, w in lattice.weights.items() if w != -inf]
-    total = log(sum(uses.values()) + ends + SMOOTHING * (len(pieces) + 1))
-    new = Lattice.of([(p, log(uses.get(p, 0.0) + SMOOTHING) - total) for p in pieces])
-    return new, log(ends + SMOOTHING) - total
+    total = log(uses.sum() + ends + SMOOTHING * (len(pieces) + 1))
+    return Lattice(pieces, np.log(uses + SMOOTHING) - total), log(ends + SMOOTHING) - total
 
 
 def learn(docs: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
@@ -239,10 +314,9 @@ def learn(docs: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
     ).first()
     # The recursion is the work, so tasks are cut by words, not by bytes.
     spread = found.repartition(max(spark.sparkContext.defaultParallelism, facts.rows // WORDS_A_TASK), "key")
-    given = Lattice.of(vocabulary(path))
-    lattice, end = _estimated(given, {p: exp(w) for p, w in given.weights.items() if w != -inf}, 0)
+    lattice, end = _given(Lattice.of(vocabulary(path)))
     for _ in range(rounds if facts.ends else 0):
-        lattice, end = _estimated(lattice, expected_pieces(spread, lattice), facts.ends)
+        lattice, end = _estimated(lattice.pieces, expected_pieces(spread, lattice), facts.ends)
     words = written(_scored(spread, lattice), "scored-words")
     hot = words.where((F.col("seen") * HOT_SHARE >= F.lit(facts.seen)) & (F.col("key") != F.lit(END)))
     return Model(
@@ -253,8 +327,7 @@ def learn(docs: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
 def _scored(words: DataFrame, lattice: Lattice) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, wholes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            scores = [0.0 if k == END else lattice.log_probability(END + (w or k)) for k, w in zip(keys, wholes, strict=True)]
+            scores = lattice.log_probabilities(_texts(batch))  # the end's is never read
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(scores, pa.float64())],
                 names=["key", "trained", "seen", "score"],

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 from math import exp, log, log10
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -32,21 +33,20 @@ def plain_model(rows: list[tuple], rounds: int) -> tuple[dict[bytes, float], flo
     weights: dict[bytes, float] = {}
     for piece, weight in vocabulary(PIECES):
         weights[piece] = weights.get(piece, 0.0) + exp(weight)
-    ends = 0
-    for turn in range(rounds + 1):
-        uses = Counter(weights) if not turn else Counter()
+    least = min(weights.values())
+    total = sum(weights.values()) + least
+    weights, end = {p: w / total for p, w in weights.items()}, least / total
+    for _ in range(rounds):
+        uses = Counter()
         for word, times in trained.items():
-            if turn and word != END:
+            if word != END:
                 ways = [(s, exp(sum(log(weights[p]) for p in s))) for s in segmentations(END + word, weights)]
                 whole = sum(p for _, p in ways)
                 for pieces, p in ways:
                     for piece in pieces:
                         uses[piece] += times * p / whole
-        ends = trained[END] if turn else 0
-        total = sum(uses.values()) + ends + len(weights) + 1
-        new = {p: (uses[p] + 1) / total for p in weights}
-        end = (ends + 1) / total
-        weights = new
+        total = sum(uses.values()) + trained[END] + len(weights) + 1
+        weights, end = {p: (uses[p] + 1) / total for p in weights}, (trained[END] + 1) / total
     return weights, end, trained
 
 
@@ -85,21 +85,23 @@ def test_scores_of_a_table(documents, monkeypatch, rounds):
     close(score_documents(documents(ROWS), PIECES, rounds).collect(), expected)
 
 
-def test_a_document_is_its_words_in_a_row():
+def test_a_document_is_its_words_in_a_row(monkeypatch):
     lattice = Lattice.of([(p, w - 10) for p, w in vocabulary(PIECES)])
     text = b" the cat sat na\xc3\xafvely \xf0\x9f\x98\x80"
-    assert lattice.log_probability(text) == pytest.approx(sum(lattice.log_probability(b" " + w) for w in text.split()))
-    known = {p: exp(w) for p, w in lattice.weights.items() if w > -1e300}
-    listed = [[*map(known.get, s)] for s in segmentations(b" theca", known)]
-    total = 0.0
-    for ways in listed:
-        p = 1.0
-        for x in ways:
-            p *= x
-        total += p
-    assert lattice.log_probability(b" theca") == pytest.approx(log(total))
-    expected = lattice.expected(b" theca")
-    assert sum(len(p) * n for p, n in expected.items()) == pytest.approx(6)
+    words = [b" " + w for w in text.split()]
+    assert lattice.log_probabilities([text])[0] == pytest.approx(lattice.log_probabilities(words).sum())
+    monkeypatch.setattr(lattice_lm, "BATCH_BYTES", 5)
+    assert lattice.log_probabilities([text])[0] == pytest.approx(lattice.log_probabilities(words).sum())
+    known = dict(zip(lattice.pieces, np.exp(lattice.weights)))
+    listed = [(s, np.prod([known[p] for p in s])) for s in segmentations(b" theca", known)]
+    total = sum(p for _, p in listed)
+    assert lattice.log_probabilities([b" theca"])[0] == pytest.approx(log(total))
+    uses = Counter()
+    for ways, p in listed:
+        for piece in ways:
+            uses[piece] += 3 * p / total
+    found = lattice.expected([b" x", b" theca"], np.array([0, 3])) / lattice_lm.UNIT
+    assert {p: found[i] for i, p in enumerate(lattice.pieces) if found[i] > 1e-4} == pytest.approx({p: n for p, n in uses.items() if n > 1e-4}, abs=1e-4)
 
 
 def test_long_words_hot_words_and_nothing(documents):
@@ -119,4 +121,4 @@ def test_probabilities_of_words_add_up(documents):
     """The model spreads no more than the whole: words of one letter and the end, under the learned weights."""
     docs = documents([(d, t) for d, t in awkward(2, 30)])
     model = lattice_lm.learn(docs.select("text", lattice_lm.held_out(docs["doc_id"]).alias("held")), PIECES)
-    assert sum(exp(w) for w in model.lattice.weights.values()) + exp(model.end) == pytest.approx(1)
+    assert np.exp(model.lattice.weights).sum() + exp(model.end) == pytest.approx(1)
