@@ -19,7 +19,7 @@ from fleetgauge.contracts import (
 from fleetgauge.functions.dates import observed_calendar
 from fleetgauge.operators import adjacency
 from fleetgauge.operators.summary import one_row
-from fleetgauge.plans import checks, diagnostics, gate, refresh
+from fleetgauge.plans import checks, details, diagnostics, gate, refresh
 from fleetgauge.plans.outcomes import union
 from fleetgauge.session import scratch, settle
 
@@ -269,27 +269,33 @@ def _(spark, folder):
     return counted.withColumn("approval_required", F.col("warning_count") > 0)
 
 
-def _details_sql(code, g):
-    """The digest of a diagnostic's affected rows, as the plan defines it."""
+def change_source_sql(g):
+    """Pairs of days with both values, and the condition that a pair lies in the window."""
+    spec = GRAINS[g]
+    on = " and ".join(["a.period = b.period + 1", *[f"a.{k} = b.{k}" for k in spec.entity]])
+    ids = "".join(f"coalesce(a.{k}, b.{k}) {k}, " for k in spec.entity)
+    source = (
+        f"(select cast(coalesce(a.period, b.period + 1) as date) period, {ids} b.capacity previous_value, a.capacity as value, a.period ap, b.period bp "
+        f"from {g}_outages a full join {g}_outages b on {on}) p"
+    )
+    return source, "period > (select min(period) from days) and period <= (select max(period) from days)"
+
+
+def details_sql(code, g):
+    """Number and digest of a diagnostic's affected rows, as the plan defines it."""
     spec = GRAINS[g]
     if code in ("D07", "D08"):
-        on = " and ".join(["a.period = b.period + 1", *[f"a.{k} = b.{k}" for k in spec.entity]])
-        ids = "".join(f"coalesce(a.{k}, b.{k}) {k}, " for k in spec.entity)
-        source = (
-            f"(select cast(coalesce(a.period, b.period + 1) as date) period, {ids} b.capacity previous_value, a.capacity as value, a.period ap, b.period bp "
-            f"from {g}_outages a full join {g}_outages b on {on}) p"
-        )
-        inside = "period > (select min(period) from days) and period <= (select max(period) from days)"
+        source, inside = change_source_sql(g)
         condition = f"{inside} and " + ("(ap is null or bp is null)" if code == "D07" else "value <> previous_value")
         columns = [*spec.keys, "previous_value", "value"]
     else:
         source, condition, columns = f"{g}_outages", CONDITIONS[code], [*spec.keys, *spec.measures, '"percentOutage"']
     text = "concat_ws('|', {})".format(", ".join(f"coalesce(cast({c} as varchar), '-')" for c in columns))
-    sums = ", ".join(f"cast(coalesce(sum(('0x' || substr(h, {1 + 15 * i}, 15))::hugeint), 0) as varchar)" for i in range(4))
-    return f"select '{code}' c, '{g}' g, sha256(concat_ws(':', cast(count(*) as varchar), {sums})) d from (select sha256({text}) h from {source} where {condition}) x"
+    sums = ", ".join(f"cast(coalesce(sum(('0x' || substr(h, {1 + 7 * i}, 7))::hugeint), 0) as varchar)" for i in range(4))
+    return f"select '{code}' c, '{g}' g, count(*) n, sha256(concat_ws(':', cast(count(*) as varchar), {sums})) d from (select sha256({text}) h from {source} where {condition}) x"
 
 
-_DETAILS = " union all ".join(_details_sql(code, g) for code in [*_NAMES, "D07", "D08"] for g in DIAGNOSTIC_SCOPES[code])
+_DETAILS = " union all ".join(details_sql(code, g) for code in [*_NAMES, "D07", "D08"] for g in DIAGNOSTIC_SCOPES[code])
 
 
 @query("q03_warning_digest",
@@ -316,8 +322,8 @@ def _(spark, folder):
     path = scratch(spark, "history")
     results = settle(table_results(spark, folder), "results")
     for attempt in ("a1", "a2"):
-        history.append_checks(results, path, "v1", attempt)
-    saved = history.attempts_of(spark, path, "v1").withColumn("manifest_sha256", F.lit("m"))
+        history.append_checks(results, path, "v1", attempt, "m")
+    saved = history.attempts_of(spark, path, "v1")
     parts = []
     for attempt in ("a1", "a2"):
         own = saved.filter(F.col("attempt_id") == attempt)
@@ -358,3 +364,16 @@ def _(spark, folder):
         F.lit(0).cast("long").alias("checked_count"), F.lit(0).cast("long").alias("failed_count"),
     )
     return results.unionByName(verdict)
+
+
+@query("q06_reverified_later",
+       f"""{CLEAN}, details as ({" union all ".join(details_sql(code, g) for code in [*_NAMES, "D07", "D08"] for g in DIAGNOSTIC_SCOPES[code])})
+       select c as check_code, g as dataset_key, n as failures, d as details_hash, true as verified from details""")
+def _(spark, folder):
+    """A refreshed version held against its receipt by another session, and the digests of its stored failures."""
+    root, _ = _refreshed(spark, folder)
+    later = spark.newSession()
+    verified = not refresh.reverify(later, root, "v1").limit(1).count()
+    stored = details.DetailStore(later, f"{root}/check_details", "v1", "a1").rows()
+    found = details.digests(stored, [(c, s) for c, s in DIAGNOSTIC_PAIRS if c != "D09"])
+    return found.withColumn("verified", F.lit(verified))

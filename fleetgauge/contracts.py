@@ -137,9 +137,15 @@ PUBLICATION_SCHEMA = _columns(
 BOUND_CHECK_SCHEMA = T.StructType(
     [
         *CHECK_SCHEMA.fields, T.StructField("checked_at", T.TimestampType()),
+        T.StructField("manifest_sha256", T.StringType()),
         T.StructField("version_id", T.StringType()), T.StructField("attempt_id", T.StringType()),
     ]
 )
+RECEIPT_SCHEMA = _columns(
+    receipt_id="string", predecessor="string", version_id="string", attempt_id="string", run_seq="long",
+    coverage_start="date", coverage_end="date", manifest_sha256="string", results_sha256="string", status="string",
+    warning_count="long", warning_digest="string", approval_required="boolean",
+)
 
 
 def severity(code: str) -> str:

@@ -7,7 +7,6 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetgauge.contracts import DIAGNOSTIC_MESSAGES, DIAGNOSTIC_SCOPES, GrainSpec
 from fleetgauge.functions.exact import outside_percent, percent_disagrees
@@ -38,23 +37,26 @@ def not_applicable() -> Column:
     )
 
 
-SLICES, SLICE = 4, 15  # parts of a row's digest, in hex digits
+SLICES, SLICE = 4, 7  # parts of a row's digest, in hex digits: sums stay longs up to 2^35 rows
 
 
-def _digest(columns: list[str]) -> Column:
+def row_digest(columns: list[str]) -> Column:
     """SHA-256 of a row's values as text; any engine can work it out again."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), 256)
 
 
-def _fingerprint(condition: Column) -> Column:
-    """An order-free digest of the affected rows: SHA-256 over their count and the sums of parts of their digests.
+def digest_sums(condition: Column, digest: str = "_digest") -> list[Column]:
+    """Count of the rows that meet a condition and sums of the parts of their digests: what a digest of them is made of.
 
-    Sums combine before the shuffle, so no task holds the rows of a check.
+    Sums combine before the shuffle and across tables, so no task holds the rows of a check.
     """
-    total = T.DecimalType(38, 0)
-    part = lambda i: F.conv(F.substring("_digest", 1 + i * SLICE, SLICE), 16, 10).cast(total)
-    sums = [F.coalesce(F.sum(F.when(condition, part(i))), F.lit(0)).cast(total) for i in range(SLICES)]
-    return F.sha2(F.concat_ws(":", F.count_if(condition), *sums), 256)
+    part = lambda i: F.conv(F.substring(digest, 1 + i * SLICE, SLICE), 16, 10).cast("long")
+    return [F.count_if(condition), *[F.coalesce(F.sum(F.when(condition, part(i))), F.lit(0)) for i in range(SLICES)]]
+
+
+def fingerprint(condition: Column, digest: str = "_digest") -> Column:
+    """An order-free digest of the affected rows: SHA-256 over their count and sums."""
+    return F.sha2(F.concat_ws(":", *digest_sums(condition, digest)), 256)
 
 
 def row_diagnostics(df: DataFrame, spec: GrainSpec, codes: tuple[str, ...] | None = None) -> DataFrame:
@@ -63,11 +65,11 @@ def row_diagnostics(df: DataFrame, spec: GrainSpec, codes: tuple[str, ...] | Non
     conditions = {code: c for code, c in row_conditions(spec).items() if codes is None or code in codes}
     columns = [*spec.keys, *spec.measures, "percentOutage"]
     judged = df.select(*columns, *[c.alias(code) for code, c in conditions.items()])
-    judged = judged.withColumn("_digest", F.when(reduce(or_, [F.col(code) for code in conditions]), _digest(columns)))
+    judged = judged.withColumn("_digest", F.when(reduce(or_, [F.col(code) for code in conditions]), row_digest(columns)))
     facts = judged.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col(code)).alias(f"{code}_affected") for code in conditions],
-        *[_fingerprint(F.col(code)).alias(f"{code}_details") for code in conditions],
+        *[fingerprint(F.col(code)).alias(f"{code}_details") for code in conditions],
     )
     return outcomes(
         facts,
@@ -88,11 +90,11 @@ def change_diagnostics(
     """D07 and D08 (or one of them) from one aggregation over the pairs of window days."""
     pairs = day_pairs(df, spec, "capacity", start, end)
     columns = [*spec.keys, "previous_value", "value"]
-    pairs = pairs.withColumn("_digest", F.when(member_changed() | value_changed(), _digest(columns)))
+    pairs = pairs.withColumn("_digest", F.when(member_changed() | value_changed(), row_digest(columns)))
     facts = pairs.agg(
         *pair_counts(),
-        _fingerprint(member_changed()).alias("membership_details"),
-        _fingerprint(value_changed()).alias("value_details"),
+        fingerprint(member_changed()).alias("membership_details"),
+        fingerprint(value_changed()).alias("value_details"),
     )
     rows = []
     if "D07" in codes and spec.name in DIAGNOSTIC_SCOPES["D07"]:

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from fleetgauge.contracts import BOUND_CHECK_SCHEMA, CHECK_SCHEMA, PUBLICATION_SCHEMA
 
 
-def append_checks(results: DataFrame, path: str, version_id: str, attempt_id: str) -> None:
-    """Add one attempt; attempts live in their own partition and are never rewritten."""
+def append_checks(results: DataFrame, path: str, version_id: str, attempt_id: str, manifest_sha256: str | None = None) -> None:
+    """Add one attempt on one manifest; attempts live in their own partition and are never rewritten."""
     bound = results.select(
         F.lit(version_id).alias("version_id"), F.lit(attempt_id).alias("attempt_id"), *CHECK_SCHEMA.fieldNames(),
-        F.current_timestamp().alias("checked_at"),
+        F.current_timestamp().alias("checked_at"), F.lit(manifest_sha256).cast("string").alias("manifest_sha256"),
     )
     if not attempts_of(results.sparkSession, path, version_id).filter(F.col("attempt_id") == attempt_id).isEmpty():
         raise ValueError("An attempt is recorded once")

@@ -183,7 +183,7 @@ def test_source_rows_equal_saved_rows(spark):
     assert status(saved) == "pass"
     assert status(saved.limit(5)) == "fail"
     assert status(saved.unionByName(saved.limit(1))) == "fail"
-    bad = attempts.withColumn("sanitized_response", F.regexp_replace("sanitized_response", '"megawatts"', '"kilowatts"'))
+    bad = attempts.withColumn("sanitized_response", F.regexp_replace("sanitized_response", '"10.000000"', '"1e1"'))
     assert checks.schema_units(bad, routes, saved, FACILITY).first()["status"] == "error"
 
 
@@ -238,7 +238,8 @@ def test_refresh_publishes_and_notices_tampering(spark):
 
 def test_refresh_stops_at_a_refused_row(spark):
     attempts, routes = land(spark, reconciled())
-    bad = attempts.withColumn("sanitized_response", F.regexp_replace("sanitized_response", '"10.000000"', '"1e1"'))
+    edited = F.regexp_replace("sanitized_response", '"10.000000"', '"1e1"')  # sealed again: the checksum is judged first
+    bad = attempts.withColumn("sanitized_response", edited).withColumn("response_sha256", F.sha2("sanitized_response", 256))
     with pytest.raises(refresh.Refused, match="invalid_decimal"):
         refresh.write_version(spark, bad, scratch(spark, "store"), "v1", refresh.Window(START, END))
 
