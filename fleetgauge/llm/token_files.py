@@ -1,7 +1,7 @@
 """Token ids of a corpus as files of range-coded blocks (see ``range_coder``), and their reader.
 
-Writing: documents are dealt by ranges of doc_id and sorted, and encoded once; one frequency table is counted over
-all ids, and blocks are coded with it independently. Reading: every block is decoded and checked
+Writing: texts are encoded once, where they are read, and their ids counted in the same pass; ids are dealt by ranges of
+doc_id and sorted, and blocks are coded independently with the one frequency table. Reading: every block is decoded and checked
 by itself, in parallel; what a block holds of a document is put together by document.
 
 A folder holds ``blocks`` (Parquet, a frame in each row, so that files appear whole or not at all when tasks are
@@ -81,8 +81,9 @@ class WordEncoder:
             return b"".join(map(self.pieces.__getitem__, pieces))
         return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, as_bytes(text).split()))
+    def encode(self, text: str | bytes | None) -> bytes:
+        data = text if isinstance(text, bytes) else as_bytes(text)
+        return b"".join(map(self.words.__getitem__, data.split()))
 
 
 def word_encoder(file: str) -> WordEncoder:
@@ -94,31 +95,61 @@ def word_encoder(file: str) -> WordEncoder:
 
 
 def _encoded(docs: DataFrame, file: str, end: int) -> DataFrame:
-    """Rows (part, at, doc_id, wide, ids): ``at`` ids stand before in the part."""
+    """Rows (doc_id, hash, width, n, ids) where the texts are read, and a row of ``counts`` for each task.
+
+    Counts are 64-bit numbers for the ids 0, 1, …; so ids are counted in the pass that makes them.
+    """
     held = docs.sparkSession.sparkContext.broadcast(file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        encoder, part, at = word_encoder(held.value), TaskContext.get().partitionId(), 0
+        encoder = word_encoder(held.value)
         last = np.array([end], encoder.kind).tobytes()
         width = len(last)
+        counts = np.zeros(0, np.int64)
+
+        def rows(ids: list, hashes: list, sizes: list, data: list, counted: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(sizes, pa.int64()),
+                 pa.array(data, pa.binary()), pa.array(counted, pa.binary())],
+                names=["doc_id", "hash", "width", "n", "ids", "counts"],
+            )
+
         for whole in batches:
             for low in range(0, whole.num_rows, 512):
                 batch = whole.slice(low, 512)
-                ids = [encoder.encode(t) + last for t in batch.column(1).to_pylist()]
-                sizes = np.array([len(i) // width for i in ids], np.int64)
-                places = at + np.cumsum(sizes) - sizes
-                at += int(sizes.sum())
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array(places), batch.column(0), pa.array([width] * n, pa.int32()),
-                     pa.array(sizes), pa.array(ids, pa.binary())],
-                    names=["part", "at", "doc_id", "width", "n", "ids"],
-                )
-
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(*order).sortWithinPartitions(*order)
+                data = [encoder.encode(t) + last for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                own = np.bincount(_as_ids(width, b"".join(data)), minlength=len(counts))
+                own[: len(counts)] += counts
+                counts = own
+                yield rows(batch.column(0), batch.column(2), [len(i) // width for i in data], data, [None] * len(data))
+        if len(counts):
+            yield rows([None], [0], [0], [b""], [counts.tobytes()])
+
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"))
+    return read.mapInArrow(run, "doc_id long, hash long, width int, n long, ids binary, counts binary")
+
+
+def _placed(encoded: DataFrame) -> DataFrame:
+    """Documents in order: rows (part, at, doc_id, width, n, ids), where ``at`` ids stand before in the part.
+
+    Ids are dealt by ranges, at two bytes each, not texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sizes = batch.column(3).to_numpy()
+            places = at + np.cumsum(sizes) - sizes
+            at += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part] * batch.num_rows, pa.int32()), pa.array(places), batch.column(0), batch.column(2), batch.column(3), batch.column(4)],
+                names=["part", "at", "doc_id", "width", "n", "ids"],
+            )
+
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    ranged = encoded.where(F.col("counts").isNull()).drop("counts").repartitionByRange(*order).sortWithinPartitions(*order)
     return ranged.mapInArrow(run, "part int, at long, doc_id long, width int, n long, ids binary")
 
 
@@ -127,21 +158,19 @@ def _as_ids(width: int, data: bytes) -> np.ndarray:
 
 
 def _counts(encoded: DataFrame) -> DataFrame:
-    """(id, n): one row for each id and task before the shuffle."""
+    """(id, n) from the tasks' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
-                width, data = part.column("width")[0].as_py(), b"".join(part.column("ids").to_pylist())  # one width in all rows
-                own = np.bincount(_as_ids(width, data), minlength=len(total))
-                own[: len(total)] += total
-                total = own
+            for data in batch.column(0).to_pylist():
+                own = np.frombuffer(data, np.int64)
+                total, own = (total, own) if len(total) >= len(own) else (own.copy(), total)
+                total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    return encoded.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.where(F.col("counts").isNotNull()).select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _frames(encoded: DataFrame, table: coder.Frequencies, before: dict[int, int]) -> DataFrame:
@@ -200,8 +229,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 2) ->
     """Encode whole texts with the tokenizer's file at path ``tokenizer``, append ``end`` to each, and write the folder."""
     with open(tokenizer, encoding="utf-8") as f:
         file = f.read()
-    encoded = written(_encoded(docs, file, end), "token-ids", "snappy")
-    counts = written(_counts(encoded), "id-counts")
+    unordered = written(_encoded(docs, file, end), "token-ids", "snappy")
+    counts = written(_counts(unordered), "id-counts")
+    encoded = written(_placed(unordered), "ordered-ids", "snappy")
     found = [(r.id, r.n) for r in counts.collect()]  # bounded by the vocabulary
     totals = encoded.groupBy("part").agg(F.sum("n").alias("n")).collect()  # one number a range
     counts.coalesce(1).write.parquet(f"{folder}/table")
