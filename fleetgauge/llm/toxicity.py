@@ -2,11 +2,11 @@
 
 1. Over all labelled training rows, count in how many toxic and in how many other documents each hashed n-gram
    occurs; the smoothed log ratio of the two shares is its naive Bayes weight.
-2. The ``selected`` n-grams with the most evidence are kept, and a logistic regression is
-   fitted on their presence times their ratio, over at most ``max_rows`` rows of either class.
+2. Every n-gram whose shares are ``evidence`` standard errors or more apart has a weight, however many these are. A logistic
+   regression is fitted on their presence times their ratio, over at most ``max_rows`` rows of either class.
 3. Every document is scored by the n-grams it has, over its whole text.
 
-The fit sees bounded arrays only (``max_rows`` × ``selected``); counts cover all rows.
+Counts cover all labelled rows; the fit's sample is bounded by ``max_rows``.
 
 Defined results: a null text is empty; an empty text scores the intercept. A null doc_id is crc32 of the empty text.
 Labels other than 0 and 1 are left out. With one class or none, every score is the share of toxic labels (0.0 without labels).
@@ -30,7 +30,7 @@ from fleetgauge.llm.common import written
 BITS = 20
 ORDERS = (3, 4, 5)
 PIECE = 1 << 20
-RANGES = 16
+EVIDENCE, STRENGTH = 2.0, 1e-3
 
 
 @dataclass(frozen=True)
@@ -71,8 +71,11 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 5 == 0
 
 
-def _counter() -> Callable:
-    width = (1 << BITS) // RANGES
+def count_ngrams(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """In how many other and toxic rows of (text, toxic) each hash occurs (2 by 2^BITS), and the rows of both kinds.
+
+    A task sends the hashes it has met, and the number of rows under hash -1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
@@ -80,28 +83,26 @@ def _counter() -> Callable:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 counts[toxic, present(text)] += 1
                 rows[toxic] += 1
-        if rows.any():
-            body = [counts[:, i * width : (i + 1) * width].tobytes() for i in range(RANGES)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(RANGES), pa.int32()), pa.array(body, pa.binary()), pa.array([int(rows[0])] * RANGES, pa.int64()),
-                 pa.array([int(rows[1])] * RANGES, pa.int64())],
-                names=["slot", "counts", "others", "toxic"],
-            )
+        met = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(met, -1), pa.int32()), *[pa.array(np.append(counts[k, met], rows[k]), pa.int64()) for k in (0, 1)]],
+            names=["hash", "others", "toxic"],
+        )
 
-    return run
+    met = train.select("text", "toxic").mapInArrow(run, "hash int, others long, toxic long")
+    found = met.groupBy("hash").agg(F.sum("others").alias("others"), F.sum("toxic").alias("toxic")).toArrow()  # 2^BITS rows at most
+    at = found.column("hash").to_numpy()
+    pairs = np.stack([found.column(n).to_numpy() for n in ("others", "toxic")])
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    counts[:, at[at >= 0]] = pairs[:, at >= 0]
+    return counts, pairs[:, at < 0].sum(axis=1)
 
 
-def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, others, toxic = np.zeros(2 * (1 << BITS) // RANGES, np.int64), 0, 0
-    for batch in batches:
-        for body in batch.column("counts").to_pylist():
-            total += np.frombuffer(body, np.int64)
-        others += sum(batch.column("others").to_pylist())
-        toxic += sum(batch.column("toxic").to_pylist())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([others], pa.int64()), pa.array([toxic], pa.int64())],
-        names=["slot", "counts", "others", "toxic"],
-    )
+def log_count_ratios(counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log ratio of the smoothed shares of toxic and other rows that hold each hash, and how many standard errors they are apart."""
+    shares = (counts + 0.5) / (rows[:, None] + 1)
+    apart = np.abs(shares[1] - shares[0]) / np.sqrt((shares[0] + shares[1]) * (1 / rows).sum())
+    return np.log(shares[1] / shares[0]), apart
 
 
 def _minimum(value_and_gradient: Callable, start: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
@@ -157,7 +158,15 @@ def _logistic(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, strength: f
     return found[:-1], float(found[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2_000, selected: int = 8_000, small: int = 2_000_000) -> Model:
+def _sample(train: DataFrame, max_rows: int) -> DataFrame:
+    """Up to ``max_rows`` texts of either class: chosen by narrow keys, so texts stay where they are until they are."""
+    keyed = train.withColumn("key", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t")))
+    chosen = [keyed.where(F.col("toxic") == k).select("toxic", "key").distinct().orderBy("key").limit(max_rows) for k in (0, 1)]
+    keys = F.broadcast(chosen[0].unionByName(chosen[1]))  # bounded by max_rows
+    return keyed.join(keys, ["toxic", "key"], "left_semi").dropDuplicates(["toxic", "key"]).select("text", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2_000, evidence: float = EVIDENCE, small: int = 2_000_000) -> Model:
     """``small``: up to so many labels are sent to every task; more of them are joined by a shuffle."""
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -166,19 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2_000, selected: int
         wanted = F.broadcast(wanted)
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
     train = written(train.select("doc_id", "text", "toxic"), "toxic-training")
-    counted = train.select("text", "toxic").mapInArrow(_counter(), "slot int, counts binary, others long, toxic long")
-    slots = counted.groupBy("slot").applyInArrow(_summed, "slot int, counts binary, others long, toxic long").collect()
-    if not slots:
-        return Model(np.zeros(1 << BITS, np.float32), -40.0)
-    slots.sort(key=lambda r: r.slot)
-    counts = np.concatenate([np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in slots], axis=1).astype(np.float64)
-    others, toxic = slots[0].others, slots[0].toxic
-    if not others or not toxic:
-        return Model(np.zeros(1 << BITS, np.float32), 40.0 if toxic else -40.0)
-    shares = [(counts[1] + 0.5) / (toxic + 1), (counts[0] + 0.5) / (others + 1)]
-    ratio = np.log(shares[0] / shares[1])
-    evidence = np.abs(shares[0] - shares[1]) / np.sqrt((shares[0] + shares[1]) * (1 / toxic + 1 / others))
-    keep = np.sort(np.argsort(-evidence, kind="stable")[:selected])
+    counts, rows = count_ngrams(train)
+    if not rows.all():
+        return Model(np.zeros(1 << BITS, np.float32), 40.0 if rows[1] else -40.0)
+    ratio, apart = log_count_ratios(counts, rows)
+    keep = np.flatnonzero(apart >= evidence)
     place = np.full(1 << BITS, -1, np.int64)
     place[keep] = np.arange(len(keep))
     mask = place >= 0
@@ -187,11 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2_000, selected: int
         for frame in frames:
             yield pd.DataFrame({"toxic": frame["toxic"], "found": [place[present(t, mask)].astype("<i4").tobytes() for t in frame["text"]]})
 
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    samples = [train.where(F.col("toxic") == k).orderBy(*order).limit(max_rows) for k in (0, 1)]
-    rows = [r for s in samples for r in s.select("text", "toxic").mapInPandas(chosen, "toxic int, found binary").collect()]
-    x = [np.frombuffer(r.found, "<i4").astype(np.int64) for r in rows]
-    weights, intercept = _logistic(x, np.array([r.toxic for r in rows]), ratio[keep], 1e-3, 100)
+    sampled = _sample(train, max_rows).mapInPandas(chosen, "toxic int, found binary").collect()
+    sampled.sort(key=lambda r: (r.toxic, bytes(r.found)))  # the fit does not depend on the order of tasks
+    x = [np.frombuffer(r.found, "<i4").astype(np.int64) for r in sampled]
+    weights, intercept = _logistic(x, np.array([r.toxic for r in sampled]), ratio[keep], STRENGTH, 100)
     full = np.zeros(1 << BITS, np.float32)
     full[keep] = (weights * ratio[keep]).astype(np.float32)
     return Model(full, float(intercept))
