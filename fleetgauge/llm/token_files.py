@@ -62,7 +62,7 @@ class WordEncoder:
         self.special = [t["content"].encode() for t in data["added_tokens"]]
         self.letters = {b: c for c, b in byte_alphabet().items()}
         self.packed = [i.to_bytes(int(self.kind[-1]), "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.pieces = Remembered(self._piece, 200_000)
+        self.pieces = Remembered(self._piece, 600_000)
         self.words = Remembered(self._word, limit)
 
     def _piece(self, piece: str) -> bytes:
