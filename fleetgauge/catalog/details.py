@@ -11,8 +11,10 @@ from fleetgauge.catalog.checks import CONDITIONS, change_source_sql, details_sql
 from fleetgauge.catalog.ingest import window_of
 from fleetgauge.contracts import DIAGNOSTIC_SCOPES, GRAINS, severity
 from fleetgauge.functions.dates import observed_calendar
+from fleetgauge.functions.digests import fingerprint, row_digest
 from fleetgauge.plans import details
 from fleetgauge.session import scratch, settle
+from fleetgauge.sources import digest_tree
 
 _STORED: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 DOUBLED = "outage > capacity"  # rows that the second attempt sees twice
@@ -207,3 +209,31 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     """Worked out again from the store alone, as a later session does."""
     store, _ = stored(spark, folder)
     return details.digests(store.rows(), _PAIRS)
+
+
+# --- digest trees -------------------------------------------------------------------
+
+_PARTS = (
+    "(select facility || '/' || substr(cast(period as varchar), 1, 7) storage_path, string_agg(concat_ws('|', period, c, o), ',' order by period) t "
+    "from (select period, facility, sum(capacity) c, sum(outage) o from {g}_outages group by all) group by 1)"
+)
+
+
+@query(
+    "a10_differing_parts",
+    f"""{TABLES} select 'facility' dataset_key, storage_path, case when a.t is null then 'extra' when b.t is null then 'missing' else 'changed' end state
+      from {_PARTS.format(g="generator")} a full join {_PARTS.format(g="facility")} b using (storage_path) where a.t is distinct from b.t""",
+)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """Months of facilities in which the generators' sums and the facility table differ, found from the root of two trees down."""
+    tables = fixtures.outages(spark, folder)
+
+    def parts(name: str) -> DataFrame:
+        days = tables[name].groupBy("period", "facility").agg(*[F.sum(m).cast("decimal(34,6)").alias(m) for m in ("capacity", "outage")])
+        named = days.select("period", F.concat("facility", F.lit("/"), F.date_format("period", "yyyy-MM")).alias("storage_path"), row_digest(days.columns).alias("_digest"))
+        return named.groupBy("storage_path").agg(
+            F.lit("facility").alias("dataset_key"), fingerprint(F.lit(True)).alias("sha256"), F.lit("day,facility,sums").alias("schema_fingerprint"),
+            F.lit(0).cast("long").alias("byte_size"), F.count(F.lit(1)).alias("row_count"), F.min("period").alias("min_period"), F.max("period").alias("max_period"),
+        )
+
+    return digest_tree.differing_files(settle(parts("generator"), "parts"), settle(parts("facility"), "parts"))

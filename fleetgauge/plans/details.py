@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge.contracts import ALL, CHECK_SCHEMA, DIAGNOSTIC_SCOPES, GRAINS, MEASURE, REQUIRED_SCOPES, GrainSpec, severity
+from fleetgauge.functions.digests import SLICES, digest_sums, row_digest
 from fleetgauge.functions.exact import TOTAL
 from fleetgauge.operators.adjacency import day_pairs, member_change, member_changed, pair_counts, value_changed
 from fleetgauge.operators.compare import comparisons, joined_sums, stacked
-from fleetgauge.plans.diagnostics import SLICES, digest_sums, not_applicable, row_conditions, row_digest
+from fleetgauge.plans.diagnostics import not_applicable, row_conditions
 from fleetgauge.session import settle
 
 KEYS = ("period", "facility", "generator")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.contracts import DIAGNOSTIC_MESSAGES, DIAGNOSTIC_SCOPES, GrainSpec
+from fleetgauge.functions.digests import fingerprint, row_digest
 from fleetgauge.functions.exact import outside_percent, percent_disagrees
 from fleetgauge.operators.adjacency import day_pairs, member_changed, pair_counts, value_changed
 from fleetgauge.plans.outcomes import outcome, outcomes
@@ -37,28 +38,6 @@ def not_applicable() -> Column:
     )
 
 
-SLICES, SLICE = 4, 7  # parts of a row's digest, in hex digits: sums stay longs up to 2^35 rows
-
-
-def row_digest(columns: list[str]) -> Column:
-    """SHA-256 of a row's values as text; any engine can work it out again."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), 256)
-
-
-def digest_sums(condition: Column, digest: str = "_digest") -> list[Column]:
-    """Count of the rows that meet a condition and sums of the parts of their digests: what a digest of them is made of.
-
-    Sums combine before the shuffle and across tables, so no task holds the rows of a check.
-    """
-    part = lambda i: F.conv(F.substring(digest, 1 + i * SLICE, SLICE), 16, 10).cast("long")
-    return [F.count_if(condition), *[F.coalesce(F.sum(F.when(condition, part(i))), F.lit(0)) for i in range(SLICES)]]
-
-
-def fingerprint(condition: Column, digest: str = "_digest") -> Column:
-    """An order-free digest of the affected rows: SHA-256 over their count and sums."""
-    return F.sha2(F.concat_ws(":", *digest_sums(condition, digest)), 256)
-
-
 def row_diagnostics(df: DataFrame, spec: GrainSpec, codes: tuple[str, ...] | None = None) -> DataFrame:
     """D01–D06 (or ``codes`` of them) in one pass without a shuffle of rows. Each condition is judged
     once per row, in a projection of its own, before the counts and fingerprints use it."""

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.contracts import BOUND_CHECK_SCHEMA, RECEIPT_SCHEMA
+from fleetgauge.functions.digests import fingerprint, row_digest
 from fleetgauge.plans import gate
-from fleetgauge.plans.diagnostics import fingerprint, row_digest
 
 CONTENT = [n for n in RECEIPT_SCHEMA.fieldNames() if n != "receipt_id"]
 # What a result row says; when it was said does not matter.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetgauge import fixtures
 from fleetgauge.contracts import ALL, GRAINS, RECEIPT_SCHEMA
 from fleetgauge.functions.dates import calendar
+from fleetgauge.functions.digests import digest_sums
 from fleetgauge.plans import checks, details, diagnostics, receipts, refresh
 from fleetgauge.plans.outcomes import union
 from fleetgauge.session import scratch, settle
@@ -86,7 +87,7 @@ def test_digests_come_back_from_the_store(spark):
 
 def test_sets_of_failures_add_up(spark):
     rows = spark.range(50).select(F.sha2(F.col("id").cast("string"), 256).alias("_digest"), (F.col("id") % 3 == 0).alias("odd"))
-    sums = lambda df: list(df.agg(*[c.alias(str(i)) for i, c in enumerate(diagnostics.digest_sums(F.lit(True)))]).first())
+    sums = lambda df: list(df.agg(*[c.alias(str(i)) for i, c in enumerate(digest_sums(F.lit(True)))]).first())
     a, b, whole = sums(rows.filter("odd")), sums(rows.filter("not odd")), sums(rows)
     assert [x + y for x, y in zip(a, b)] == whole and sums(rows.filter("odd").unionByName(rows.filter("odd"))) != a
 
