@@ -114,7 +114,7 @@ class SuffixArray:
 
 
 def _longest(at: np.ndarray, suffix: np.ndarray, items: Items, doc: np.ndarray) -> dict[int, list[dict]]:
-    """For each document, its items with the longest verbatim match and where it starts."""
+    """For each document, its items with the longest verbatim match and where it starts; texts of one id are one item."""
     start = items.start[suffix]
     order = np.lexsort((at, at - start, items.item[suffix], doc))
     at, suffix, start, doc = at[order], suffix[order], start[order], doc[order]
@@ -123,12 +123,12 @@ def _longest(at: np.ndarray, suffix: np.ndarray, items: Items, doc: np.ndarray)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
     words = np.diff(np.append(first, len(at))) - 1 + need[first]
-    best: dict[int, dict[int, tuple[int, int]]] = {}
+    best: dict[int, dict[str | None, tuple[int, int]]] = {}
     for d, i, n, a in zip(doc[first].tolist(), item[first].tolist(), words.tolist(), at[first].tolist(), strict=True):
-        own = best.setdefault(d, {})
-        if i not in own or n > own[i][0]:
-            own[i] = (n, a)
-    return {d: [{"item_id": items.names[i], "words": n, "at": a} for i, (n, a) in own.items()] for d, own in best.items()}
+        own, name = best.setdefault(d, {}), items.names[i]
+        if name not in own or n > own[name][0]:
+            own[name] = (n, a)
+    return {d: [{"item_id": i, "words": n, "at": a} for i, (n, a) in own.items()] for d, own in best.items()}
 
 
 def _search_group(words: list[list[bytes]], items: Items, window: int) -> tuple[np.ndarray, dict[int, list[dict]]]:
@@ -193,7 +193,7 @@ def _searcher(held, window: int) -> Callable:
 def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = 32 << 20) -> DataFrame:
     """A row for each document: n_words, spans of words inside occurring windows, and the longest match with each item."""
     spark = docs.sparkSession
-    texts = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    texts = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, -(-int(size) // slice_bytes))
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -212,7 +212,19 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     merged = together.groupBy("row", "doc_id", "n_words").agg(
         F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("matches")).alias("matches")
     )
-    return merged.withColumn("spans", _merged_spans(F.col("spans"))).drop("row")
+    return merged.withColumns({"spans": _merged_spans(F.col("spans")), "matches": _by_item(F.col("matches"))}).drop("row")
+
+
+def _by_item(matches):
+    """The longest match of each item, whose texts may have stood in several slices; the first of equals."""
+
+    def longest(item):
+        own = F.filter(matches, lambda m: m["item_id"].eqNullSafe(item))
+        return F.array_min(F.transform(own, lambda m: F.struct((-m["words"]).alias("less"), m["at"].alias("at"))))
+
+    ids = F.array_distinct(F.transform(matches, lambda m: m["item_id"]))
+    found = F.transform(ids, lambda i: F.struct(i.alias("item_id"), longest(i).alias("m")))
+    return F.transform(found, lambda x: F.struct(x["item_id"], (-x["m"]["less"]).alias("words"), x["m"]["at"].alias("at")))
 
 
 def _merged_spans(spans):
