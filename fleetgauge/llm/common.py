@@ -11,8 +11,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from fleetgauge.session import scratch
 
@@ -41,10 +42,37 @@ def written(df: DataFrame, purpose: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
-    """For a join with texts: narrow rows are sent to all tasks if there are few, so that the texts stay where they are;
-    of more rows Spark chooses the join. ``df`` has been written, so counting it is cheap."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, size: int = 64 << 20) -> DataFrame:
+    """For a join with texts: rows of few bytes in all are sent to all tasks, so that the texts stay where they are;
+    of more Spark chooses the join. ``df`` has been written, so measuring it is cheap."""
+    measured = df.agg(F.sum(sum((_bytes_of(df, f.name, f.dataType) for f in df.schema), F.lit(32).cast("long")))).head()[0] or 0
+    return F.broadcast(df) if measured <= size else df
+
+
+def _bytes_of(df: DataFrame, name: str, kind: DataType) -> Column:
+    """About the bytes that a value takes in a row."""
+    value = df[name]
+    if isinstance(kind, ArrayType):
+        inner = len(kind.elementType.fields) + 2 if isinstance(kind.elementType, StructType) else 1
+        return F.coalesce(F.size(value), F.lit(0)).cast("long") * (8 * inner) + 16
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    return F.lit(8).cast("long")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents as (document, id, text_hash). The own columns of a document, whatever their names,
+    are the fields of one struct and cannot clash with those of an operator."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.struct("*").alias("document"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"))
+
+
+def with_text(docs: DataFrame, text: Column) -> Column:
+    """The document of a ``keyed`` row with another text, and with its length where ``docs`` has one."""
+    changed = F.col("document").withField("text", text)
+    if "n_chars" in docs.columns:
+        changed = changed.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return changed
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import WordCodes, as_bytes, ranges, small, written
+from fleetgauge.llm.common import WordCodes, as_bytes, keyed, ranges, small, written
 
 WINDOW = 10
 SHARD_WORDS = 400_000
@@ -255,10 +255,10 @@ def with_digest(found: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of the benchmark stands, with their own columns."""
-    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
-    numbered = keyed.select(F.xxhash64("_key").alias("doc_id"), "text")
-    bad = search_benchmark(numbered, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return keyed.join(small(written(bad, "contaminated")), F.xxhash64("_key") == F.col("_bad"), "left_anti").select(*docs.columns)
+    rows = keyed(docs).withColumn("row_hash", F.xxhash64("id", "text_hash"))
+    numbered = rows.select(F.col("row_hash").alias("doc_id"), "document.text")
+    bad = search_benchmark(numbered, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("bad")).distinct()
+    return rows.join(small(written(bad, "contaminated")), F.col("row_hash") == F.col("bad"), "left_anti").select("document.*")
 
 
 __all__ = ["remove_contaminated", "search_benchmark", "with_digest"]

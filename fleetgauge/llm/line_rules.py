@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import small, written
+from fleetgauge.llm.common import keyed, small, with_text, written
 
 SPACES = r"[ \t\n\x0B\f\r]+"
 SYMBOLS = "#*$%&|<>"
@@ -117,15 +117,11 @@ def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noq
     """The documents that stay, with their own columns; lines above the limit are cut from the text."""
     rules = line_rules(docs, limits).where(~F.col("kept") | F.col("cut_lines").isNotNull())  # most documents stay as they are
     rules = rules.groupBy("doc_id", "text_hash", "host").agg(F.min("kept").alias("kept"), F.first("cut_lines").alias("cut_lines"))
-    rules = rules.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t", "host": "_h", "kept": "_kept", "cut_lines": "_cut"})
     rules = small(written(rules, "line-verdicts"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(
-        rules, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_h")), "left"
-    ).where(F.coalesce("_kept", F.lit(True)))
-    stays = lambda line: ~F.array_contains("_cut", F.xxhash64(_normalised(line)))
-    text = F.when(F.size("_cut") > 0, F.array_join(F.filter(F.split("text", "\n"), stays), "\n")).otherwise(F.col("text"))
-    kept = kept.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    rows = keyed(docs)
+    same = rows["document.doc_id"].eqNullSafe(rules["doc_id"]) & (rows["text_hash"] == rules["text_hash"]) & rows["document.source"].eqNullSafe(rules["host"])
+    joined = rows.join(rules, same, "left").where(F.coalesce("kept", F.lit(True)))
+    text = F.col("document.text")
+    stays = lambda line: ~F.array_contains("cut_lines", F.xxhash64(_normalised(line)))
+    text = F.when(F.size("cut_lines") > 0, F.array_join(F.filter(F.split(text, "\n"), stays), "\n")).otherwise(text)
+    return joined.select(with_text(docs, text).alias("document")).select("document.*")

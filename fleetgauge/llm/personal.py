@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import sha256_hex, written
+from fleetgauge.llm.common import keyed, sha256_hex, small, with_text, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
 # The base patterns. Runs that cannot match from their first character cannot match from a later one.
@@ -253,9 +253,11 @@ def redact(docs: DataFrame, **limits) -> DataFrame:
         F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))),
         F.coalesce("found", F.expr("array()").cast("array<struct<start: int, kind: string, end: int>>")),
     )
-    hits = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), spans.alias("_spans")).where(F.size("_spans") > 0)
-    hits = _small(written(hits.groupBy("_d", "_t").agg(F.first("_spans").alias("_spans")), "spans-to-redact"))
+    hits = found.select("doc_id", "text_hash", spans.alias("cut")).where(F.size("cut") > 0)
+    hits = hits.groupBy("doc_id", "text_hash").agg(F.first("cut").alias("cut"))
+    hits = small(written(hits.withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"}), "spans-to-redact"))
 
+    # positions in a long text cost a walk each in substring(), so a text is cut here in one go
     @F.udf("string", useArrow=True)
     def replaced(text: str, cut: list) -> str:
         out, done = [], 0
@@ -265,10 +267,7 @@ def redact(docs: DataFrame, **limits) -> DataFrame:
             done = max(done, s["end"])
         return "".join(out) + text[done:]
 
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_t")), "left")
-    untouched = joined.where(F.col("_spans").isNull()).select(*docs.columns)
-    touched = joined.where(F.col("_spans").isNotNull()).withColumn("text", replaced("text", "_spans"))
-    if "n_chars" in docs.columns:
-        touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return untouched.unionByName(touched.select(*docs.columns))
+    joined = keyed(docs).join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
+    untouched = joined.where(F.col("cut").isNull()).select("document.*")
+    touched = joined.where(F.col("cut").isNotNull()).withColumn("clean", replaced("document.text", "cut"))
+    return untouched.unionByName(touched.select(with_text(docs, F.col("clean")).alias("document")).select("document.*"))

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import BLOCK_CHARS, IN_PART, WordCodes, as_bytes, mixed, small, store_blocks, written
+from fleetgauge.llm.common import BLOCK_CHARS, IN_PART, WordCodes, as_bytes, keyed, mixed, small, store_blocks, written
 
 WORDS, PERCENT = 5, 80
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -336,14 +336,12 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """
     found = written(near_duplicates(docs, **options), "components")
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node", "text_hash")
-    first = found.groupBy("component_node").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("_d"), F.col("f.text_hash").alias("_t"))
+    first = found.groupBy("component_node").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("first_id"), F.col("f.text_hash").alias("first_hash"))
     first = written(first.distinct(), "first-documents")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
     others = found.select("doc_id", "text_hash").distinct().join(first, same, "left_anti")
-    others = written(others.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")), "later-documents")
-    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": text_hash})
-    kept = keyed.join(small(others), F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_t")), "left_anti")
+    others = written(others.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash")), "later-documents")
+    kept = keyed(docs).join(small(others), F.col("id").eqNullSafe(F.col("other_id")) & (F.col("text_hash") == F.col("other_hash")), "left_anti")
     if found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_id", "_hash"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["id", "text_hash"])
+    return kept.select("document.*")
