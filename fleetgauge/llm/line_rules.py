@@ -1,12 +1,12 @@
 """Quality rules from cross-document line frequency, in DataFrame functions only.
 
-Lines are normalised (lower case, single spaces), hashed and counted: on how many different texts of
+Lines are normalised (lower case, single spaces), hashed and counted: on how many distinct documents of
 their host does a line stand? ``source`` is the host of a document. A line above the limit is boilerplate and is
 removed, except from the document that has it with the least doc_id. A document of which too little
 is left is rejected, as is one that fails the base rules.
 
-The limit is the larger of ``min_docs`` and ``max_per_mille`` of the host's documents. Exact copies count once
-as one text, so a group of copies does not make its own lines boilerplate.
+The limit is the larger of ``min_docs`` and ``max_per_mille`` of the host's documents. Documents with one text count
+as one document on either side of it: a group of copies neither makes its own lines boilerplate nor hides those of others.
 
 Defined results: a null or empty text has no words and fails the base rules. A null host is a host of its own.
 Rows with one doc_id and one text get one verdict each; a null doc_id is never the first to have a line.
@@ -91,7 +91,7 @@ def line_counts(metrics: DataFrame, limits: Limits) -> DataFrame:
     lines = metrics.select("host", "text_hash", "doc_id", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
     counted = lines.groupBy("host", "line").agg(F.countDistinct("text_hash").alias("docs"), F.min("doc_id").alias("first_doc"))
     counted = counted.where(F.col("docs") > limits.min_docs)
-    hosts = metrics.groupBy("host").agg(F.count(F.lit(1)).alias("of_host")).withColumnRenamed("host", "its_host")
+    hosts = metrics.groupBy("host").agg(F.countDistinct("text_hash").alias("of_host")).withColumnRenamed("host", "its_host")
     joined = counted.join(hosts, F.col("host").eqNullSafe(F.col("its_host")))
     return joined.where(1000 * F.col("docs") > limits.max_per_mille * F.col("of_host")).select("host", "line", "first_doc")
 

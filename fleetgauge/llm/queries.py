@@ -99,7 +99,7 @@ repeats as (select doc_id, cast(sum(n) as bigint) n from
   (select doc_id, least(8, coalesce(lead(i) over (partition by doc_id order by i) - i, 8)) n from twice) group by doc_id),
 lines as (select doc_id, host, md5(t) text_hash,
     unnest(list_transform(l, lambda x: lower(trim(regexp_replace(x, '[ \x09-\x0D]+', ' ', 'g'))))) line from sized),
-hosts as (select host, count(*) of_host from d group by host),
+hosts as (select host, count(distinct md5(t)) of_host from d group by host),
 above as (select host, line, first_doc from
   (select host, line, count(distinct text_hash) n, min(doc_id) first_doc from lines group by all) join hosts using (host)
   where n > 10 and 1000 * n > 5 * of_host),

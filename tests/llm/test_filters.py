@@ -40,6 +40,15 @@ def test_repeated_rows_and_copies(documents):
     assert len(found) == len(rows) and sum(r.kept for r in found) == 42  # copies are one text
 
 
+def test_copies_do_not_hide_lines_of_other_documents(documents):
+    filler = lambda i: " ".join(f"u{i}x{j}" for j in range(30))
+    rows = [(i, f"{filler(i)}\nsubscribe to our letter today") for i in range(12)] + [(100 + i, filler(99)) for i in range(300)]
+    limits = Limits(max_per_mille=500)  # 12 of 13 distinct documents, of 312 with copies
+    found = {r.doc_id: r for r in line_rules(documents(rows, source=lambda i: "one"), limits).collect()}
+    assert found[0].cut_lines is None and all(len(found[i].cut_lines) == 1 and found[i].kept for i in range(1, 12))
+    assert all(r.cut_lines is None and r.kept for d, r in found.items() if d >= 100)
+
+
 # --- benchmark --------------------------------------------------------------------------
 
 
