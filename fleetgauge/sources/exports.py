@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from fleetgauge.contracts import MEASURE, GrainSpec
 from fleetgauge.functions.parsing import is_blank, parse_date
 from fleetgauge.operators.summary import duplicate_keys
+from fleetgauge.sources.file_ranges import WHOLE_BYTES, file_digests
 
 # Fixed value: number text that an export may hold, exponents included.
 NUMBER_TEXT = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z"
@@ -74,14 +75,11 @@ def load_export(spark: SparkSession, path: str, spec: GrainSpec, columns: list[s
     return checked.drop("refused")
 
 
-def verify_inputs(spark: SparkSession, folder: str, registry: DataFrame) -> DataFrame:
-    """Registry rows (file, role, bytes, sha256) that the folder does not bear out."""
-    found = (
-        spark.read.format("binaryFile").load(folder)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("file"),
-            F.struct(F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).alias("found"),
-        )
+def verify_inputs(spark: SparkSession, folder: str, registry: DataFrame, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """Registry rows (file, role, bytes, sha256) that the folder does not bear out. Files may have any size."""
+    found = file_digests(spark, folder, whole_bytes=whole_bytes).select(
+        F.element_at(F.split("path", "/"), -1).alias("file"),
+        F.struct(F.col("length").alias("bytes"), "sha256").alias("found"),
     )
     expected = registry.select("file", "role", F.struct(F.col("bytes").cast("long").alias("bytes"), "sha256").alias("expected"))
     problem = (

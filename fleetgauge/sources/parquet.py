@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from fleetgauge.contracts import GRAINS, MANIFEST_SCHEMA, GrainSpec
 from fleetgauge.operators.compare import multiset_difference
 from fleetgauge.operators.summary import any_rows
+from fleetgauge.sources.file_ranges import file_digests
 
 ROW_GROUP_ROWS = 50_000  # fixed value: rows per row group
 FILE_ROWS = 20_000_000
@@ -73,18 +74,9 @@ def schema_fingerprint(spec: GrainSpec) -> Column:
 
 
 def file_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and digest of every Parquet file. One file is one row in one task,
-    so the file size that :func:`write_sorted` sets bounds the memory this needs."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("storage_path"),
-            F.col("length").alias("byte_size"),
-            F.sha2("content", 256).alias("sha256"),
-        )
+    """Name, size and digest of every Parquet file; a large one is streamed, so a task's memory does not grow with it."""
+    return file_digests(spark, path, "*.parquet", recursive=True).select(
+        F.element_at(F.split("path", "/"), -1).alias("storage_path"), F.col("length").alias("byte_size"), "sha256"
     )
 
 
