@@ -17,6 +17,7 @@ from fleetgauge.contracts import (
     severity,
 )
 from fleetgauge.functions.dates import observed_calendar
+from fleetgauge.functions.digests import SLICE, WIDE
 from fleetgauge.operators import adjacency
 from fleetgauge.operators.summary import one_row
 from fleetgauge.plans import checks, details, diagnostics, gate, refresh
@@ -226,13 +227,13 @@ _DIAGNOSTICS = [row for code in _NAMES for row in _row_diagnostic_sql(code)] + _
 _RESULTS = f"results as ({_all(_TABLE_CHECKS + _DIAGNOSTICS)})"
 
 
-def table_results(spark, folder, clean=False):
+def table_results(spark, folder, clean=False, width=SLICE):
     """Every check and diagnostic that needs the tables alone, as one lazy union."""
     tables, window = _tables(spark, folder, clean)
     start, end = window_of(spark, folder)
     parts = checks.table_checks(tables, window)
-    parts += [diagnostics.row_diagnostics(tables[n], s) for n, s in GRAINS.items()]
-    parts += [diagnostics.change_diagnostics(tables[n], s, start, end) for n, s in GRAINS.items()]
+    parts += [diagnostics.row_diagnostics(tables[n], s, width=width) for n, s in GRAINS.items()]
+    parts += [diagnostics.change_diagnostics(tables[n], s, start, end, width=width) for n, s in GRAINS.items()]
     return union(parts)
 
 
@@ -281,7 +282,7 @@ def change_source_sql(g):
     return source, "period > (select min(period) from days) and period <= (select max(period) from days)"
 
 
-def details_sql(code, g):
+def details_sql(code, g, width=SLICE):
     """Number and digest of a diagnostic's affected rows, as the plan defines it."""
     spec = GRAINS[g]
     if code in ("D07", "D08"):
@@ -291,11 +292,11 @@ def details_sql(code, g):
     else:
         source, condition, columns = f"{g}_outages", CONDITIONS[code], [*spec.keys, *spec.measures, '"percentOutage"']
     text = "concat_ws('|', {})".format(", ".join(f"coalesce(cast({c} as varchar), '-')" for c in columns))
-    sums = ", ".join(f"cast(coalesce(sum(('0x' || substr(h, {1 + 7 * i}, 7))::hugeint), 0) as varchar)" for i in range(4))
+    sums = ", ".join(f"cast(coalesce(sum(('0x' || substr(h, {1 + width * i}, {width}))::hugeint), 0) as varchar)" for i in range(4))
     return f"select '{code}' c, '{g}' g, count(*) n, sha256(concat_ws(':', cast(count(*) as varchar), {sums})) d from (select sha256({text}) h from {source} where {condition}) x"
 
 
-_DETAILS = " union all ".join(details_sql(code, g) for code in [*_NAMES, "D07", "D08"] for g in DIAGNOSTIC_SCOPES[code])
+_DETAILS = " union all ".join(details_sql(code, g, WIDE) for code in [*_NAMES, "D07", "D08"] for g in DIAGNOSTIC_SCOPES[code])
 
 
 @query("q03_warning_digest",
@@ -304,7 +305,7 @@ _DETAILS = " union all ".join(details_sql(code, g) for code in [*_NAMES, "D07",
          concat('{{"code":"', c, '","dataset_key":"', g, '","severity":"', severity, '","affected_count":', failed_count, ',"message":"', m,
            '","details_hash":"', d, '"}}'), ',' order by c, g) || ']') as warning_digest from summaries""")
 def _(spark, folder):
-    return gate.warning_identity(table_results(spark, folder))
+    return gate.warning_identity(table_results(spark, folder, width=WIDE))
 
 
 @query("l05_quality_notes",

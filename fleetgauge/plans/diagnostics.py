@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.contracts import DIAGNOSTIC_MESSAGES, DIAGNOSTIC_SCOPES, GrainSpec
-from fleetgauge.functions.digests import fingerprint, row_digest
+from fleetgauge.functions.digests import SLICE, fingerprint, row_digest
 from fleetgauge.functions.exact import outside_percent, percent_disagrees
 from fleetgauge.operators.adjacency import day_pairs, member_changed, pair_counts, value_changed
 from fleetgauge.plans.outcomes import outcome, outcomes
@@ -38,7 +38,7 @@ def not_applicable() -> Column:
     )
 
 
-def row_diagnostics(df: DataFrame, spec: GrainSpec, codes: tuple[str, ...] | None = None) -> DataFrame:
+def row_diagnostics(df: DataFrame, spec: GrainSpec, codes: tuple[str, ...] | None = None, width: int = SLICE) -> DataFrame:
     """D01–D06 (or ``codes`` of them) in one pass without a shuffle of rows. Each condition is judged
     once per row, in a projection of its own, before the counts and fingerprints use it."""
     conditions = {code: c for code, c in row_conditions(spec).items() if codes is None or code in codes}
@@ -48,7 +48,7 @@ def row_diagnostics(df: DataFrame, spec: GrainSpec, codes: tuple[str, ...] | Non
     facts = judged.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col(code)).alias(f"{code}_affected") for code in conditions],
-        *[fingerprint(F.col(code)).alias(f"{code}_details") for code in conditions],
+        *[fingerprint(F.col(code), width=width).alias(f"{code}_details") for code in conditions],
     )
     return outcomes(
         facts,
@@ -64,7 +64,7 @@ def affected_rows(df: DataFrame, spec: GrainSpec, code: str) -> DataFrame:
 
 
 def change_diagnostics(
-    df: DataFrame, spec: GrainSpec, start: Column, end: Column, codes: tuple[str, ...] = ("D07", "D08")
+    df: DataFrame, spec: GrainSpec, start: Column, end: Column, codes: tuple[str, ...] = ("D07", "D08"), width: int = SLICE
 ) -> DataFrame:
     """D07 and D08 (or one of them) from one aggregation over the pairs of window days."""
     pairs = day_pairs(df, spec, "capacity", start, end)
@@ -72,8 +72,8 @@ def change_diagnostics(
     pairs = pairs.withColumn("_digest", F.when(member_changed() | value_changed(), row_digest(columns)))
     facts = pairs.agg(
         *pair_counts(),
-        fingerprint(member_changed()).alias("membership_details"),
-        fingerprint(value_changed()).alias("value_details"),
+        fingerprint(member_changed(), width=width).alias("membership_details"),
+        fingerprint(value_changed(), width=width).alias("value_details"),
     )
     rows = []
     if "D07" in codes and spec.name in DIAGNOSTIC_SCOPES["D07"]:
