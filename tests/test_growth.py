@@ -1,5 +1,6 @@
 """Steps whose disk or memory must not grow faster than their input."""
 
+import hashlib
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
@@ -7,6 +8,9 @@ from pyspark.sql import functions as F
 from fleetgauge import fixtures
 from fleetgauge.catalog import ingest
 from fleetgauge.contracts import GENERATOR
+from fleetgauge.functions.digests import SLICE, WIDE, fingerprint
+from fleetgauge.operators import adjacency, compare
+from fleetgauge.operators.day_sets import day_sets
 from rows import dec, frame, observation
 
 
@@ -28,3 +32,39 @@ def test_landed_pages_take_less_disk_than_their_bodies(spark, monkeypatch):
     text = ingest.pages.page_rows(landed, GENERATOR)
     assert text.count() == 1000 and text.filter("facility is null or `percentOutage-units` <> 'percent'").count() == 0
     assert text.filter("generator = '4'").agg(F.min("capacity")).first()[0] == f"{dec('4'):.6f}"
+
+
+def _before_the_shuffle(df):
+    """The part of a plan below its last exchange by key, as text."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.split("hashpartitioning", 1)[1]
+
+
+def test_days_of_units_and_pairs_are_not_combined_before_they_move(spark):
+    df = units(spark, days=5, each=10)
+    for found in (
+        adjacency.day_pairs(df, GENERATOR), day_sets(df, ("facility", "generator")),
+        compare.one_sided(df, df.filter("generator <> '3'"), ["period", "facility", "generator"], ("a", "b")),
+    ):
+        assert "Aggregate" not in _before_the_shuffle(found)
+
+
+def test_one_sided_keys(spark):
+    df = units(spark, days=2, each=4)
+    left, right = df.filter("generator <> '3'"), df.filter("generator <> '1'").unionByName(df.filter("generator = '2'"))
+    found = compare.one_sided(left, right, ["period", "generator"], ("left", "right"))
+    assert sorted((r.period.day, r.generator, r.missing_in) for r in found.collect()) == [
+        (1, "1", "right"), (1, "3", "left"), (2, "1", "right"), (2, "3", "left")
+    ]
+
+
+def test_wide_digests_read_what_narrow_ones_leave_out(spark):
+    digest = "f" * 64
+    other = digest[:40] + "0" + digest[41:]  # differs beyond the 28 digits that four parts of 7 read
+    seal = lambda d, width: spark.createDataFrame([(d,)] * 9, "_digest string").agg(
+        fingerprint(F.lit(True), width=width).alias("d")).first()["d"]
+    assert seal(digest, SLICE) == seal(other, SLICE)
+    assert seal(digest, WIDE) != seal(other, WIDE)
+    total = ":".join(["9", *[str(9 * int(digest[15 * i:15 * i + 15], 16)) for i in range(4)]])
+    assert seal(digest, WIDE) == hashlib.sha256(total.encode()).hexdigest()
