@@ -14,6 +14,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.operators.summary import by_key
+
 SPAN = 32_768  # bits of one of Spark's bitmaps
 
 
@@ -31,7 +33,9 @@ def day_sets(df: DataFrame, entity: tuple[str, ...], period: str = "period") ->
     """(entity…, bucket, days, first_day, last_day)."""
     number = F.unix_date(period).cast("long")
     dated = df.where(F.col(period).isNotNull()).select(*entity, period, F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit"))
-    return dated.groupBy(*entity, "bucket").agg(
+    # Days move as numbers: most sets hold few, and a bitmap of 4 KB for each would move instead.
+    keys = [*entity, "bucket"]
+    return by_key(dated, keys).groupBy(*keys).agg(
         F.bitmap_construct_agg("bit").alias("days"), F.min(period).alias("first_day"), F.max(period).alias("last_day")
     )
 
