@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.contracts import GrainSpec
 from fleetgauge.functions.exact import TOTAL
-from fleetgauge.operators.summary import group_sums
+from fleetgauge.operators.summary import by_key, group_sums
 
 
 def status(left: Column, right: Column) -> Column:
@@ -75,13 +75,14 @@ def stacked(families: list[DataFrame], keys: list[str]) -> DataFrame:
 def one_sided(left: DataFrame, right: DataFrame, keys: list[str], names: tuple[str, str]) -> DataFrame:
     """Keys that only one side has, labelled with the side that lacks them.
 
-    The reduction to distinct keys happens on each side before the anti joins.
+    Both sides meet in one aggregation; maxima of structs are taken over sorted rows, so a task holds a sort and no
+    table of keys.
     """
-    a = left.select(*keys).distinct()
-    b = right.select(*keys).distinct()
-    only_left = a.join(b, keys, "left_anti").withColumn("missing_in", F.lit(names[1]))
-    only_right = b.join(a, keys, "left_anti").withColumn("missing_in", F.lit(names[0]))
-    return only_left.unionByName(only_right)
+    sides = left.select(*keys, F.lit(1).alias("_side")).unionByName(right.select(*keys, F.lit(2).alias("_side")))
+    has = lambda side: F.max(F.when(F.col("_side") == side, F.struct("_side"))).isNotNull()
+    seen = by_key(sides, keys).groupBy(*keys).agg(has(1).alias("_left"), has(2).alias("_right"))
+    lacking = F.when(F.col("_left"), F.lit(names[1])).otherwise(F.lit(names[0]))
+    return seen.filter(F.col("_left") != F.col("_right")).select(*keys, lacking.alias("missing_in"))
 
 
 def date_defects(df: DataFrame, window: DataFrame, period: str = "period") -> DataFrame:
