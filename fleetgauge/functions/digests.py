@@ -14,9 +14,17 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), 256)
 
 
+def _part(digest: str, start: int, width: int) -> Column:
+    return F.conv(F.substring(digest, start, width), 16, 10).cast("long")
+
+
+def digest_parts(digest: str = "_digest") -> list[Column]:
+    """The numbers whose sums :func:`digest_sums` takes."""
+    return [_part(digest, 1 + i * SLICE, SLICE) for i in range(SLICES)]
+
+
 def _sum(condition: Column, digest: str, start: int, width: int) -> Column:
-    part = F.conv(F.substring(digest, start, width), 16, 10).cast("long")
-    return F.coalesce(F.sum(F.when(condition, part)), F.lit(0))
+    return F.coalesce(F.sum(F.when(condition, _part(digest, start, width))), F.lit(0))
 
 
 def digest_sums(condition: Column, digest: str = "_digest", width: int = SLICE) -> list[Column]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge.contracts import ALL, CHECK_SCHEMA, DIAGNOSTIC_SCOPES, GRAINS, MEASURE, REQUIRED_SCOPES, GrainSpec, severity
-from fleetgauge.functions.digests import SLICES, digest_sums, row_digest
+from fleetgauge.functions.digests import SLICES, digest_parts, digest_sums, row_digest
 from fleetgauge.functions.exact import TOTAL
 from fleetgauge.operators.adjacency import day_pairs, member_change, member_changed, pair_counts, value_changed
 from fleetgauge.operators.compare import comparisons, joined_sums, stacked
@@ -103,6 +103,37 @@ def _seal(found: Mapping[str, int], prefix: str) -> tuple[int, str]:
     return sums[0], hashlib.sha256(":".join(map(str, sums)).encode()).hexdigest()
 
 
+def _with_parts(judged: DataFrame, digest: Column, prefix: str = "_part") -> DataFrame:
+    """The parts of a row's digest as numbers, worked out once a row however many sums read them."""
+    named = judged.withColumn("_digest", digest)
+    return named.withColumns({f"{prefix}{i}": part for i, part in enumerate(digest_parts("_digest"))}).drop("_digest")
+
+
+def _sums(prefix: str, condition: Column, parts: str = "_part") -> list[Column]:
+    """What :func:`digest_sums` says of a digest, from its parts."""
+    sums = [F.coalesce(F.sum(F.when(condition, F.col(f"{parts}{i}"))), F.lit(0)) for i in range(SLICES)]
+    return [c.alias(f"{prefix}_{i}") for i, c in enumerate([F.count_if(condition), *sums])]
+
+
+def _mark(when: Column, code: str, kind: str | Column) -> Column:
+    named = F.lit(kind) if isinstance(kind, str) else kind
+    return F.when(when, F.struct(F.lit(code).alias("check_code"), named.alias("kind")))
+
+
+def _marked(store: DetailStore, job: str, judged: DataFrame, metrics: list[Column], marks: list[Column], values: Mapping[str, Column]) -> dict[str, int]:
+    """Write a failure for each mark that a judged row has, and return the metrics of the same pass.
+
+    Rows without a mark end before anything is made of them, and only marks are put into an array: arrays of whole
+    failures are worked out without compiled code, field by field for every judged row.
+    """
+    seen = Observation()
+    some = reduce(lambda a, b: a | b, [m.isNotNull() for m in marks])
+    each = judged.observe(seen, *metrics).filter(some).withColumn("_mark", F.explode(F.array(*marks))).filter("_mark is not null")
+    names = {"kind": F.col("_mark.kind"), **values}
+    store.save(each.select(F.col("_mark.check_code").alias("check_code"), *_filled(names)), job)
+    return seen.get
+
+
 def _observed(store: DetailStore, job: str, judged: DataFrame, metrics: list[Column], failures: Column) -> dict[str, int]:
     """Write ``failures`` (an array of structs) of the judged rows, and return the metrics of the same pass."""
     seen = Observation()
@@ -234,14 +265,13 @@ def change_failures(store: DetailStore, df: DataFrame, spec: GrainSpec, start: C
     wanted = {code for code in ("D07", "D08") if spec.name in DIAGNOSTIC_SCOPES[code]}
     pairs = day_pairs(df, spec, "capacity", start, end)
     columns = [*spec.keys, "previous_value", "value"]
-    pairs = pairs.withColumn("_digest", F.when(member_changed() | value_changed(), row_digest(columns)))
-    values = {**{k: F.col(k) for k in spec.keys}, "expected": F.col("previous_value"), "observed": F.col("value")}
-    both = {
-        "D07": _failure(member_changed(), "D07", spec.name, member_change(), **values),
-        "D08": _failure(value_changed(), "D08", spec.name, "changed", **values),
+    pairs = _with_parts(pairs, F.when(member_changed() | value_changed(), row_digest(columns)))
+    values = {
+        "dataset_key": F.lit(spec.name), **{k: F.col(k) for k in spec.keys}, "expected": F.col("previous_value"), "observed": F.col("value"),
     }
-    metrics = [*pair_counts(), *_sealed("D07", member_changed()), *_sealed("D08", value_changed())]
-    found = _observed(store, f"changes-{spec.name}", pairs, metrics, F.array(*[f for code, f in both.items() if code in wanted]))
+    both = {"D07": _mark(member_changed(), "D07", member_change()), "D08": _mark(value_changed(), "D08", "changed")}
+    metrics = [*pair_counts(), *_sums("D07", member_changed()), *_sums("D08", value_changed())]
+    found = _marked(store, f"changes-{spec.name}", pairs, metrics, [m for code, m in both.items() if code in wanted], values)
     rows = []
     if "D07" in wanted:
         rows.append(result("D07", spec.name, found["membership_checked"], *_seal(found, "D07")))

@@ -11,6 +11,8 @@ from fleetgauge.contracts import GENERATOR
 from fleetgauge.functions.digests import SLICE, WIDE, fingerprint
 from fleetgauge.operators import adjacency, compare
 from fleetgauge.operators.day_sets import day_sets
+from fleetgauge.plans import details
+from fleetgauge.session import scratch
 from rows import dec, frame, observation
 
 
@@ -68,3 +70,18 @@ def test_wide_digests_read_what_narrow_ones_leave_out(spark):
     assert seal(digest, WIDE) != seal(other, WIDE)
     total = ":".join(["9", *[str(9 * int(digest[15 * i:15 * i + 15], 16)) for i in range(4)]])
     assert seal(digest, WIDE) == hashlib.sha256(total.encode()).hexdigest()
+
+
+def _stored_plans(monkeypatch, spark, judge):
+    """Plans of what a step stores."""
+    found, save = [], details.DetailStore.save
+    monkeypatch.setattr(details.DetailStore, "save", lambda self, failures, job: found.append(failures) or save(self, failures, job))
+    judge(details.DetailStore(spark, scratch(spark, "details"), "v1", "a1"))
+    return [df._jdf.queryExecution().optimizedPlan().toString() for df in found]
+
+
+def test_changes_are_stored_without_arrays_of_whole_rows(spark, monkeypatch):
+    df = units(spark, days=5, each=10)
+    day = lambda n: F.lit(date(2026, 1, n))
+    for plan in _stored_plans(monkeypatch, spark, lambda store: details.change_failures(store, df, GENERATOR, day(1), day(5))):
+        assert "inline(" not in plan and "lambda" not in plan
