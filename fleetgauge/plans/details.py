@@ -203,21 +203,18 @@ def facility_groups(store: DetailStore, generator: DataFrame, facility: DataFram
     first = F.col("measure") == "capacity"
     one_sided = first & F.col("side").isNotNull()
     bad = F.col("status") != "match"
-    judged = rows.withColumns(
-        {
-            "_group": F.when(one_sided, _digest_of({"kind": F.col("side"), **{k: F.col(k) for k in keys}}, "V05")),
-            "_sum": F.when(bad, _digest_of(
-                {"kind": F.col("comparison"), "expected": F.col("left_value"), "observed": F.col("right_value"),
-                 **{k: F.col(k) for k in [*keys, "measure"]}}, "V06")),
-        }
-    )
-    found = _observed(
+    group = F.when(one_sided, _digest_of({"kind": F.col("side"), **{k: F.col(k) for k in keys}}, "V05"))
+    differing = F.when(bad, _digest_of(
+        {"kind": F.col("comparison"), "expected": F.col("left_value"), "observed": F.col("right_value"),
+         **{k: F.col(k) for k in [*keys, "measure"]}}, "V06"))
+    judged = _with_parts(_with_parts(rows, group, "_group"), differing, "_sum")
+    compared = F.col("_mark.check_code") == "V06"
+    told = {"measure": "measure", "expected": "left_value", "observed": "right_value", "note": "status"}
+    found = _marked(
         store, "groups", judged,
-        [F.count(F.lit(1)).alias("n"), F.count_if(first).alias("groups"), *_sealed("v05", one_sided, "_group"), *_sealed("v06", bad, "_sum")],
-        F.array(
-            _failure(one_sided, "V05", ALL, F.col("side"), **{k: F.col(k) for k in keys}),
-            _compared("V06", F.col("comparison"), keys),
-        ),
+        [F.count(F.lit(1)).alias("n"), F.count_if(first).alias("groups"), *_sums("v05", one_sided, "_group"), *_sums("v06", bad, "_sum")],
+        [_mark(one_sided, "V05", F.col("side")), _mark(bad, "V06", F.col("comparison"))],
+        {"dataset_key": F.lit(ALL), **{k: F.col(k) for k in keys}, **{n: F.when(compared, F.col(c)) for n, c in told.items()}},
     )
     (lone, lone_digest), (unequal, unequal_digest) = _seal(found, "v05"), _seal(found, "v06")
     return [result("V05", ALL, found["groups"], lone, lone_digest), result("V06", ALL, found["n"], unequal, unequal_digest)]

@@ -85,3 +85,10 @@ def test_changes_are_stored_without_arrays_of_whole_rows(spark, monkeypatch):
     day = lambda n: F.lit(date(2026, 1, n))
     for plan in _stored_plans(monkeypatch, spark, lambda store: details.change_failures(store, df, GENERATOR, day(1), day(5))):
         assert "inline(" not in plan and "lambda" not in plan
+
+
+def test_differing_groups_are_stored_without_arrays_of_whole_rows(spark, monkeypatch):
+    sums = units(spark, days=3, each=9).groupBy("period", "facility").agg(F.sum("capacity").alias("capacity"), F.sum("outage").alias("outage"))
+    halves = sums.filter("facility <> '1'").withColumn("outage", F.col("outage") / 2)
+    for plan in _stored_plans(monkeypatch, spark, lambda store: details.facility_groups(store, sums, halves)):
+        assert "inline(" not in plan and "lambda" not in plan
