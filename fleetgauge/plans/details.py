@@ -36,6 +36,8 @@ FIELDS = {
 }
 BOUND = {"version_id": T.StringType(), "attempt_id": T.StringType(), "job": T.StringType(), "check_code": T.StringType()}
 DETAIL_SCHEMA = T.StructType([T.StructField(n, t) for n, t in {**FIELDS, **BOUND}.items()])
+# All columns that digests read; each check's own stand in this order.
+READ = ("dataset", "kind", "period", "facility", "generator", "measure", "copies", "expected", "observed", "capacity", "outage", "percentOutage")
 ROW_CODES = ("D01", "D02", "D03", "D04", "D05", "D06")
 AFFECTED, NOT_APPLICABLE = "affected", "not_applicable"
 
@@ -290,12 +292,14 @@ def digests(stored: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     """(check_code, dataset_key, failures, details_hash) of stored failures, for all ``pairs``, those without failures too."""
     spark = stored.sparkSession
     pairs = list(pairs)
-    digest = reduce(
-        lambda chain, pair: chain.when(
-            (F.col("check_code") == pair[0]) & (F.col("dataset_key") == pair[1]), row_digest(digest_columns(*pair))
-        ),
-        pairs, F.when(F.lit(False), F.lit("")),
-    )
+    # A column that a check does not read is null, and left out. A branch for each pair, with a text of its own, makes one
+    # method that is too large to be compiled to machine code.
+    used = {c: [f"{code}:{scope}" for code, scope in pairs if c in digest_columns(code, scope)] for c in READ}
+    texts = [
+        F.when(F.col("_pair").isin(names), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c, names in used.items() if names
+    ]
+    digest = F.sha2(F.concat_ws("|", *texts), 256)
+    stored = stored.withColumn("_pair", F.concat_ws(":", "check_code", "dataset_key"))
     sums = [c.alias(f"s{i}") for i, c in enumerate(digest_sums(F.lit(True)))]
     per_pair = stored.filter(F.col("kind") != NOT_APPLICABLE).withColumn("_digest", digest).groupBy("check_code", "dataset_key").agg(*sums)
     asked = spark.createDataFrame(pairs, "check_code string, dataset_key string")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from fleetgauge import fixtures
 from fleetgauge.catalog import ingest
-from fleetgauge.contracts import GENERATOR
+from fleetgauge.contracts import DIAGNOSTIC_SCOPES, GENERATOR, REQUIRED_SCOPES
 from fleetgauge.functions.digests import SLICE, WIDE, fingerprint
 from fleetgauge.operators import adjacency, compare
 from fleetgauge.operators.day_sets import day_sets
 from fleetgauge.plans import details
-from fleetgauge.session import scratch
+from fleetgauge.session import scratch, settle
 from rows import dec, frame, observation
 
 
@@ -92,3 +92,22 @@ def test_differing_groups_are_stored_without_arrays_of_whole_rows(spark, monkeyp
     halves = sums.filter("facility <> '1'").withColumn("outage", F.col("outage") / 2)
     for plan in _stored_plans(monkeypatch, spark, lambda store: details.facility_groups(store, sums, halves)):
         assert "inline(" not in plan and "lambda" not in plan
+
+
+def test_digests_of_stored_failures_are_compiled_to_machine_code(spark):
+    said = {"check_code": "D03", "dataset_key": "facility", "kind": "affected"}
+    stored = settle(spark.range(1).select(*[F.lit(said.get(f.name)).cast(f.dataType).alias(f.name) for f in details.DETAIL_SCHEMA]))
+    df = details.digests(stored, [(code, g) for code, scopes in DIAGNOSTIC_SCOPES.items() for g in scopes if code != "D09"])
+    assert df.filter("failures = 1").count() == 1 and df.collect()
+    plan = df._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [plan.apply(i)._3().maxMethodCodeSize() for i in range(plan.size())]
+    assert sizes and max(sizes) < 8000  # HotSpot interprets larger methods for ever
+
+
+def test_each_digest_reads_its_columns_in_one_order():
+    for code, scopes in {**REQUIRED_SCOPES, **DIAGNOSTIC_SCOPES}.items():
+        if code in ("V01", "V02", "V08", "D09"):
+            continue
+        for scope in scopes:
+            read = details.digest_columns(code, scope)
+            assert [c for c in details.READ if c in read] == read
