@@ -25,7 +25,7 @@ from fleetgauge.functions.digests import SLICES, digest_parts, digest_sums, row_
 from fleetgauge.functions.exact import TOTAL
 from fleetgauge.operators.adjacency import day_pairs, member_change, member_changed, pair_counts, value_changed
 from fleetgauge.operators.compare import comparisons, joined_sums, stacked
-from fleetgauge.plans.diagnostics import not_applicable, row_conditions
+from fleetgauge.plans.diagnostics import reasons, row_conditions
 from fleetgauge.session import settle
 
 KEYS = ("period", "facility", "generator")
@@ -245,18 +245,21 @@ def row_failures(store: DetailStore, df: DataFrame, spec: GrainSpec) -> list[tup
     """D01–D06 of a table in one pass without a shuffle; rows that D06 cannot judge are stored with the reasons."""
     conditions = row_conditions(spec)
     columns = [*spec.keys, *spec.measures, "percentOutage"]
-    unjudged = not_applicable()
-    judged = df.select(*columns, unjudged.alias("_reasons"), *[c.alias(code) for code, c in conditions.items()])
+    # Words joined without those that are null; no word means that D06 can judge the row.
+    judged = df.select(*columns, F.concat_ws(",", *reasons()).alias("_reasons"), *[c.alias(code) for code, c in conditions.items()])
     affected = reduce(lambda a, b: a | b, [F.col(code) for code in conditions])
-    judged = judged.withColumn("_digest", F.when(affected, row_digest(columns)))
-    values = {c: F.col(c) for c in columns}
-    failures = [_failure(F.col(code), code, spec.name, AFFECTED, **values) for code in conditions]
+    # All rows are counted between the conditions and the digests, so that the two are compiled apart and few rows reach the second.
+    total = Observation()
+    judged = judged.observe(total, F.count(F.lit(1)).alias("n")).filter(affected | (F.col("_reasons") != ""))
+    judged = _with_parts(judged, F.when(affected, row_digest(columns)))
+    marks = [_mark(F.col(code), code, AFFECTED) for code in conditions]
     if "D06" in conditions:
-        open_ = F.size("_reasons") > 0
-        failures.append(_failure(open_, "D06", spec.name, NOT_APPLICABLE, note=F.concat_ws(",", "_reasons"), **values))
-    metrics = [F.count(F.lit(1)).alias("n"), *[m for code in conditions for m in _sealed(code, F.col(code))]]
-    found = _observed(store, f"rows-{spec.name}", judged, metrics, F.array(*failures))
-    return [result(code, spec.name, found["n"], *_seal(found, code)) for code in conditions]
+        marks.append(_mark(F.col("_reasons") != "", "D06", NOT_APPLICABLE))
+    note = F.when(F.col("_mark.kind") == NOT_APPLICABLE, F.col("_reasons"))
+    metrics = [m for code in conditions for m in _sums(code, F.col(code))]
+    values = {"dataset_key": F.lit(spec.name), **{c: F.col(c) for c in columns}, "note": note}
+    found = _marked(store, f"rows-{spec.name}", judged, metrics, marks, values)
+    return [result(code, spec.name, total.get["n"], *_seal(found, code)) for code in conditions]
 
 
 def change_failures(store: DetailStore, df: DataFrame, spec: GrainSpec, start: Column, end: Column) -> list[tuple]:

@@ -28,14 +28,17 @@ def row_conditions(spec: GrainSpec) -> dict[str, Column]:
     return {code: c for code, c in conditions.items() if c is not None and spec.name in DIAGNOSTIC_SCOPES[code]}
 
 
+def reasons() -> list[Column]:
+    """Why D06 cannot be judged, each null where it does not hold."""
+    return [
+        F.when(F.col("percentOutage").isNull(), F.lit("missing_source_percentage")),
+        F.when(F.col("capacity") == 0, F.lit("zero_capacity")),
+    ]
+
+
 def not_applicable() -> Column:
     """Why D06 cannot be judged: an array of reasons, empty where it can."""
-    return F.array_compact(
-        F.array(
-            F.when(F.col("percentOutage").isNull(), F.lit("missing_source_percentage")),
-            F.when(F.col("capacity") == 0, F.lit("zero_capacity")),
-        )
-    )
+    return F.array_compact(F.array(*reasons()))
 
 
 def row_diagnostics(df: DataFrame, spec: GrainSpec, codes: tuple[str, ...] | None = None, width: int = SLICE) -> DataFrame:

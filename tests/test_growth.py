@@ -111,3 +111,9 @@ def test_each_digest_reads_its_columns_in_one_order():
         for scope in scopes:
             read = details.digest_columns(code, scope)
             assert [c for c in details.READ if c in read] == read
+
+
+def test_rows_are_stored_without_arrays_of_whole_rows(spark, monkeypatch):
+    df = units(spark, days=3, each=9)
+    for plan in _stored_plans(monkeypatch, spark, lambda store: details.row_failures(store, df, GENERATOR)):
+        assert "inline(" not in plan and "lambda" not in plan and plan.count("CollectMetrics") == 2
