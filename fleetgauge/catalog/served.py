@@ -18,7 +18,7 @@ from fleetgauge.operators.numbering import number_rows
 from fleetgauge.plans import dashboard, findings
 from fleetgauge.plans.outcomes import union
 from fleetgauge.session import scratch, settle
-from fleetgauge.sources import history, pages
+from fleetgauge.sources import pages
 
 AFTER = (date(1996, 1, 15), "46", "1000")
 
@@ -276,9 +276,9 @@ def _(spark, folder):
        f"""{TABLES}, r as ({_REPORT}) select count(*) as comparisons, count(*) filter (where status <> 'match') as nonmatching, max(abs(difference)) as max_absolute_difference from r""")
 def _(spark, folder):
     tables = fixtures.outages(spark, folder)
-    report = settle(findings.reconciliation_report(tables["national"], tables["facility"], tables["generator"]), "report")
+    report = findings.reconciliation_report(tables["national"], tables["facility"], tables["generator"])
     path = scratch(spark, "report")
-    history.write_report(report, findings.reconciliation_summary(report), path)
+    findings.save_report(report, path)
     saved = spark.read.option("header", True).schema(report.schema).csv(f"{path}/reconciliation")
     return findings.reconciliation_summary(saved)
 

@@ -24,11 +24,14 @@ def status(left: Column, right: Column) -> Column:
 def joined_sums(
     left: DataFrame, right: DataFrame, keys: list[str], measures: tuple[str, ...] = ("capacity", "outage")
 ) -> DataFrame:
-    """Both sides' sums per group in one full outer join, with a presence flag for each.
+    """Both sides' sums per group, with a presence flag for each.
 
-    Both sides are aggregated to the join key first, so a hot group crosses the
-    network as one partial sum per task and the join sees one row per group and side.
+    Groups of one column (days) are few: both sides are aggregated to the key first, so a hot group crosses the
+    network as one partial sum per task and a full outer join sees one row per group and side. Groups of several
+    columns (days of facilities) hold few rows: see :func:`met_sums`.
     """
+    if len(keys) > 1:
+        return met_sums(left, right, keys, measures)
     a = group_sums(left, keys, measures)
     b = group_sums(right, keys, measures)
     a = a.select(*keys, *[F.col(m).alias(f"left_{m}") for m in measures], F.lit(True).alias("in_left"))
@@ -38,6 +41,24 @@ def joined_sums(
     )
 
 
+def met_sums(left: DataFrame, right: DataFrame, keys: list[str], measures: tuple[str, ...]) -> DataFrame:
+    """The sums of a full outer join, without the join: rows of both sides are sent to their key as they are and
+    summed there in one aggregation, which sorts nothing. Combining before the shuffle would save nothing."""
+    side = lambda df, n: df.select(*keys, *measures, F.lit(n).alias("_side"))
+    both = side(left, 1).unionByName(side(right, 2))
+    # As in a join, a null key meets nothing on the other side.
+    unknown = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    placed = by_key(both.withColumn("_apart", F.when(unknown, F.col("_side"))), keys)
+
+    def of(n: int, prefix: str) -> list[Column]:
+        return [
+            *[F.sum(F.when(F.col("_side") == n, F.col(m))).cast(TOTAL).alias(f"{prefix}_{m}") for m in measures],
+            F.bool_or(F.col("_side") == n).alias(f"in_{prefix}"),
+        ]
+
+    return placed.groupBy(*keys, "_apart").agg(*of(1, "left"), *of(2, "right")).drop("_apart")
+
+
 def comparisons(
     joined: DataFrame, keys: list[str], name: str, measures: tuple[str, ...] = ("capacity", "outage")
 ) -> DataFrame:

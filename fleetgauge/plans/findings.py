@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.contracts import FACILITY, GRAINS, GrainSpec
@@ -23,6 +23,7 @@ from fleetgauge.operators.compare import (
 )
 from fleetgauge.operators.runs import fully_out, longest_runs
 from fleetgauge.operators.summary import coverage, first_and_last, one_row, present_every_day, reuse, weighted_percent
+from fleetgauge.sources import history
 
 
 def capacity_step(national: DataFrame, facility: DataFrame, before: date | Column, after: date | Column) -> DataFrame:
@@ -140,12 +141,29 @@ def reconciliation_report(national: DataFrame, facility: DataFrame, generator: D
     return stacked(families, ["period", "facility"])
 
 
-def reconciliation_summary(comparisons: DataFrame) -> DataFrame:
-    return comparisons.agg(
+def summary_columns() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("comparisons"),
         F.count_if(F.col("status") != "match").alias("nonmatching"),
         F.max(F.abs("difference")).alias("max_absolute_difference"),
-    )
+    ]
+
+
+def reconciliation_summary(comparisons: DataFrame) -> DataFrame:
+    return comparisons.agg(*summary_columns())
+
+
+def save_report(report: DataFrame, folder: str) -> None:
+    """Write a reconciliation report and its summary. The summary is observed while the comparisons are written, after
+    the last shuffle, so they are worked out once and stored once."""
+    seen = Observation()
+    schema = reconciliation_summary(report).schema
+
+    def summary() -> DataFrame:
+        found = seen.get
+        return report.sparkSession.createDataFrame([tuple(found[name] for name in schema.names)], schema)
+
+    history.write_report(report.observe(seen, *summary_columns()), summary, folder)
 
 
 def claims(observed: DataFrame, expected: list[tuple[str, Column]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
@@ -107,7 +108,9 @@ def publish(spark: SparkSession, path: str, candidate: Candidate, mode: str = "a
     return "published"
 
 
-def write_report(comparisons: DataFrame, summary: DataFrame, folder: str) -> None:
-    """Every comparison as CSV and the summary as JSON, in a folder that must be new."""
+def write_report(comparisons: DataFrame, summary: DataFrame | Callable[[], DataFrame], folder: str) -> None:
+    """Every comparison as CSV and the summary as JSON, in a folder that must be new. A summary may be asked for once
+    the comparisons are written."""
     comparisons.write.mode("errorifexists").option("header", True).csv(f"{folder}/reconciliation")
-    summary.write.mode("errorifexists").option("ignoreNullFields", False).json(f"{folder}/summary")
+    made = summary if isinstance(summary, DataFrame) else summary()
+    made.write.mode("errorifexists").option("ignoreNullFields", False).json(f"{folder}/summary")

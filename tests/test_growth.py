@@ -1,7 +1,7 @@
 """Steps whose disk or memory must not grow faster than their input."""
 
 import hashlib
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from fleetgauge.contracts import DIAGNOSTIC_SCOPES, GENERATOR, REQUIRED_SCOPES
 from fleetgauge.functions.digests import SLICE, WIDE, fingerprint
 from fleetgauge.operators import adjacency, compare
 from fleetgauge.operators.day_sets import day_sets
-from fleetgauge.plans import details
+from fleetgauge.plans import details, findings
 from fleetgauge.session import scratch, settle
 from rows import dec, frame, observation
 
@@ -117,3 +117,66 @@ def test_rows_are_stored_without_arrays_of_whole_rows(spark, monkeypatch):
     df = units(spark, days=3, each=9)
     for plan in _stored_plans(monkeypatch, spark, lambda store: details.row_failures(store, df, GENERATOR)):
         assert "inline(" not in plan and "lambda" not in plan and plan.count("CollectMetrics") == 2
+
+
+def test_report_is_worked_out_and_stored_once(spark, tmp_path):
+    # Two days of units, one of them with another sum in the facility table and one that only the units have.
+    df = units(spark, days=2, each=4)
+    plants = df.filter("facility <> '3'").groupBy("period", "facility").agg(
+        F.max("facilityName").alias("facilityName"), (F.sum("capacity") + F.when(F.col("facility") == "2", 5).otherwise(0)).cast("decimal(24,6)").alias("capacity"),
+        F.sum("outage").cast("decimal(24,6)").alias("outage"), F.max("percentOutage").alias("percentOutage"),
+    )
+    national = df.groupBy("period").agg(*[F.sum(m).cast("decimal(24,6)").alias(m) for m in ("capacity", "outage")])
+    evaluated = spark.sparkContext.accumulator(0)
+
+    @F.udf("decimal(24,6)")
+    def counted(value):
+        evaluated.add(1)
+        return value
+
+    report = findings.reconciliation_report(national, plants, settle(df)).withColumn("difference", counted("difference"))
+    findings.save_report(report, str(tmp_path / "r"))
+    rows = spark.read.option("header", True).schema(report.schema).csv(str(tmp_path / "r/reconciliation"))
+    # Four facilities, the facility table's days and the units' days: two measures on two days.
+    assert evaluated.value == rows.count() == 24
+    stored = spark.read.json(str(tmp_path / "r/summary")).first().asDict()
+    again = findings.reconciliation_summary(rows).first().asDict()
+    assert stored == {**again, "max_absolute_difference": float(again["max_absolute_difference"])}
+    assert again["comparisons"] == 24 and again["nonmatching"] > 0
+
+
+def test_sums_of_facility_days_meet_without_a_join(spark):
+    df = units(spark, days=2, each=8)
+    rows = df.select("period", "facility", "capacity", "outage")
+    unknown = rows.limit(1).withColumn("period", F.lit(None).cast("date"))
+    left, right = rows.unionByName(unknown), rows.filter("facility <> '1'").unionByName(unknown)
+    found = compare.joined_sums(left, right, ["period", "facility"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in _before_the_shuffle(found)
+    got = {(r.period, r.facility, r.in_left, r.in_right): (r.left_capacity, r.right_capacity) for r in found.collect()}
+    day = date(2026, 1, 1)
+    assert got[day, "0", True, True] == (dec("7"), dec("7")) and got[day, "1", True, False] == (dec("1"), None)
+    # As in a join, keys that hold a null do not meet.
+    assert sorted(k[2:] for k in got if k[0] is None) == [(False, True), (True, False)] and len(got) == 16
+
+
+def test_tables_are_moved_once_from_stored_whole_numbers(spark, tmp_path):
+    line = "l_shipdate timestamp, l_suppkey long, l_partkey long, l_returnflag string, l_quantity double, l_discount double, l_tax double"
+    lines = [(datetime(2026, 1, 1 + d), s, p, "AN"[p % 2], 10.0 + p, 0.05, 0.02) for d in range(2) for s in range(4) for p in range(3)]
+    spark.createDataFrame(lines, line).write.parquet(str(tmp_path / "lineitem.parquet"))
+    # One supplier is missing, one stands twice.
+    suppliers = [(0, "a"), (1, "b"), (2, "c"), (2, "d")]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = fixtures._label(fixtures._units(spark, str(tmp_path)), spark, str(tmp_path))
+    assert {"capacity": "bigint", "outage": "bigint", "percentOutage": "bigint"}.items() <= dict(found.dtypes).items()
+    stored = settle(found)
+    # Below the ranges is nothing but a scan, since it is worked out once more for the split points.
+    for rows in (fixtures._generator_rows(stored), fixtures._facility_rows(stored, clean=True)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("RepartitionByExpression") <= 1
+        assert "Aggregate" not in plan.split("RepartitionByExpression")[-1]
+    tables = fixtures.outages(spark, str(tmp_path), clean=True)
+    assert tables["generator"].count() == 2 * 3 * 4 and tables["facility"].count() == 2 * 4
+    sums = {(r.facility, r.facilityName): r.capacity for r in tables["facility"].filter("period = date '2026-01-01'").collect()}
+    assert sums == {("0", "a A"): dec("33"), ("1", "b A"): dec("33"), ("2", "c A"): dec("33"), ("2", "d A"): dec("33")}
+    assert tables["national"].first().capacity == dec("132")  # units without a supplier count, none counts twice
