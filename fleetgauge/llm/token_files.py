@@ -24,28 +24,34 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import range_coder as coder
 from fleetgauge.llm.byte_pairs import Remembered, byte_alphabet
-from fleetgauge.llm.common import as_bytes, written
+from fleetgauge.llm.common import written
 from fleetgauge.session import scratch
 
 GROUP = 24  # blocks that are coded side by side
+CHUNK = 8 << 20  # bytes of text whose words are looked up together
 _tokenizers: dict[int, WordEncoder] = {}
 
 
 # The word tokenizer's pattern, and printable characters that its normalizer only puts in lower case.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]+")
+SIGNS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+# Letters, then signs: a piece of each. No pattern of contractions fits, as these have letters after a sign.
+SIMPLE = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*[!-/:-@\\[-`{-~]*$"
 
 
 class WordEncoder:
-    """A tokenizer that drops white space, applied to what stands between spaces; repeated words are looked up.
+    """A tokenizer that drops white space, applied to what stands between spaces: once to each different word of a chunk.
 
-    Plain words are cut into pieces here and only the pieces go to the tokenizer's model; any others go through all of it.
+    Simple words are cut into pieces by Arrow, other plain ones here, and only the pieces go to the tokenizer's model,
+    which are remembered; any others go through all of it.
     """
 
     def __init__(self, file: str, limit: int = 450_000) -> None:
@@ -59,7 +65,9 @@ class WordEncoder:
         steps = [x["type"] for x in [*data["normalizer"]["normalizers"], *data["pre_tokenizer"]["pretokenizers"]]]
         if steps != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
             raise ValueError("Not a word tokenizer that drops white space")
-        self.special = [t["content"].encode() for t in data["added_tokens"]]
+        self.special = [t["content"] for t in data["added_tokens"]]
+        if any(re.match(SIMPLE, s) for s in self.special):
+            raise ValueError("A special token looks like a simple word")
         self.letters = {b: c for c, b in byte_alphabet().items()}
         self.packed = [i.to_bytes(int(self.kind[-1]), "little") for i in range(self.tokenizer.get_vocab_size())]
         self.pieces = Remembered(self._piece, 600_000)
@@ -67,22 +75,63 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        return b"".join([self.packed[t.id] for t in self.model.tokenize(text)])
-
-    def _word(self, word: bytes) -> bytes:
-        if word.isalpha():  # of ASCII letters only
-            return self.pieces[word.lower().decode()]
-        if word[:-1].isalpha() and 0x20 < word[-1] < 0x7F and not word[-1:].isdigit():
-            return self.pieces[word[:-1].lower().decode()] + self.pieces[word[-1:].decode()]
-        text = word.decode("utf-8", "surrogatepass")
-        if PLAIN.fullmatch(text) and not any(s in word for s in self.special):
-            text = text.lower()
-            pieces = [text] if text.isascii() and text.isalpha() else PIECES.findall(text)
-            return b"".join(map(self.pieces.__getitem__, pieces))
-        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(text)]) if text else b""
+
+    def _word(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word) and not any(s in word for s in self.special):
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
+    def _simple(self, words: pa.Array) -> pa.Array:
+        """The ids of words that are letters and then signs, both being one piece."""
+        starts = _offsets(words)
+        cuts = np.empty(2 * len(words) + 1, np.int32)
+        cuts[::2], cuts[1::2] = starts, starts[:-1] + pc.binary_length(pc.ascii_rtrim(words, SIGNS)).to_numpy()
+        pieces = pc.utf8_lower(_array(pa.string(), cuts, words)).dictionary_encode()
+        ids = _made(self.pieces, pieces.dictionary).take(pieces.indices)
+        return _array(pa.binary(), _offsets(ids)[::2].copy(), ids)
+
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, pa.Buffer]:
+        """The ids of all texts, each followed by ``end``, and before them at which byte each text's begin and the last one's stop."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        stops = np.diff(split.offsets.to_numpy()).cumsum()
+        words = split.flatten().dictionary_encode()
+        simple = pc.match_substring_regex(words.dictionary, SIMPLE)
+        fits = simple.to_numpy(zero_copy_only=False)
+        ids = [self._simple(words.dictionary.filter(simple)), _made(self.words, words.dictionary.filter(pc.invert(simple))), pa.array([end], pa.binary())]
+        place = np.where(fits, np.cumsum(fits) - 1, fits.sum() + np.cumsum(~fits) - 1)
+        order = np.insert(place[words.indices.to_numpy()], stops, len(place))
+        found = pa.concat_arrays(ids).cast(pa.large_binary()).take(pa.array(order))
+        return _offsets(found)[np.append(0, stops + np.arange(1, len(stops) + 1))], found.buffers()[2]
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, as_bytes(text).split()))
+        cuts, ids = self.encode_all(pa.array([text], pa.string()))
+        return ids.to_pybytes()[: cuts[-1]] if ids else b""
+
+
+def _made(known: Remembered, keys: pa.Array) -> pa.Array:
+    return pa.array(list(map(known.__getitem__, keys.to_numpy(zero_copy_only=False))), pa.binary())
+
+
+def _offsets(array: pa.Array) -> np.ndarray:
+    kind = np.dtype(np.int64 if pa.types.is_large_binary(array.type) else np.int32)
+    return np.frombuffer(array.buffers()[1], kind, len(array) + 1, array.offset * kind.itemsize) if len(array) else np.zeros(1, kind)
+
+
+def _array(kind: pa.DataType, offsets: np.ndarray, of: pa.Array) -> pa.Array:
+    """An array of the bytes of another, cut at other offsets."""
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets), of.buffers()[2]])
+
+
+def _chunks(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``size`` bytes of text, or one row with more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64) + 8)
+    low = 0
+    while low < batch.num_rows:
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def word_encoder(file: str) -> WordEncoder:
@@ -104,16 +153,16 @@ def _encoded(docs: DataFrame, file: str, end: int) -> DataFrame:
         last = np.array([end], encoder.kind).tobytes()
         width = len(last)
         for whole in batches:
-            for low in range(0, whole.num_rows, 512):
-                batch = whole.slice(low, 512)
-                ids = [encoder.encode(t) + last for t in batch.column(1).to_pylist()]
-                sizes = np.array([len(i) // width for i in ids], np.int64)
+            for batch in _chunks(whole, CHUNK):
+                cuts, ids = encoder.encode_all(batch.column("text"), last)
+                sizes = np.diff(cuts) // width
                 places = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
                 n = batch.num_rows
+                coded = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cuts), ids]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * n, pa.int32()), pa.array(places), batch.column(0), pa.array([width] * n, pa.int32()),
-                     pa.array(sizes), pa.array(ids, pa.binary())],
+                     pa.array(sizes), coded],
                     names=["part", "at", "doc_id", "width", "n", "ids"],
                 )
 

@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from corpora import awkward
 from fleetgauge.llm import range_coder as coder
 from fleetgauge.llm.byte_pairs import Decoder, Encoder, Merges, Transducer, encode_and_decode
-from fleetgauge.llm.token_files import WordEncoder, read_tokens, token_digest, write_tokens
+from fleetgauge.llm.token_files import WordEncoder, _chunks, read_tokens, token_digest, write_tokens
 from fleetgauge.session import scratch
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -82,6 +83,41 @@ def test_checksums_are_joined():
     assert coder.joined_crc([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
 
 
+class Counted(dict):
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.asked = make, []
+
+    def __getitem__(self, key):
+        self.asked.append(key)
+        return self.make(key)
+
+
+def test_a_word_of_a_chunk_is_looked_up_once():
+    with open(WORDS, encoding="utf-8") as f:
+        words = WordEncoder(f.read())
+    words.pieces, words.words = Counted(words._piece), Counted(words._word)
+    text = "The plain, PLAIN words. 3a again! " * 500
+    ids = np.frombuffer(words.encode(text), words.kind).tolist()
+    assert ids == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.words.asked == ["3a"]
+    assert sorted(words.pieces.asked) == sorted(["the", "plain", "words", "again", "", ",", ".", "!", "3", "a"])
+
+
+def test_texts_of_a_chunk_keep_their_ids():
+    with open(WORDS, encoding="utf-8") as f:
+        words = WordEncoder(f.read(), limit=50)
+    library, plain = words.tokenizer, [chr(c) for c in range(0x21, 0x180)]
+    texts = [None, "", " \t", "\0 a", *(f"{c} {c}! Ab{c} x{c}s {c}'S É{c}?' {c}{c}" for c in plain), "", "x" * 300, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 1)), pa.array(["cut off", *texts])], names=["doc_id", "text"]).slice(1)
+    for size in (1, 200, 1 << 20):
+        found = []
+        for part in _chunks(batch, size):
+            cuts, ids = words.encode_all(part.column("text"), b"\2\0")
+            found += [np.frombuffer(ids.to_pybytes()[a:b], words.kind).tolist() for a, b in zip(cuts[:-1], cuts[1:])]
+        assert found == [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_token_files_of_a_table(spark, documents):
     pick = random.Random(3)
     long = " ".join(pick.choice(["the", "of", "plain", "words", "x1"]) for _ in range(3 * coder.BLOCK))  # fills blocks alone
