@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,28 +15,29 @@ from fleetgauge.contracts import DIAGNOSTIC_SCOPES, GRAINS, severity
 from fleetgauge.functions.dates import observed_calendar
 from fleetgauge.functions.digests import fingerprint, row_digest
 from fleetgauge.plans import details
+from fleetgauge.plans.outcomes import union
 from fleetgauge.session import scratch, settle
 from fleetgauge.sources import digest_tree
 
-_STORED: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+# Per session and folder: the store's path, profiles, and the results of the jobs that have run.
+_STORED: dict[tuple[str, str], tuple[str, dict[str, DataFrame], dict[tuple[str, ...], DataFrame]]] = {}
 DOUBLED = "outage > capacity"  # rows that the second attempt sees twice
 
 
-def stored(spark: SparkSession, folder: str, attempt: str = "a1") -> tuple[details.DetailStore, DataFrame]:
-    """The failures of two attempts, written once a session, and the results of the first.
-
-    The second attempt sees some rows twice, and judges keys and changes alone.
-    """
+def stored(spark: SparkSession, folder: str, codes: Iterable[str]) -> tuple[details.DetailStore, DataFrame]:
+    """The failures of the jobs that judge ``codes``, each job run once a session, and the results of these jobs."""
     known = (spark.sparkContext.applicationId, folder)
-    if known not in _STORED:
-        path = scratch(spark, "check-details")
+    path, profiles, results = _STORED.setdefault(known, (scratch(spark, "check-details"), {}, {}))
+    store = details.DetailStore(spark, path, "v1", "a1")
+    asked = [job for job in details.JOBS if not set(job).isdisjoint(codes)]
+    new = [job for job in asked if job not in results]
+    if new:
         tables = fixtures.outages(spark, folder)
         start, end = window_of(spark, folder)
-        first = details.DetailStore(spark, path, "v1", "a1")
-        results = settle(details.check_tables(first, tables, observed_calendar(tables["generator"]), start, end), "results")
-        _STORED[known] = path, results
-    path, results = _STORED[known]
-    return details.DetailStore(spark, path, "v1", attempt), results
+        judged = [code for job in new for code in job]
+        found = settle(details.check_tables(store, tables, observed_calendar(tables["generator"]), start, end, judged, profiles), "results")
+        results.update({job: found.filter(F.col("check_code").isin(*job)) for job in new})
+    return store, union([results[job] for job in asked])
 
 
 def doubled(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -66,9 +69,9 @@ def _changes_sql(code: str, g: str) -> str:
     )
 
 
-def _details_query(code: str, columns: list[str], attempt: str = "a1"):
+def _details_query(code: str, columns: list[str]):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        store, _ = stored(spark, folder, attempt)
+        store, _ = stored(spark, folder, [code])
         return store.rows(code).select(*columns)
 
     return run
@@ -193,7 +196,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    store, results = stored(spark, folder)
+    store, results = stored(spark, folder, ["D06"])
     return details.eligible(store.rows("D06"), results)
 
 
@@ -207,7 +210,7 @@ _PAIRS = [(code, g) for code in ("D01", "D02", "D03", "D04", "D05", "D06", "D07"
 )
 def _(spark: SparkSession, folder: str) -> DataFrame:
     """Worked out again from the store alone, as a later session does."""
-    store, _ = stored(spark, folder)
+    store, _ = stored(spark, folder, [code for code, _ in _PAIRS])
     return details.digests(store.rows(), _PAIRS)
 
 

@@ -31,8 +31,8 @@ def day_pairs(
         spread = spread.filter((F.col("s.day") > start) & (F.col("s.day") <= end))
     now, keys = F.col("_now"), [*spec.entity, spec.period]
     spread = spread.select(*spec.entity, "_v", F.col("s.day").alias(spec.period), F.col("s.now").alias("_now"))
-    # A maximum of structs is taken over sorted rows: nothing but the sort is held, however many keys there are.
-    highest = lambda side: F.max(F.when(side, F.struct("_v")))["_v"]
+    # Aggregated in a table where they arrive, without a sort: a task's table is that of one shuffle partition.
+    highest = lambda side: F.max(F.when(side, F.col("_v")))
     return by_key(spread, keys).groupBy(*keys).agg(
         F.count_if(now).alias("rows_now"),
         F.count_if(~now).alias("rows_before"),

@@ -51,6 +51,18 @@ def test_disagreement_matches_integers_on_wide_values(spark):
     assert wrong.collect() == []
 
 
+def test_disagreement_at_the_threshold_whatever_the_signs(spark):
+    from fleetgauge.functions.exact import _disagrees_exactly
+
+    rows = []
+    for c in (3, -3, 7, -7, 10**23 + 1, -(10**23) - 1):
+        for o in (0, 1, -1, 2, -2, 10**22 + 3, -(10**22) - 3):
+            x = 10**8 * o // c
+            rows += [(*(Decimal(v).scaleb(-6) for v in (x + d, c, o)), abs((x + d) * c - 10**8 * o) > 5100 * abs(c)) for d in range(-5102, 5103) if abs(d) > 5097 and abs(x + d) < 10**24]
+    df = spark.createDataFrame(rows, "p decimal(24,6), c decimal(24,6), o decimal(24,6), e boolean")
+    assert len(rows) > 200 and df.filter(~_disagrees_exactly(F.col("p"), F.col("c"), F.col("o")).eqNullSafe(F.col("e"))).collect() == []
+
+
 def test_disagreement_does_not_apply(spark):
     df = spark.sql("select cast(null as decimal(24,6)) p, cast(1 as decimal(24,6)) c, cast(1 as decimal(24,6)) o union all select 1, 0, 1")
     assert [r[0] for r in df.select(percent_disagrees("p", "c", "o")).collect()] == [None, None]

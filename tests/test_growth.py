@@ -104,6 +104,44 @@ def test_digests_of_stored_failures_are_compiled_to_machine_code(spark):
     assert sizes and max(sizes) < 8000  # HotSpot interprets larger methods for ever
 
 
+def test_rows_are_judged_in_machine_code(spark, monkeypatch):
+    found, df = [], settle(units(spark, days=3, each=9))
+    monkeypatch.setattr(details.DetailStore, "save", lambda self, failures, job: found.append(failures) or failures.collect())
+    details.row_failures(details.DetailStore(spark, "none", "v1", "a1"), df, GENERATOR)
+    plan = found[0]._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [plan.apply(i)._3().maxMethodCodeSize() for i in range(plan.size())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_pairs_of_days_are_aggregated_without_a_sort(spark):
+    df = units(spark, days=4, each=6)
+    pairs = adjacency.day_pairs(df.unionByName(df.filter("generator = '1'").withColumn("capacity", F.lit(dec("9")))), GENERATOR)
+    rows = {(r.generator, r.period.day): r for r in pairs.collect()}
+    assert "SortAggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
+    # The higher one of two values of a key, on either side, and null where there is none.
+    assert (rows["1", 2].value, rows["1", 2].previous_value, rows["1", 2].rows_now, rows["1", 2].rows_before) == (dec("9"), dec("9"), 2, 2)
+    assert (rows["2", 1].value, rows["2", 1].previous_value) == (dec("2"), None) and rows["2", 5].value is None
+
+
+def test_only_jobs_that_judge_the_asked_codes_run(spark, tmp_path, monkeypatch):
+    df = units(spark, days=3, each=9)
+    plants = df.groupBy("period", "facility").agg(F.max("facilityName").alias("facilityName"), *[F.sum(m).cast("decimal(24,6)").alias(m) for m in ("capacity", "outage")], F.max("percentOutage").alias("percentOutage"))
+    days = plants.groupBy("period").agg(*[F.sum(m).cast("decimal(24,6)").alias(m) for m in ("capacity", "outage")], F.max("percentOutage").alias("percentOutage"))
+    tables = {"national": days, "facility": plants.filter("facility <> '3'"), "generator": df}
+    ends, window = (F.lit(date(2026, 1, 1)), F.lit(date(2026, 1, 3))), days.select("period")
+    whole, part = (details.DetailStore(spark, str(tmp_path / n), "v1", "a1") for n in ("whole", "part"))
+    every = {tuple(r) for r in details.check_tables(whole, tables, window, *ends).collect()}
+    jobs, save = [], details.DetailStore.save
+    monkeypatch.setattr(details.DetailStore, "save", lambda self, failures, job: jobs.append(job) or save(self, failures, job))
+    some, profiles = {tuple(r) for r in details.check_tables(part, tables, window, *ends, ["D05"]).collect()}, {}
+    assert sorted(jobs) == ["rows-facility", "rows-generator", "rows-national"]
+    some |= {tuple(r) for r in details.check_tables(part, tables, window, *ends, ["V06"], profiles).collect()}
+    assert sorted(jobs)[:1] == ["groups"] and len(jobs) == 4 and sorted(profiles) == ["facility", "generator"]
+    assert some == {r for r in every if r[0] in (*details.ROW_CODES, "V05", "V06")}
+    for code in ("D02", "D06", "V05", "V06"):
+        assert sorted(map(str, whole.rows(code).collect())) == sorted(map(str, part.rows(code).collect())) != []
+
+
 def test_each_digest_reads_its_columns_in_one_order():
     for code, scopes in {**REQUIRED_SCOPES, **DIAGNOSTIC_SCOPES}.items():
         if code in ("V01", "V02", "V08", "D09"):
