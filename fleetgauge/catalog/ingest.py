@@ -33,20 +33,22 @@ PAGE_ROWS = 500
 FILE_PAGES = 500  # pages a landed file: a compressed file is read by one task
 
 
-def land(spark, df, spec, advertised=None, page_rows=PAGE_ROWS):
-    """Write landed attempts as JSON and read them back as a source would be read."""
-    path = scratch(spark, "landed")
-    fixtures.landed_attempts(df, spec, "v1", page_rows, advertised).write.option("maxRecordsPerFile", FILE_PAGES).json(path, compression="gzip")
+def land(spark, df, spec, advertised=None, page_rows=PAGE_ROWS, path=None, sorted_files=False):
+    """Write landed attempts as JSON, a folder for each dataset, and read them back as a source would be read."""
+    path = path or scratch(spark, "landed")
+    landed = fixtures.landed_attempts(df, spec, "v1", page_rows, advertised, sorted_files).drop("dataset")
+    landed.write.option("maxRecordsPerFile", FILE_PAGES).json(f"{path}/dataset={spec.name}", compression="gzip")
     return pages.read_attempts(spark, path)
 
 
 def land_all(spark, tables):
-    """Land all three tables; the facility pages advertise the number of generator rows."""
-    total = tables["generator"].agg(F.count(F.lit(1))).scalar()
-    landings = [
-        partial(land, spark, tables[name], spec, total if name == "facility" else None) for name, spec in GRAINS.items()
-    ]
-    return union(together(landings))
+    """Land all three stored tables in one folder; the facility pages advertise the number of generator rows."""
+    total, path = tables["generator"].agg(F.count(F.lit(1))).scalar(), scratch(spark, "landed")
+    together([
+        partial(land, spark, tables[name], spec, total if name == "facility" else None, path=path, sorted_files=True)
+        for name, spec in GRAINS.items()
+    ])
+    return pages.read_attempts(spark, path)
 
 
 def window_of(spark, folder):
@@ -78,7 +80,7 @@ _AS_TEXT = """select cast(period as varchar) period, facility, generator, "facil
 
 @query("a02_landed_page_rows", f"{TABLES} {_AS_TEXT}")
 def _(spark, folder):
-    attempts = land(spark, fixtures.generator_outages(spark, folder), GENERATOR)
+    attempts = land(spark, fixtures.generator_outages(spark, folder), GENERATOR, sorted_files=True)
     return pages.page_rows(attempts, GENERATOR).select(*GENERATOR.schema.names)
 
 
@@ -110,7 +112,7 @@ def broken_pages(attempts):
        select c.col1 as error_code, 'sanitized_response' as error_field, count(*) as rows from every join codes c on c.col0 = p % 6 group by 1
        union all select null, null, cast(sum(n) as bigint) from pages where p % 6 = 0""")
 def _(spark, folder):
-    landed = land(spark, fixtures.national_outages(spark, folder), NATIONAL, page_rows=FAULTY_PAGE)
+    landed = land(spark, fixtures.national_outages(spark, folder), NATIONAL, page_rows=FAULTY_PAGE, sorted_files=True)
     log = broken_pages(landed).unionByName(landed.withColumn("version_id", F.lit("v2")))
     typed = normalize(pages.page_rows(pages.of_version(log, "v1"), NATIONAL), NATIONAL)
     return typed.groupBy("error_code", "error_field").agg(F.count(F.lit(1)).alias("rows"))
@@ -455,7 +457,8 @@ def _source_facts(spark, folder):
     attempts = land_all(spark, fixtures.outages(spark, folder))
     start, end = window_of(spark, folder)
     routes = routes_for(spark, attempts, start, end)
-    return {n: checks.source_complete(attempts, routes, s, start, end, fixtures.ROUTES[n]) for n, s in GRAINS.items()}
+    judged = together(partial(checks.source_complete, attempts, routes, s, start, end, fixtures.ROUTES[n]) for n, s in GRAINS.items())
+    return dict(zip(GRAINS, judged))
 
 
 @query("v01_source_complete",
@@ -490,6 +493,6 @@ def _(spark, folder):
 @query("h04_pages_equal_table", f"{TABLES} select count(*) as rows, 0 as differing from facility_outages")
 def _(spark, folder):
     table = fixtures.facility_outages(spark, folder)
-    parsed = accepted(normalize(pages.page_rows(land(spark, table, FACILITY), FACILITY), FACILITY), FACILITY)
+    parsed = accepted(normalize(pages.page_rows(land(spark, table, FACILITY, sorted_files=True), FACILITY), FACILITY), FACILITY)
     differing = multiset_difference(parsed, table).agg(F.count(F.lit(1))).scalar()
     return parsed.agg(F.count(F.lit(1)).alias("rows")).withColumn("differing", differing.cast("int"))

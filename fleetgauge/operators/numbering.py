@@ -30,7 +30,8 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "row_number") ->
     )
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    # Stored, so that their size is known before the join is planned and the rows need not move for it.
+    offsets = settle(sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")), "offsets")
     return (
         placed.join(offsets, "_part")
         .withColumn(name, F.col("_offset") + F.col("_at") + 1)
@@ -38,6 +39,18 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "row_number") ->
     )
 
 
+def number_sorted_files(table: DataFrame, keys: list[str], name: str = "row_number") -> DataFrame:
+    """1-based positions in a stored table whose files are sorted by ``keys`` and hold ranges of them, as sorted writes leave
+    them: the rows of all files before a row's own and its place in its file. Nothing is moved, sorted or written again.
+    """
+    file, at = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index")
+    first = table.filter(at == 0).select(file, F.struct(*keys).alias("_first"))
+    sizes = table.groupBy(file).agg((F.max(at) + 1).alias("_size"))
+    before = Window.orderBy("_first", "_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    offsets = settle(sizes.join(first, "_file").select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")), "offsets")
+    return table.select("*", file, at.alias("_at")).join(offsets, "_file").withColumn(name, F.col("_offset") + F.col("_at") + 1).drop("_file", "_at", "_offset")
+
+
 def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str = "position") -> DataFrame:
     """1-based position inside each group, also for a group too large for one task."""
     numbered = number_rows(df, [*[F.col(g).asc_nulls_last() for g in group], *order], "_n")

@@ -16,7 +16,8 @@ NO_ERROR = "no_error_reported"  # fixed value: the status of an accepted respons
 
 
 def read_attempts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ATTEMPT_SCHEMA).option("mode", "FAILFAST").json(path)
+    """A log as it was landed. Where each dataset has a folder of its own (``dataset=…``), a filter on it reads that folder alone."""
+    return spark.read.schema(ATTEMPT_SCHEMA).option("mode", "FAILFAST").json(path).select(*ATTEMPT_SCHEMA.fieldNames())
 
 
 def read_routes(spark: SparkSession, path: str) -> DataFrame:

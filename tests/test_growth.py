@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from fleetgauge import fixtures
 from fleetgauge.catalog import ingest
-from fleetgauge.contracts import DIAGNOSTIC_SCOPES, GENERATOR, REQUIRED_SCOPES
+from fleetgauge.contracts import ATTEMPT_SCHEMA, DIAGNOSTIC_SCOPES, GENERATOR, GRAINS, REQUIRED_SCOPES
 from fleetgauge.functions.digests import SLICE, WIDE, fingerprint
 from fleetgauge.operators import adjacency, compare
 from fleetgauge.operators.day_sets import day_sets
+from fleetgauge.operators.numbering import number_rows, number_sorted_files
 from fleetgauge.plans import details, findings
 from fleetgauge.session import scratch, settle
+from fleetgauge.sources import parquet
 from rows import dec, frame, observation
 
 
@@ -36,6 +38,36 @@ def test_landed_pages_take_less_disk_than_their_bodies(spark, monkeypatch):
     assert text.filter("generator = '4'").agg(F.min("capacity")).first()[0] == f"{dec('4'):.6f}"
 
 
+def test_rows_of_sorted_files_are_numbered_where_they_are(spark, tmp_path):
+    keys = ["period", "facility", "generator"]
+    parquet.write_sorted(units(spark, days=9, each=20), GENERATOR, str(tmp_path / "t"), partitions=5)
+    table = parquet.scan(spark, GENERATOR, str(tmp_path / "t"))
+    found = number_sorted_files(table, keys, "n")
+    assert len(table.inputFiles()) > 1 and "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(found.collect(), key=lambda r: r.n)
+    assert [r.n for r in rows] == list(range(1, 181)) and [tuple(r[k] for k in keys) for r in rows] == sorted(tuple(r[k] for k in keys) for r in rows)
+    # Rows that had to be sorted first do not move a second time for their numbers either.
+    again = number_rows(table.select(*keys), [F.col(k) for k in keys], "n")
+    assert "Exchange hashpartitioning" not in again._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in again.select(*keys, "n").collect()} == {(*[r[k] for k in keys], r.n) for r in rows}
+
+
+def test_landed_pages_of_stored_tables_are_read_by_dataset(spark, tmp_path):
+    tables = {}
+    for name, spec in GRAINS.items():
+        rows = units(spark, days=3, each=30).select(*spec.schema.names) if name == "generator" else units(spark, days=2 if name == "national" else 3, each=1).select(*spec.schema.names)
+        parquet.write_sorted(rows, spec, str(tmp_path / name), partitions=3)
+        tables[name] = parquet.scan(spark, spec, str(tmp_path / name))
+    attempts = ingest.land_all(spark, tables)
+    assert attempts.columns == ATTEMPT_SCHEMA.fieldNames()
+    own = attempts.filter("dataset = 'facility'")
+    assert "PartitionFilters: [isnotnull(dataset" in own._jdf.queryExecution().executedPlan().toString() and own.filter("http_status = 200").count() == 2
+    for name, spec in GRAINS.items():
+        plain = fixtures.landed_attempts(tables[name], spec, "v1", ingest.PAGE_ROWS, 90 if name == "facility" else None)
+        landed = attempts.filter(F.col("dataset") == name)
+        assert compare.multiset_difference(plain, landed).count() == 0 and landed.count() > 1
+
+
 def _before_the_shuffle(df):
     """The part of a plan below its last exchange by key, as text."""
     df.collect()
