@@ -68,6 +68,23 @@ def test_landed_pages_of_stored_tables_are_read_by_dataset(spark, tmp_path):
         assert compare.multiset_difference(plain, landed).count() == 0 and landed.count() > 1
 
 
+def test_tables_that_few_rows_share_a_key_of_are_compared_without_combining_first(spark):
+    df = units(spark, days=2, each=6)
+    other = df.filter("generator <> '3'").withColumn("outage", F.when(F.col("generator") == "4", dec("9")).otherwise(F.col("outage")).cast("decimal(24,6)"))
+    found = compare.multiset_difference(df.unionByName(df.filter("generator = '5'")), other, list(GENERATOR.keys))
+    assert "Aggregate" not in _before_the_shuffle(found)
+    assert sorted((r.period.day, r.generator, r.left_copies, r.right_copies) for r in found.collect()) == sorted(
+        (d, *row) for d in (1, 2) for row in (("3", 1, 0), ("4", 0, 1), ("4", 1, 0), ("5", 2, 1)))
+
+
+def test_bodies_that_hold_other_values_than_text_are_found(spark):
+    values = {'"x"': False, '"x:1"': False, "null": False, "5": True, "true": True, "-1": True, "{}": True, '[]': True, ' "x"': False, ' 5': True}
+    for colon in (":", " :", "\t:"):
+        bodies = [('{"response":{"total":3,"data":[{"a"%s%s,"b":"y"}]}}' % (colon, value), mixed) for value, mixed in values.items()]
+        found = spark.createDataFrame(bodies, "sanitized_response string, mixed boolean")
+        assert found.filter(ingest.pages._may_hold_other_values() != F.col("mixed")).collect() == []
+
+
 def _before_the_shuffle(df):
     """The part of a plan below its last exchange by key, as text."""
     df.collect()

@@ -157,3 +157,13 @@ def test_an_export_number_keeps_six_places_as_written(spark, text, good):
     row = [("1999-05-31", "7", text, "0", "")]
     export = spark.createDataFrame(row, "period string, facility string, capacity string, outage string, percentOutage string")
     assert (check_export(export, FACILITY).first()["refused"] is None) == good
+
+
+def test_text_with_a_visible_start_is_kept_as_all_other_text(spark):
+    from fleetgauge.functions.parsing import is_blank, kept_text
+
+    texts = ["", " ", "\t", "\u00a0", "\u2003\n", "\x1c", "\x85", "!", "~", "~x", "\x7f", "a ", " a", "é", "Ω", "0", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", kept_text(F.col("t")).alias("kept"), is_blank(F.col("t")).alias("blank")).collect()
+    assert [r.kept for r in rows] == [None if r.blank else r.t for r in rows]
+    assert [r.t for r in rows if not r.blank] == ["!", "~", "~x", "\x7f", "a ", " a", "é", "Ω", "0"]
